@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import intervals, orphans, skew
+from tributary.operators import hierarchy, intervals, orphans, skew
 from tributary.scratch import Scratch
 from tributary.sources.tables import table
 
@@ -54,6 +54,37 @@ found AS (SELECT table_name, field_name, rec_id, strftime(ts, '%Y-%m') AS period
   WHERE refs.k IS NOT NULL AND (p.k IS NULL OR ts < lo OR purged >= hi))
 """
 
+# --- 5: parent-child links to full hierarchies
+
+
+def _p5_edges(spark: SparkSession, d: str) -> DataFrame:
+    job = table(spark, d, "job", "id", "parent_id").select(F.lit("job").alias("ns"), F.col("id").alias("child"), F.col("parent_id").alias("parent"))
+    sub = table(spark, d, "subvalue", "value_hash", "parent_value_hash")
+    return job.unionByName(sub.select(F.lit("subvalue").alias("ns"), F.col("value_hash").alias("child"), F.col("parent_value_hash").alias("parent")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.cycles(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"))
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(_p5_edges(spark, d)).select(
+        F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "path", "depth", "root", "n_parents", "n_descendants", "on_cycle")
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of a node are the other nodes of its table and root with pos between its pos and last_pos."""
+    return hierarchy.hierarchy(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "root", "pos", "last_pos")
+
+
+_P5_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM (
+  SELECT 'job' t, id c, parent_id p FROM job UNION ALL SELECT 'subvalue', value_hash, parent_value_hash FROM subvalue) WHERE c IS NOT NULL AND p IS NOT NULL),
+top AS (SELECT * FROM e SEMI JOIN e x ON e.t = x.t AND e.p = x.c),
+r(t, s, v) AS (SELECT t, c, p FROM top UNION SELECT r.t, r.s, top.p FROM r JOIN top ON top.t = r.t AND top.c = r.v),
+cyc AS (SELECT DISTINCT t, s AS k FROM r WHERE s = v)
+"""
+
 # --- 6: overlapping and gapped time intervals
 
 
@@ -101,6 +132,7 @@ def p7_join(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
+    "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants,
     "p6_found": p6_found, "p6_periods": p6_periods,
     "p7_found": p7_found, "p7_results": p7_results, "p7_join": p7_join,
 }
@@ -108,6 +140,16 @@ QUERIES = {
 SQL = {
     "p1_found": _P1_SQL + "SELECT * FROM found",
     "p1_report": _P1_SQL + "SELECT table_name, field_name, period, count(*) AS n_orphans FROM found GROUP BY ALL",
+    "p5_found": _P5_SQL + "SELECT t AS table_name, k AS node_key FROM cyc",
+    "p5_paths": _P5_SQL + """, n AS (SELECT 'job' t, unnest([id, parent_id]) k FROM job UNION SELECT 'subvalue', unnest([value_hash, parent_value_hash]) FROM subvalue),
+live AS (SELECT e.t, e.c, arg_min(e.p, md5(e.t || chr(0) || e.p)) p FROM e ANTI JOIN cyc ON e.t = cyc.t AND e.c = cyc.k ANTI JOIN cyc y ON e.t = y.t AND e.p = y.k GROUP BY e.t, e.c),
+d(t, k, path, depth, root) AS (SELECT n.t, n.k, n.k, 0, n.k FROM n ANTI JOIN live ON live.t = n.t AND live.c = n.k WHERE n.k IS NOT NULL
+  UNION ALL SELECT d.t, live.c, d.path || '/' || live.c, depth + 1, root FROM d JOIN live ON live.t = d.t AND live.p = d.k),
+a(t, k, v) AS (SELECT t, c, p FROM live UNION ALL SELECT a.t, a.k, live.p FROM a JOIN live ON live.t = a.t AND live.c = a.v),
+s AS (SELECT t, v, count(*) n FROM a GROUP BY t, v)
+SELECT d.t AS table_name, d.k AS node_key, path, depth, root, coalesce(np, 0) AS n_parents, coalesce(s.n, 0) AS n_descendants, cyc.k IS NOT NULL AS on_cycle
+FROM d LEFT JOIN s ON s.t = d.t AND s.v = d.k LEFT JOIN cyc ON cyc.t = d.t AND cyc.k = d.k
+LEFT JOIN (SELECT t, c, count(*) np FROM e GROUP BY t, c) e2 ON e2.t = d.t AND e2.c = d.k""",
     "p6_found": _P6_SQL + "SELECT execution_id, reach AS gap_start_us, s AS gap_end_us FROM m WHERE reach < s",
     "p6_periods": _P6_SQL + ", i AS (SELECT *, sum(CASE WHEN reach >= s THEN 0 ELSE 1 END) OVER (PARTITION BY execution_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM m) "
     "SELECT execution_id, min(s) AS start_us, max(e) AS end_us FROM i GROUP BY execution_id, k",
