@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import hierarchy, intervals, orphans, skew
+from tributary.operators import drift, hierarchy, intervals, nesting, orphans, skew
 from tributary.scratch import Scratch
 from tributary.sources.tables import table
 
@@ -54,6 +54,65 @@ found AS (SELECT table_name, field_name, rec_id, strftime(ts, '%Y-%m') AS period
   WHERE refs.k IS NOT NULL AND (p.k IS NULL OR ts < lo OR purged >= hi))
 """
 
+# --- 3: schemas that drift between files
+
+
+def _p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return drift.load(table(spark, d, "dump_record", "dump_id", "line_no", "payload"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    records = Scratch(spark, "p3").cut(_p3_records(spark, d))
+    return drift.changes(records, table(spark, d, "dump_file", "dump_id", "repo", "exported_at")).select(
+        "repo", "record_type", "dump_id", "change_kind", "field_name", "new_name")
+
+
+#: Columns of the common table: type, and the names that the field is written under.
+P3_COLUMNS = {
+    "version": ("int", ["_version", "version", "schema_version", "_schemaVersion"]),
+    "task_hash": ("string", ["task_hash", "taskHash", "code_hash", "task_id"]),
+    "start_time": ("timestamp_ntz", ["start_time", "startTime", "started_at"]),
+    "end_time": ("timestamp_ntz", ["end_time", "endTime", "ended_at"]),
+    "called_at": ("timestamp_ntz", ["timestamp", "called_at"]),
+    "cached": ("boolean", ["cached"]),
+    "execution_id": ("string", ["execution_id", "executionId", "run_id"]),
+    "is_dryrun": ("boolean", ["is_dryrun"]),
+    "n_jobs": ("bigint", ["n_jobs"]),
+    "entity_type": ("string", ["entity_type", "entityType", "target_kind"]),
+}
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent(_p3_records(spark, d), P3_COLUMNS)
+
+
+def p3_failed_casts(spark: SparkSession, d: str) -> DataFrame:
+    return drift.failed_casts(p3_records(spark, d))
+
+
+def p3_types(spark: SparkSession, d: str) -> DataFrame:
+    return drift.target_types(drift.statistics(_p3_records(spark, d)))
+
+
+# --- 4: deeply nested semi-structured records
+
+
+def _p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.flatten(table(spark, d, "raw_record", "line_id", "payload"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.links(_p4_rows(spark, d))
+
+
+def p4_objects(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.objects(_p4_rows(spark, d))
+
+
+def p4_bridge(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.bridge(_p4_rows(spark, d))
+
+
 # --- 5: parent-child links to full hierarchies
 
 
@@ -132,6 +191,8 @@ def p7_join(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
+    "p3_found": p3_found, "p3_records": p3_records, "p3_failed_casts": p3_failed_casts, "p3_types": p3_types,
+    "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge,
     "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants,
     "p6_found": p6_found, "p6_periods": p6_periods,
     "p7_found": p7_found, "p7_results": p7_results, "p7_join": p7_join,
