@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import seen
+from tributary.llm import mixture, repetition, seen, tokens
+from tributary.scratch import Scratch
+from tributary.sources.tables import table
 
 # --- 2: has this key been seen before?
 
@@ -26,7 +28,62 @@ WITH r AS (SELECT 'call_node' table_name, call_hash k, rec_id FROM call_node UNI
 f AS (SELECT *, min(rec_id) OVER (PARTITION BY table_name, k) lo FROM r WHERE k IS NOT NULL)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_error_rate": p2_error_rate}
+# --- 8: encoding of the whole corpus with a public tokenizer
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents", "doc_id", "text"))
+
+
+# --- 9: mixing sources to target weights
+
+
+def _p9(spark: SparkSession, d: str) -> mixture.Mix:
+    return mixture.Mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "source_target"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).copies()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).report()
+
+
+# --- 10: repetition inside a single document
+
+#: The quantile of the shares of a group from which on a document is flagged.
+P10_QUANTILE = 0.98
+
+
+def _p10(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = Scratch(spark, "p10")
+    measured = s.cut(repetition.measure(table(spark, d, "documents", "doc_id", "text", "lang", "source")))
+    return measured, s.cut(repetition.thresholds(measured, P10_QUANTILE))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    measured, limits = _p10(spark, d)
+    # The group's threshold, or a quarter where that is lower; then the exact check.
+    return repetition.above(measured, limits, at_most=0.25).where("n_repeated * 4 >= n_words").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d)[0].select("doc_id", "n_words", "n_repeated", "share")
+
+
+def p10_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.above(*_p10(spark, d))
+
+
+def p10_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d)[1]
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_error_rate": p2_error_rate, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_shares": p10_shares, "p10_flagged": p10_flagged, "p10_thresholds": p10_thresholds,
+}
 
 SQL = {
     "p2_found": _P2_SQL + "SELECT table_name, rec_id FROM f WHERE rec_id > lo",
