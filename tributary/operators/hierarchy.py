@@ -99,15 +99,16 @@ def _reach_components(links: DataFrame, s: Scratch) -> DataFrame:
     Every node gets the greatest node that reaches it as its colour; within a colour, what reaches the colour's own
     node backward is its component.  Components found are taken out with their links, until no link is left.
     """
-    found, rest = None, links
-    while rest.limit(1).count():
+    found, rest, left = None, links, 1
+    while left:
         nodes = s.cut(rest.select(F.col("c").alias("v")).union(rest.select("p")).distinct().withColumn("colour", F.col("v")))
         while True:  # the greatest colour flows along the links
             flow = rest.join(nodes.withColumnRenamed("v", "c"), "c").groupBy(F.col("p").alias("v")).agg(F.max("colour").alias("new"))
-            new = s.cut(nodes.join(flow, "v", "left").select("v", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.coalesce("new", "colour") > F.col("colour")).alias("moved")))
+            moved = (F.coalesce("new", "colour") > F.col("colour")).alias("moved")
+            new, n_moved = s.counted(nodes.join(flow, "v", "left").select("v", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), moved), F.col("moved"))
             s.free(nodes)
             nodes = new.select("v", "colour")
-            if not new.where("moved").limit(1).count():
+            if not n_moved:
                 break
         same = s.cut(
             rest.join(nodes.select(F.col("v").alias("c"), F.col("colour").alias("cc")), "c").join(nodes.select(F.col("v").alias("p"), F.col("colour").alias("pc")), "p")
@@ -116,14 +117,14 @@ def _reach_components(links: DataFrame, s: Scratch) -> DataFrame:
         member = s.cut(nodes.where("v = colour").select("v", "colour"))
         while True:  # backward from each colour's own node
             more = same.join(member.select(F.col("v").alias("p"), "colour"), ["p", "colour"]).select(F.col("c").alias("v"), "colour").distinct().join(member, ["v", "colour"], "left_anti")
-            more = s.cut(more)
-            if not more.limit(1).count():
+            more, n_more = s.counted(more)
+            if not n_more:
                 break
             member = s.cut(member.unionByName(more))
         m = member.select("v")
         part = same.join(m.withColumnRenamed("v", "c"), "c", "left_semi").join(m.withColumnRenamed("v", "p"), "p", "left_semi").select("c", "p")
         found = s.cut(part if found is None else found.unionByName(part))
-        rest = s.cut(same.select("c", "p").join(m.withColumnRenamed("v", "c"), "c", "left_anti").join(m.withColumnRenamed("v", "p"), "p", "left_anti"))
+        rest, left = s.counted(same.select("c", "p").join(m.withColumnRenamed("v", "c"), "c", "left_anti").join(m.withColumnRenamed("v", "p"), "p", "left_anti"))
     return found if found is not None else links.limit(0)
 
 
@@ -139,9 +140,9 @@ def cyclic(links: DataFrame, s: Scratch, core_links: int = CORE_LINKS) -> DataFr
             .groupBy("v").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.min("up").alias("up"), F.min("down").alias("down"))
             .where("out > 0 and in > 0")
         )
-        # Heads are spliced out if both neighbours are tails: no two of them meet.
-        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(len(splices))), F.lit(2)) == 1
-        chain = (F.col("out") == 1) & (F.col("in") == 1) & coin("v") & ~coin("up") & ~coin("down")
+        # A node is spliced out if its number of this round is below both neighbours': a third of a chain, no two adjacent.
+        draw = lambda c: F.xxhash64(c, F.lit(len(splices)))
+        chain = (F.col("out") == 1) & (F.col("in") == 1) & (draw("v") < draw("up")) & (draw("v") < draw("down"))
         node = s.cut(node.select("v", chain.alias("gone"), "up", "down"))
         kept = node.where("not gone").select("v")
         gone = node.where("gone").select("v", "up", "down")
@@ -149,10 +150,10 @@ def cyclic(links: DataFrame, s: Scratch, core_links: int = CORE_LINKS) -> DataFr
         # A neighbour may itself have been dropped; the link that replaces the node is then dropped with it.
         bridge = gone.join(kept.withColumnRenamed("v", "down"), "down", "left_semi").join(kept.withColumnRenamed("v", "up"), "up", "left_semi")
         bridge = s.cut(bridge.select("v", F.col("down").alias("c"), F.col("up").alias("p")))
-        new = s.cut(new.unionByName(bridge.select("c", "p")).distinct())
+        new, n_new = s.counted(new.unionByName(bridge.select("c", "p")).distinct())
         splices.append(bridge)
         s.free(node, *([cur] if cur is not links else []))
-        before, n, cur = n, new.count(), new
+        before, n, cur = n, n_new, new
         stuck = stuck + 1 if n == before else 0
         if n <= core_links:
             loops = s.cut(cur.coalesce(1).mapInArrow(_components, "c binary, p binary"))
@@ -205,17 +206,18 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
 
     # Doubling: jump is the ancestor 2**rounds steps up. Without one the depth is exact; size counts what is nearer below.
     nodes = keys.select("v").join(tree, "v", "left")
-    state = s.cut(nodes.select("v", "up", F.col("up").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")))
+    jumping = F.col("jump").isNotNull()
+    state, active = s.counted(nodes.select("v", "up", F.col("up").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")), jumping)
     rounds = 0
-    while state.where("jump is not null").limit(1).count():
+    while active:
         sent = state.where("jump is not null").groupBy(F.col("jump").alias("v")).agg(F.sum("size").alias("got"))
         at = state.select(F.col("v").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("above"))
-        new = s.cut(
+        new, active = s.counted(
             state.join(at, "jump", "left").join(sent, "v", "left").select(
                 "v", "up", F.col("next").alias("jump"),
                 F.when(F.col("jump").isNull(), F.col("depth")).otherwise(F.lit(2**rounds) + F.col("above")).alias("depth"),
                 (F.col("size") + F.coalesce("got", F.lit(0))).alias("size"),
-            )
+            ), jumping
         )
         s.free(state)
         state, rounds = new, rounds + 1
@@ -235,10 +237,10 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
         "v", F.lit(False).alias("heavy"), (F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("off"))
     kids = s.cut(kids.unionByName(best.select(F.col("best").alias("v"), F.lit(True).alias("heavy"), F.lit(1).cast("bigint").alias("off"))))
     # Chain heads by doubling along heavy links only.
-    head = s.cut(sized.join(kids.select("v", "heavy", "off"), "v", "left").select("v", "up", "depth", "size", "off", F.when(F.col("heavy"), F.col("up")).alias("jump"), F.col("v").alias("head")))
-    while head.where("jump is not null").limit(1).count():
+    head, active = s.counted(sized.join(kids.select("v", "heavy", "off"), "v", "left").select("v", "up", "depth", "size", "off", F.when(F.col("heavy"), F.col("up")).alias("jump"), F.col("v").alias("head")), jumping)
+    while active:
         at = head.select(F.col("v").alias("jump"), F.col("jump").alias("next"), F.col("head").alias("far"))
-        new = s.cut(head.join(at, "jump", "left").select("v", "up", "depth", "size", "off", F.col("next").alias("jump"), F.coalesce("far", "head").alias("head")))
+        new, active = s.counted(head.join(at, "jump", "left").select("v", "up", "depth", "size", "off", F.col("next").alias("jump"), F.coalesce("far", "head").alias("head")), jumping)
         s.free(head)
         head = new
     named = head.join(keys.select("v", "node"), "v").select("v", "up", "depth", "size", "off", "head", "node")
@@ -254,9 +256,9 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
     chains = [s.cut(level)]
     while True:
         prev = chains[-1].withColumnRenamed("head", "over")
-        nxt = s.cut(heads.where("above is not null").join(prev, "over").select(
+        nxt, more = s.counted(heads.where("above is not null").join(prev, "over").select(
             "head", F.concat("prefix", "lead", F.lit(separator)).alias("prefix"), (F.col("base") + F.col("below") + F.col("off")).alias("base"), "root"))
-        if not nxt.limit(1).count():
+        if not more:
             break
         chains.append(nxt)
     placed = chains[0]

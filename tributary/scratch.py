@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -55,6 +56,13 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def counted(self, df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+        """``cut``, and how many rows were written (that meet a condition), counted while writing."""
+        seen = Observation()
+        n = F.count(F.lit(1)) if where is None else F.count_if(where)
+        out = self.cut(df.observe(seen, n.alias("n")))
+        return out, seen.get["n"]
+
     def free(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path, _ = self.paths.pop(id(df), (None, None))
