@@ -113,6 +113,20 @@ def _held(s: str) -> object:
     return None
 
 
+def _flat(text: str | tuple) -> str:
+    """The text of nested tuples of texts."""
+    if isinstance(text, str):
+        return text
+    out, work = [], [text]
+    while work:
+        t = work.pop()
+        if isinstance(t, str):
+            out.append(t)
+        else:
+            work.extend(reversed(t))
+    return "".join(out)
+
+
 class _Line:
     """The rows of one line."""
 
@@ -127,12 +141,11 @@ class _Line:
 
     def identify(self, root: dict) -> str:
         """Hash of an object, with rows for it and all objects in it; strings that hold JSON count as what they hold."""
-        # Post-order over an explicit stack: [value, iterator, finished members, bridge rows waiting for the parent's hash].
+        # Post-order over an explicit stack of [value, iterator, texts of finished members, bridge rows to come, place].
         out: list[str] = []
         stack = [self._frame(root, None)]
         while stack:
-            frame = stack[-1]
-            value, members, parts, waiting, _ = frame
+            value, members, parts, waiting, at = stack[-1]
             for place, v in members:
                 if isinstance(v, str) and (h := _held(v)) is not None:
                     v = h
@@ -142,22 +155,24 @@ class _Line:
                 parts.append((place, json.dumps(v)))
             else:
                 stack.pop()
-                text = said = self._text(value, parts)
-                up = waiting
-                if isinstance(value, dict):
-                    digest = sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:40]
-                    said = f"#{digest}"
-                    kind = record_kind(value)
-                    self.row("object", None, digest, None, kind and kind[0], kind and kind[1], text)
-                    for place, child in waiting:
-                        self.row("bridge", digest, child, place)
-                    up = [("", digest)]
-                if stack:
-                    place = frame[4]
-                    stack[-1][2].append((place, said))
-                    stack[-1][3].extend((f"{place}/{p}".rstrip("/"), c) for p, c in up)
-                else:
+                if isinstance(value, list):
+                    stack[-1][2].append((at, ("[", *[x for _, t in parts for x in (t, ",")][:-1], "]") if parts else "[]"))
+                    continue
+                text = "{" + ",".join(f"{json.dumps(k)}:{_flat(t)}" for k, t in sorted(parts, key=lambda x: x[0])) + "}"
+                digest = sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:40]
+                kind = record_kind(value)
+                self.row("object", None, digest, None, kind and kind[0], kind and kind[1], text)
+                for place, child in waiting:
+                    self.row("bridge", digest, child, place)
+                if not stack:
                     out.append(digest)
+                    continue
+                stack[-1][2].append((at, f"#{digest}"))
+                path, i = [at], len(stack) - 1
+                while isinstance(stack[i][0], list):  # places in arrays up to the object around them
+                    path.append(stack[i][4])
+                    i -= 1
+                stack[i][3].append(("/".join(reversed(path)), digest))
         return out[0]
 
     @staticmethod
@@ -165,12 +180,6 @@ class _Line:
         members = iter(list(v.items()) if isinstance(v, dict) else [(str(i), x) for i, x in enumerate(v)])
         return [v, members, [], [], place]
 
-    @staticmethod
-    def _text(value: dict | list, parts: list[tuple[str, str]]) -> str:
-        if isinstance(value, dict):
-            return "{" + ",".join(f"{json.dumps(k)}:{v}" for k, v in sorted(parts)) + "}"
-        return "[" + ",".join(v for _, v in parts) + "]"
-
     # -- links between keys, by an explicit stack of (container, key of items, link, parent key)
 
     def links(self, root: dict) -> None:

@@ -53,8 +53,8 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     seen = [front]
     while True:
         nxt = front.select(F.col("type").alias("src_type"), F.col("id").alias("src")).join(e, ["src_type", "src"]).select(F.col("dst_type").alias("type"), F.col("dst").alias("id")).distinct()
-        front = s.cut(nxt.join(union(seen), ["type", "id"], "left_anti"))
-        if not front.limit(1).count():
+        front, more = s.counted(nxt.join(union(seen), ["type", "id"], "left_anti"))
+        if not more:
             break
         seen.append(front)
         if len(seen) > 8:
@@ -74,8 +74,8 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     todo = s.cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
     done, level = [], 0
     while True:
-        front = s.cut(todo.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if not front.limit(1).count():
+        front, more = s.counted(todo.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if not more:
             return union(done) if done else todo.select("node", F.lit(0).alias("level")).limit(0)
         done.append(front.select("node", F.lit(level).alias("level")))
         left = s.cut(left.join(front.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"))

@@ -20,7 +20,7 @@ def to_records(df: DataFrame, record_type: str) -> DataFrame:
 
 def from_records(records: DataFrame, record_type: str, schema: StructType) -> DataFrame:
     """The rows of one type of ``to_records``; a line of another version or that isn't JSON is left out."""
-    full = StructType([*schema.fields]).add("_version", "int").add("_type", "string")
+    full = StructType([*schema.fields]).add("_version", "integer").add("_type", "string")
     x = records.where(F.col("record_type") == record_type).select(F.from_json("json", full).alias("x")).where(
         (F.col("x._version") == FORMAT_VERSION) & (F.col("x._type") == record_type))
     return x.select(*[f"x.{f.name}" for f in schema.fields])

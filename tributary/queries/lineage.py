@@ -22,7 +22,12 @@ def query(*views: str, sql: str | None = None):
         Q[f.__name__] = lambda spark, d: f(Provenance(spark, d))
         if sql is not None:
             text = ctes(*(f"p_{v}" for v in views))
-            SQL[f.__name__] = text.rstrip() + ", " + sql[5:] if sql.startswith("WITH ") else text + sql
+            if sql.startswith("WITH "):
+                deep = sql.startswith("WITH RECURSIVE ")
+                text, rest = text.replace("WITH ", "WITH RECURSIVE ", 1) if deep else text, sql[15 if deep else 5:]
+                SQL[f.__name__] = f"{text.rstrip()}, {rest}"
+            else:
+                SQL[f.__name__] = text + sql
         return f
     return add
 
@@ -470,9 +475,9 @@ def leaf_parts(p: Provenance) -> DataFrame:
     return p.subvalue.join(p.subvalue.select(F.col("parent_value_hash").alias("value_hash")), "value_hash", "left_anti").select(F.col("value_hash").alias("src"), F.col("parent_value_hash").alias("dst"))
 
 
-_SMALL = "SELECT l_partkey % 40 AS a, l_partkey % 40 + 1 + l_suppkey % 5 AS b FROM lineitem"
+_SMALL = "SELECT l_partkey % 10 AS a, l_partkey % 10 + 1 + l_suppkey % 5 AS b FROM lineitem"
 Q["topological_levels"] = lambda spark, d: graph.topological_levels(table(spark, d, "lineitem", "l_partkey", "l_suppkey").select(
-    (F.col("l_partkey") % 40).alias("src"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 5).alias("dst")).distinct())
+    (F.col("l_partkey") % 10).alias("src"), (F.col("l_partkey") % 10 + 1 + F.col("l_suppkey") % 5).alias("dst")).distinct())
 SQL["topological_levels"] = f"""WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM ({_SMALL})), n AS (SELECT a AS v FROM e UNION SELECT b FROM e),
 r(v, l) AS (SELECT v, 0 FROM n WHERE v NOT IN (SELECT b FROM e) UNION SELECT e.b, l + 1 FROM r JOIN e ON e.a = r.v) SELECT v AS node, max(l) AS level FROM r GROUP BY v"""
 
