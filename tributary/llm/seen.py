@@ -6,8 +6,8 @@ checkpointed with every batch to the shared folder; no watermark ever expires a
 an earlier arrival number is in the state of its key, so an answer is never wrong, whatever the order of the files;
 ``error_rate`` measures this against a full aggregation.
 
-Null keys have not been seen and are no repeats; '' is a key.  Of rows with the same key and arrival number none is
-earlier, so each counts as first.  An empty table gives no rows.  Other columns are neither read nor kept.
+Arrival numbers are unique in a table.  Null keys have not been seen and are no repeats; '' is a key.  Of rows with the same
+key and arrival number none is earlier, so each counts as first.  An empty table gives no rows.  Other columns are neither read nor kept.
 """
 
 from __future__ import annotations
