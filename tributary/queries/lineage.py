@@ -273,9 +273,9 @@ def files_of_format(p: Provenance) -> DataFrame:
 @query("call", "job", sql="SELECT count(*) FILTER (WHERE v IN (SELECT task_hash FROM p_job)) AS n_both, count(*) FILTER (WHERE v NOT IN (SELECT task_hash FROM p_job WHERE task_hash IS NOT NULL)) AS n_calls_only FROM (SELECT DISTINCT task_hash AS v FROM p_call WHERE task_hash IS NOT NULL) t")
 def task_sets(p: Provenance) -> DataFrame:
     """Set intersection and difference."""
-    a, b = p.call.where("task_hash is not null").select("task_hash"), p.job.where("task_hash is not null").select("task_hash")
-    n = F.count(F.lit(1))
-    return a.intersect(b).agg(n.alias("n_both")).crossJoin(F.broadcast(a.distinct().join(b, "task_hash", "left_anti").agg(n.alias("n_calls_only"))))  # two single rows
+    a, b = p.call.where("task_hash is not null").select("task_hash").distinct(), p.job.where("task_hash is not null").select("task_hash")
+    tagged = a.intersect(b).select(F.lit(1).alias("both")).unionByName(a.join(b, "task_hash", "left_anti").select(F.lit(0).alias("both")))
+    return tagged.agg(F.count_if(F.col("both") == 1).alias("n_both"), F.count_if(F.col("both") == 0).alias("n_calls_only"))
 
 
 # --- aggregates
