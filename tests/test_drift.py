@@ -62,3 +62,26 @@ def test_odd_json(spark):
     assert records.count() == 2
     kinds = {r["path"]: r["kind"] for r in drift.target_types(drift.statistics(records)).collect()}
     assert kinds["d"] == "array" and kinds["big"] == kinds["n"] == "number"
+
+
+def test_every_field_in_the_table(spark):
+    """Columns come from the files: renames are one column, and what has no column or doesn't cast is in rest."""
+    lines = [
+        (1, job("a", old="x", size=1, deep={"k": [1]}, **{"odd name": 5})), (1, job("b", old="y", size=2, deep={"k": []}, both="p")),
+        (2, job("a", new="x", size=1.5, Deep=7, both="q")), (2, job("b", new="y", size="many", big=2**53 + 1)), (2, job("c", big=0.5)), (2, job("d", run_id="r", execution_id="s")),
+        (2, {"_type": "Tag", "tag_hash": "t", "new": True}),
+    ]
+    f = spark.createDataFrame([(1, "r", datetime(2025, 1, 1)), (2, "r", datetime(2025, 1, 2))], FILES)
+    records = run(spark, [], lines)[1]
+    columns = drift.layout(records, f, {"execution_id": ("string", ["execution_id", "run_id"])})
+    assert {n: t for n, (t, _) in columns.items()} == {
+        "execution_id": "string", "old": "string", "size": "double", "Deep": "bigint", "deep_2": "string", "both": "string", "big": "string", "new": "boolean"}
+    rows = {r["record_key"]: r for r in drift.consistent(records, columns).collect()}
+    seen = [r for r in drift.consistent(records, columns).collect() if r["old"] is not None]
+    assert sorted((r["dump_id"], r["record_key"], r["old"]) for r in seen) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y")]
+    assert rows["t"]["new"] is True and rows["c"]["big"] == "0.5" and rows["c"]["rest"] == {}
+    assert rows["d"]["execution_id"] == "s" and rows["d"]["rest"] == {"run_id": "r"}
+    last = next(r for r in seen if r["dump_id"] == 2 and r["record_key"] == "b")
+    assert last["failed"] == ["size"] and last["rest"] == {"size": "many"} and last["big"] == str(2**53 + 1)
+    first = next(r for r in seen if r["dump_id"] == 1 and r["record_key"] == "a")
+    assert first["deep_2"] == '{"k": [1]}' and first["size"] == 1.0 and first["rest"] == {"odd name": "5"}

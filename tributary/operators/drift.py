@@ -14,6 +14,7 @@ whose key is in both files, by aggregates per key: several differing records of
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 from hashlib import md5
@@ -22,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.scratch import Scratch
+
 #: The member that is the key of a record, by its type.
 KEYS = {"job": "id", "execution": "id", "value": "value_hash", "callnode": "call_hash", "tag": "tag_hash"}
 _KINDS = {str: "string", int: "number", float: "number", bool: "boolean", list: "array", dict: "object", type(None): "null"}
+#: What may name a column without quoting.
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _FIELD = pa.struct([("path", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("digest", pa.binary())])
 _OUT = pa.schema([("dump_id", pa.int64()), ("line_no", pa.int32()), ("record_type", pa.string()), ("record_key", pa.string()), ("fields", pa.list_(_FIELD))])
 
@@ -149,23 +154,105 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
         "repo", "record_type", "dump_id", F.col("x.k").alias("change_kind"), F.col("x.f").alias("field_name"), F.col("x.n").alias("new_name"))
 
 
+def _kind_counts(stats: DataFrame) -> DataFrame:
+    return stats.select("record_type", "path", F.explode("kinds").alias("kind"), (F.col("n") - F.col("n_null")).alias("n")).groupBy("record_type", "path", "kind").agg(F.sum("n").alias("n"))
+
+
 def target_types(stats: DataFrame) -> DataFrame:
     """(record_type, path, kind): the type most of a path's non-null values have, counting a file's values for each of its types."""
-    n = stats.select("record_type", "path", F.explode("kinds").alias("kind"), (F.col("n") - F.col("n_null")).alias("n")).groupBy("record_type", "path", "kind").agg(F.sum("n").alias("n"))
-    return n.groupBy("record_type", "path").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    return _kind_counts(stats).groupBy("record_type", "path").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
 
 
-def consistent(records: DataFrame, columns: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """One table: dump_id, line_no, record_type, record_key, the columns, and failed, the columns whose value doesn't cast.
+def layout(records: DataFrame, files: DataFrame, declared: dict[str, tuple[str, list[str]]] | None = None) -> dict[str, tuple[str, list[tuple[str, str]]]]:
+    """The columns of the common table, for ``consistent``: name to (SQL type, the (record_type, path) it was written under).
 
-    columns: name to (SQL type, the paths it was written under, the first that is there counts).
+    Every field of every type gets a column.  Names of a type are one field if ``changes`` found them renamed, unless
+    both are in one file of that type; the pairs seen most often are merged first.  A column has the name that most values have and the type that
+    ``statistics`` counts most often over its names: arrays and objects stay JSON text, numbers are bigint, double or, where neither holds all of them, string.
+    Declared columns keep name, type and order of paths, and take in what was renamed from or to these paths.  Names that can't be
+    column names get none; ``consistent`` keeps their values in ``rest``.
+    """
+    declared = declared or {}
+    s = Scratch(records.sparkSession, "layout")
+    stats = s.cut(statistics(records))
+    kinds = _kind_counts(stats).collect()
+    fields = records.select("record_type", F.explode("fields").alias("f")).where("f.kind = 'number'")
+    whole = F.col("f.raw").try_cast("bigint")
+    exact = F.col("f.raw").rlike("[.eEN]|Infinity") | F.coalesce(whole.between(-(2**53), 2**53), F.lit(False))
+    numbers = {(r.record_type, r.path): r for r in fields.groupBy("record_type", F.col("f.path").alias("path")).agg(
+        F.bool_and(whole.isNotNull()).alias("whole"), F.bool_and(exact).alias("exact")).collect()}
+    pairs = s.cut(changes(records, files).where("change_kind = 'renamed'").groupBy("record_type", "field_name", "new_name").agg(F.count(F.lit(1)).alias("n")))
+    moved = pairs.select("record_type", F.explode(F.array("field_name", "new_name")).alias("path")).distinct()
+    held = stats.select("dump_id", "record_type", "path").join(moved, ["record_type", "path"], "left_semi")
+    together = {(r.record_type, r.path, r.other) for r in held.join(held.withColumnRenamed("path", "other"), ["dump_id", "record_type"]).where("path <> other").select("record_type", "path", "other").distinct().collect()}
+    renames = pairs.collect()
+    s.close()
+
+    n: dict[tuple[str, str], int] = {}
+    for r in kinds:
+        n[r.record_type, r.path] = n.get((r.record_type, r.path), 0) + r.n
+    group = {x: [x] for x in n}
+    owner = {p: name for name, (_, paths) in declared.items() for p in paths}
+    of = {x: owner.get(x[1]) for x in n}
+    for r in sorted(renames, key=lambda r: (-r.n, r.record_type, r.field_name, r.new_name)):
+        x, y = (r.record_type, r.field_name), (r.record_type, r.new_name)
+        if x not in group or y not in group or group[x] is group[y]:
+            continue
+        if (of[x] and of[y] and of[x] != of[y]) or (of[x] is None or of[x] != of[y]) and any((r.record_type, a[1], b[1]) in together for a in group[x] for b in group[y]):
+            continue
+        both, name = group[x] + group[y], of[x] or of[y]
+        for z in both:
+            group[z], of[z] = both, name
+    members: dict[str, list[tuple[str, str]]] = {name: [] for name in declared}
+    for x in sorted(n):
+        name = of[x] or max(group[x], key=lambda z: (n[z], z[1]))[1]
+        if x[1] == "_type" or x[1] == KEYS.get(x[0]):
+            continue
+        members.setdefault(name, []).append(x)
+    taken = {"dump_id", "line_no", "record_type", "record_key", "failed", "rest"} | {name.lower() for name in declared}
+    out = {}
+    for name, own in members.items():
+        if name in declared:
+            order = {p: i for i, p in enumerate(declared[name][1])}
+            out[name] = (declared[name][0], sorted(own, key=lambda x: (order.get(x[1], len(order)), x)))
+        elif _NAME.fullmatch(name):
+            count: dict[str, int] = {}
+            for r in kinds:
+                if (r.record_type, r.path) in own:
+                    count[r.kind] = count.get(r.kind, 0) + r.n
+            kind = max(count, key=lambda k: (count[k], k))
+            seen = [numbers[x] for x in own if x in numbers]
+            number = "bigint" if all(r.whole for r in seen) else "double" if all(r.exact for r in seen) else "string"
+            free, i = name, 2
+            while free.lower() in taken:
+                free, i = f"{name}_{i}", i + 1
+            taken.add(free.lower())
+            out[free] = ({"number": number, "boolean": "boolean"}.get(kind, "string"), sorted(own, key=lambda x: (-n[x], x)))
+    return out
+
+
+def consistent(records: DataFrame, columns: dict[str, tuple[str, list[str | tuple[str, str]]]]) -> DataFrame:
+    """One table: dump_id, line_no, record_type, record_key, the columns, failed (the columns whose value doesn't cast) and
+    rest: from path to raw value, each non-null field that is in no column, those that don't cast among them.
+
+    columns: name to (SQL type, the paths it was written under, of any type or as (record_type, path); the first that is there counts).
     """
     by = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["raw"])))
     df = records.select("dump_id", "line_no", "record_type", "record_key", by.alias("raw"))
-    raw = {name: F.coalesce(*[F.col("raw")[p] for p in paths]) for name, (_, paths) in columns.items()}
+
+    def at(p: str | tuple[str, str]) -> tuple[F.Column, str]:
+        return (F.col("raw")[p], p) if isinstance(p, str) else (F.when(F.col("record_type") == p[0], F.col("raw")[p[1]]), p[1])
+
+    null = F.lit(None).cast("string")
+    raw = {name: F.coalesce(null, *[at(p)[0] for p in paths]) for name, (_, paths) in columns.items()}
+    path = {name: F.coalesce(null, *[F.when(at(p)[0].isNotNull(), F.lit(at(p)[1])) for p in paths]) for name, (_, paths) in columns.items()}
     cast = {name: raw[name].try_cast(columns[name][0]) for name in columns}
     failed = F.array_compact(F.array(*[F.when(raw[n].isNotNull() & cast[n].isNull(), F.lit(n)) for n in columns]))
-    return df.select("dump_id", "line_no", "record_type", "record_key", *[c.alias(n) for n, c in cast.items()], failed.alias("failed"))
+    key = F.coalesce(null, *[F.when(F.col("record_type") == t, F.lit(k)) for t, k in KEYS.items()])
+    used = F.array_compact(F.array(F.lit("_type"), key, *[F.when(cast[n].isNotNull(), path[n]) for n in columns]))
+    df = df.select("dump_id", "line_no", "record_type", "record_key", "raw", *[c.alias(n) for n, c in cast.items()], failed.alias("failed"), used.alias("used"))
+    rest = F.map_filter("raw", lambda p, v: v.isNotNull() & ~F.array_contains("used", p))
+    return df.select("dump_id", "line_no", "record_type", "record_key", *[F.col(n) for n in columns], "failed", rest.alias("rest"))
 
 
 def failed_casts(table: DataFrame) -> DataFrame:

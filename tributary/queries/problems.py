@@ -67,7 +67,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         "repo", "record_type", "dump_id", "change_kind", "field_name", "new_name")
 
 
-#: Columns of the common table: type, and the names that the field is written under.
+#: Columns of the common table whose type or name statistics alone don't give: type, and the names that the field is written under.
 P3_COLUMNS = {
     "version": ("int", ["_version", "version", "schema_version", "_schemaVersion"]),
     "task_hash": ("string", ["task_hash", "taskHash", "code_hash", "task_id"]),
@@ -83,7 +83,8 @@ P3_COLUMNS = {
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(_p3_records(spark, d), P3_COLUMNS)
+    records = Scratch(spark, "p3").cut(_p3_records(spark, d))
+    return drift.consistent(records, drift.layout(records, table(spark, d, "dump_file", "dump_id", "repo", "exported_at"), P3_COLUMNS))
 
 
 def p3_failed_casts(spark: SparkSession, d: str) -> DataFrame:
