@@ -99,3 +99,32 @@ def test_star(spark):
     rows = H.hierarchy(frame(spark, [(f"c{i}", "hub") for i in range(500)])).collect()
     pos = sorted(r["pos"] for r in rows)
     assert pos == list(range(501)) and next(r for r in rows if r["node"] == "hub")["n_descendants"] == 500
+
+
+def test_descendants_by_all_parents(spark):
+    """Nodes with several parents are below each of them, also across further links; cycles stay apart."""
+    rng = random.Random(5)
+    edges = [(f"n{i:02}", f"n{rng.randrange(max(0, i - 12), i):02}") for i in range(1, 60) for _ in range(rng.randrange(1, 4))]
+    edges += [("x", "y"), ("y", "x"), ("under", "x"), ("n05", "under"), ("alone", None)]
+    links = {(c, p) for c, p in edges if p is not None and not {c, p} & {"x", "y"}}
+    below = {}
+    for n in {x for e in edges for x in e if x is not None}:
+        reached, work = set(), [n]
+        while work:
+            at = work.pop()
+            new = {c for c, p in links if p == at} - reached
+            reached |= new
+            work += new
+        below[n] = reached
+    rows = H.descendants(frame(spark, edges)).collect()
+    own = {r["node"]: r for r in rows if r["own"]}
+    assert set(own) == set(below)
+    for n, want in below.items():
+        mine = [r for r in rows if r["node"] == n]
+        got = [m for r in mine for m, x in own.items() if x["root"] == r["root"] and r["pos"] <= x["pos"] <= r["last_pos"]]
+        assert sorted(got) == sorted(want | {n}) and {r["n_descendants"] for r in mine} == {len(want)}
+    tree = {r["node"]: r for r in H.hierarchy(frame(spark, edges)).collect()}
+    kept = {(n, r["path"].split("/")[-2]) for n, r in tree.items() if r["depth"]}
+    more = H.further(frame(spark, edges)).collect()
+    assert {(r["node"], r["parent"]) for r in more} == links - kept and len(more) == len(links - kept)
+    assert all(r["path"] == tree[r["parent"]]["path"] + "/" + r["node"] and r["depth"] == tree[r["parent"]]["depth"] + 1 for r in more)

@@ -9,8 +9,8 @@ their place.  So a chain of any length shrinks by a constant factor a round.  Wh
 connected components: by Tarjan's method in one task once it has at most CORE_LINKS links, by forward and backward
 reach of a pivot per component otherwise.  Spliced nodes are on a cycle if their replacement link is.
 
-*Heavy paths.*  Links to and from cycle nodes are cut; a node with several parents keeps all of them in
-``parents`` and hangs under the least one.  Depths and subtree sizes come from pointer doubling, in as many rounds as
+*Heavy paths.*  Links to and from cycle nodes are cut; a node with several parents hangs under the one of the least digest,
+and the links to its further parents are given by ``further`` and followed by ``descendants``.  Depths and subtree sizes come from pointer doubling, in as many rounds as
 the logarithm of the depth.  Each node's largest child continues its chain, all other children start one, so any
 path has at most log2(n) chains: paths are made by concatenating chain segments, and the descendants of a node are
 the interval of positions from its own to its own plus its size, in an order in which every chain is contiguous.
@@ -192,10 +192,52 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
     ns, node, path (keys from the root to the node), depth (0 for a root), root, n_parents (distinct ones),
     n_descendants, pos and last_pos (the descendants of a node are the other nodes of its ns and root with
     pos between these two), on_cycle.  A node on a cycle is alone: its path is its key and it has no descendants;
-    nodes below a cycle hang under roots of their own.
+    nodes below a cycle hang under roots of their own.  Of a node's parents only one counts for all but n_parents.
     """
-    spark = edges.sparkSession
-    s = Scratch(spark, "hierarchy")
+    return _forest(edges, Scratch(edges.sparkSession, "hierarchy"), core_links, separator)[0].drop("v")
+
+
+def further(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "/") -> DataFrame:
+    """(ns, node, parent, path, depth): each link outside cycles to a parent that the node doesn't hang under in ``hierarchy``,
+    and the path and depth that the node has by this link under its parent's own path."""
+    s = Scratch(edges.sparkSession, "further")
+    nodes, _, extra = _forest(edges, s, core_links, separator)
+    up = nodes.select(F.col("v").alias("p"), F.col("node").alias("parent"), F.col("path").alias("lead"), (F.col("depth") + 1).alias("depth"))
+    return extra.join(nodes.select(F.col("v").alias("c"), "ns", "node"), "c").join(up, "p").select(
+        "ns", "node", "parent", F.concat("lead", F.lit(separator), "node").alias("path"), "depth")
+
+
+def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(ns, node, root, pos, last_pos, own, n_descendants): disjoint intervals of positions that hold exactly a node and all its
+    descendants along links outside cycles, by any parent.
+
+    A node has one row with own, whose pos is its position and whose interval is its subtree in ``hierarchy``, and a row for each
+    further subtree: of a node that hangs elsewhere and is reached from it by a way whose last link is a further one.
+    These pairs are walked upward from the further links, a round a step, and intervals inside others left out.
+    """
+    s = Scratch(edges.sparkSession, "descendants")
+    nodes, live, extra = _forest(edges, s, core_links, "/")
+    nodes, live = s.cut(nodes.select("v", "ns", "node", "root", "pos", "last_pos")), s.cut(live)
+    front, more = s.counted(extra.select(F.col("p").alias("a"), "c"))
+    seen = front
+    up = live.select(F.col("c").alias("a"), F.col("p").alias("above"))
+    while more:
+        front, more = s.counted(front.join(up, "a").select(F.col("above").alias("a"), "c").distinct().join(seen, ["a", "c"], "left_anti"))
+        old, seen = seen, s.cut(seen.unionByName(front)) if more else seen
+        if old is not seen:
+            s.free(old)
+    place = nodes.select(F.col("v").alias("c"), "root", "pos", "last_pos")
+    rows = nodes.select(F.col("v").alias("a"), "root", "pos", "last_pos", F.lit(True).alias("own")).unionByName(
+        seen.join(place, "c").select("a", "root", "pos", "last_pos", F.lit(False).alias("own")))
+    before = Window.partitionBy("a", "root").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max("last_pos").over(before)).where("reach is null or reach < pos")
+    n = F.sum(F.col("last_pos") - F.col("pos") + 1).over(Window.partitionBy("a")) - 1
+    return rows.select("a", "root", "pos", "last_pos", "own", n.alias("n_descendants")).join(nodes.select(F.col("v").alias("a"), "ns", "node"), "a").select(
+        "ns", "node", "root", "pos", "last_pos", "own", "n_descendants")
+
+
+def _forest(edges: DataFrame, s: Scratch, core_links: int, separator: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``hierarchy`` with each node's digest v, the links (c, p) outside cycles, and those of them to further parents."""
     keys = edges.select("ns", F.explode(F.array_distinct(F.array("child", "parent"))).alias("node")).where("node is not null").distinct()
     keys = s.cut(keys.select(node_id(F.col("ns"), F.col("node")).alias("v"), "ns", "node"))
     links = s.cut(_links(edges))
@@ -268,5 +310,6 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
         "v", F.concat("prefix", "segment").alias("path"), "depth", "root", (F.col("size") - 1).alias("n_descendants"),
         (F.col("base") + F.col("below")).alias("pos"), (F.col("base") + F.col("below") + F.col("size") - 1).alias("last_pos"))
     on = loop.withColumn("on_cycle", F.lit(True))
-    return out.join(keys, "v").join(n_parents, "v", "left").join(on, "v", "left").select(
-        "ns", "node", "path", "depth", "root", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), "n_descendants", "pos", "last_pos", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    rows = out.join(keys, "v").join(n_parents, "v", "left").join(on, "v", "left").select(
+        "v", "ns", "node", "path", "depth", "root", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), "n_descendants", "pos", "last_pos", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return rows, live, live.join(tree.select(F.col("v").alias("c"), F.col("up").alias("p")), ["c", "p"], "left_anti")

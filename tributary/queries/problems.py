@@ -132,9 +132,14 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
         F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "path", "depth", "root", "n_parents", "n_descendants", "on_cycle")
 
 
+def p5_further_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The links to containers that a value doesn't hang under in p5_paths, and its paths by them."""
+    return hierarchy.further(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), F.col("parent").alias("parent_key"), "path", "depth")
+
+
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """The descendants of a node are the other nodes of its table and root with pos between its pos and last_pos."""
-    return hierarchy.hierarchy(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "root", "pos", "last_pos")
+    """The descendants of a node by all its links are the other nodes of its table and a row's root whose own pos is between the row's pos and last_pos."""
+    return hierarchy.descendants(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "root", "pos", "last_pos", "own", "n_descendants")
 
 
 _P5_SQL = """
@@ -194,7 +199,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_records": p3_records, "p3_failed_casts": p3_failed_casts, "p3_types": p3_types,
     "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge,
-    "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants,
+    "p5_found": p5_found, "p5_paths": p5_paths, "p5_further_paths": p5_further_paths, "p5_descendants": p5_descendants,
     "p6_found": p6_found, "p6_periods": p6_periods,
     "p7_found": p7_found, "p7_results": p7_results, "p7_join": p7_join,
 }
