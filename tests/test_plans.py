@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import values as V
 from tributary.plans import reuse, sync, tags
 from tributary.plans import transforms as T
-from tributary.plans.graph import reachable, topological_levels
+from tributary.plans.graph import passed_on, reachable, topological_levels
+from tributary.scratch import Scratch
 from tributary.sources import datasets, files
 from tributary.streaming import changes
 
@@ -141,3 +144,28 @@ def test_new_files(spark, tmp_path):
     spark.createDataFrame([(2,)], "x int").write.mode("append").json(f"{tmp_path}/in")
     run()
     assert run() == 0 and sorted(got) == [1, 2]
+
+
+def test_candidates_passed_on(spark):
+    """Ancestors count by every parent and through cycles, those of one cycle not for each other."""
+    rng = random.Random(3)
+    links = [(f"c{rng.randrange(i):02}", f"c{i:02}") for i in range(1, 50) for _ in range(rng.randrange(1, 3))] + [("c07", "c07"), ("x", "y"), ("y", "x"), ("c03", "x"), ("y", "low"), ("low", "lower")]
+    for i in (9, 20, 31):
+        links += [(f"c{i:02}", f"r{i}"), (f"r{i}", f"c{rng.randrange(i):02}")]
+    calls = sorted({c for e in links for c in e} | {"no link"})
+    cand = sorted({(f"v{i}", rng.choice(calls)) for i in range(60) for _ in range(1 + i % 4)} | {("w", c) for c in ("x", "y", "lower", "c03")})
+    below = {}
+    for n in calls:
+        reached, work = set(), [n]
+        while work:
+            at = work.pop()
+            new = {c for p, c in links if p == at} - reached
+            reached |= new
+            work += new
+        below[n] = reached
+    want = {(v, a) for v, a in cand if any(w == v and b in below[a] and a not in below[b] for w, b in cand)}
+    for core in (200_000, 1):
+        got = passed_on(spark.createDataFrame(cand, "value_hash string, call_hash string"), spark.createDataFrame(links, "parent_id string, child_id string"), Scratch(spark, "test"), core)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {a for v, a in want if v == "w"} == {"x", "y", "c03"}

@@ -169,6 +169,22 @@ def cyclic(links: DataFrame, s: Scratch, core_links: int = CORE_LINKS) -> DataFr
     return loops.select(F.col("c").alias("v")).distinct()
 
 
+def components(links: DataFrame, cycle: DataFrame, s: Scratch, core_links: int = CORE_LINKS) -> DataFrame:
+    """(v, comp) of the nodes on cycles (v) of links (c, p): the least node of their strongly connected component."""
+    inner, n = s.counted(links.join(cycle.withColumnRenamed("v", "c"), "c", "left_semi").join(cycle.withColumnRenamed("v", "p"), "p", "left_semi").select("c", "p"))
+    inner = s.cut(inner.coalesce(1).mapInArrow(_components, "c binary, p binary")) if n <= core_links else _reach_components(inner, s)
+    # No link left leads out of a component: the least label spreads both ways, and a node takes its label's label.
+    both = s.cut(inner.union(inner.select("p", "c")).toDF("v", "w").distinct())
+    label, moved = s.cut(cycle.select("v", F.col("v").alias("comp"))), 1
+    while moved:
+        near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("comp").alias("near"))
+        low = label.join(near, "v").select("v", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
+        far = label.select(F.col("v").alias("comp"), F.col("comp").alias("far"))
+        new, moved = s.counted(low.join(far, "comp").select("v", F.least("comp", "far").alias("comp"), (F.least("comp", "far") < F.col("was")).alias("moved")), F.col("moved"))
+        label = new.select("v", "comp")
+    return label
+
+
 def _links(edges: DataFrame) -> DataFrame:
     """edges (ns, child, parent) as distinct (c, p)."""
     return edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select(

@@ -129,22 +129,52 @@ def value_origin(p: Provenance) -> DataFrame:
     """(value_hash, call_hash): of each value, the call it came from, null if none.
 
     Candidates are the calls whose result it is or is a part of.  A candidate that is an ancestor of another only
-    passed it on; of the rest the call of the latest job counts (ties: the greatest hash).  Ancestors are told by
-    the intervals of the call hierarchy: a candidate is one exactly if the next candidate in position lies in its interval.
+    passed it on, unless they are on one cycle; of the rest the call of the latest job counts (ties: the greatest hash).
     """
     direct = p.call.select("value_hash", "call_hash")
     part = p.subvalue.join(p.call.select(F.col("value_hash").alias("parent_value_hash"), "call_hash"), "parent_value_hash").select("value_hash", "call_hash")
-    cand = direct.unionByName(part).where("value_hash is not null").distinct()
-    links = p.call_edge.select(F.lit("call").alias("ns"), F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
-    at = hierarchy.hierarchy(links).select(F.col("node").alias("call_hash"), "root", "pos", "last_pos")
-    w = Window.partitionBy("value_hash", "root").orderBy("pos", "call_hash")
-    placed = cand.join(at, "call_hash", "left").withColumn("root", F.coalesce("root", "call_hash"))
-    own = placed.withColumn("next", F.lead("pos").over(w)).where("next is null or pos is null or next > last_pos")
+    s = Scratch(p.spark, "origin")
+    cand = s.cut(direct.unionByName(part).where("value_hash is not null").distinct())
+    own = cand.join(passed_on(cand, p.call_edge, s), ["value_hash", "call_hash"], "left_anti")
     started = p.job.where("call_hash is not null").groupBy("call_hash").agg(F.max("start_time").alias("start_time"))
     best = own.join(started, "call_hash").groupBy("value_hash").agg(F.max_by("call_hash", F.struct("start_time", "call_hash")).alias("call_hash"))
     return p.value.select("value_hash").join(best, "value_hash", "left")
 
 
+def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int = hierarchy.CORE_LINKS) -> DataFrame:
+    """(value_hash, call_hash): the candidates (value_hash, call_hash) that are ancestors of another candidate of the value by links
+    (parent_id, child_id), by any parent and through cycles; calls of one cycle are no ancestors of each other.
+
+    Cycles are one node.  From the candidates of values that have several, (value, ancestor) pairs are walked upward, a layer a
+    round, each pair once.
+    """
+    node = lambda c: hierarchy.node_id(F.lit("call"), F.col(c))
+    links = s.cut(call_edge.where("child_id is not null and parent_id is not null").select(node("child_id").alias("c"), node("parent_id").alias("p")).distinct())
+    comp = s.cut(hierarchy.components(links, s.cut(hierarchy.cyclic(links, s, core_links)), s, core_links))
+
+    def whole(df: DataFrame, c: str) -> DataFrame:
+        return df.join(comp.select(F.col("v").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
+
+    wide = whole(whole(links, "c"), "p").where("c <> p").select("c", "p").distinct()
+    several = s.cut(cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash", F.monotonically_increasing_id().alias("v")))
+    first = whole(cand.join(several, "value_hash").select("v", "value_hash", "call_hash", node("call_hash").alias("c")), "c")
+    # Short numbers in place of digests; the walk holds many pairs.
+    number = s.cut(wide.select("c").union(wide.select("p")).distinct().select("c", F.monotonically_increasing_id().alias("i")))
+    up = s.cut(wide.join(number, "c").select(F.col("i").alias("at"), F.col("p").alias("c")).join(number, "c").select("at", F.col("i").alias("above")))
+    start = s.cut(first.join(number, "c").select("v", "value_hash", "call_hash", F.col("i").alias("at")))
+    front, more = s.counted(start.select("v", "at").distinct().join(up, "at").select("v", F.col("above").alias("at")).distinct())
+    seen = [front]
+    while more:
+        nxt = front.join(up, "at").select("v", F.col("above").alias("at")).distinct()
+        front, more = s.counted(nxt.join(union(seen), ["v", "at"], "left_anti"))
+        seen.append(front)
+        if len(seen) > 8:
+            whole_seen = s.cut(union(seen))
+            s.free(*[x for x in seen if x is not front])
+            seen = [whole_seen]
+    return start.join(union(seen), ["v", "at"], "left_semi").select("value_hash", "call_hash")
+
+
 def child_producer(p: Provenance) -> DataFrame:
     """(call_hash, value_hash, child_hash): the one child call whose result is the call's result or holds it; none unless exactly one."""
     results = p.call.select("call_hash", "value_hash")
