@@ -407,6 +407,12 @@ def reachable_records(p: Provenance) -> DataFrame:
     return graph.reachable(graph.edges(p), roots)
 
 
+@query("execution", "job", "call", "argument", "call_edge", "subvalue", "tag", sql=f"WITH RECURSIVE {_EDGES}, r(type, id) AS (SELECT 'Execution', id FROM p_execution UNION SELECT e.dt, e.d FROM r JOIN e ON e.st = r.type AND e.s = r.id) SELECT type, id FROM r")
+def reachable_records_all(p: Provenance) -> DataFrame:
+    """What all executions reach; ``reachable_records`` is a sample of three."""
+    return graph.reachable(graph.edges(p), p.execution.select(F.lit("Execution").alias("type"), "id"))
+
+
 @query("execution", "job", "call", "argument", "call_edge", "subvalue", "tag", sql=f"WITH {_EDGES} SELECT st AS src_type, dt AS dst_type, count(*) AS n FROM e WHERE NOT (st = 'Job' AND dt = 'Job' AND s = d) GROUP BY ALL")
 def record_edges(p: Provenance) -> DataFrame:
     return graph.edges(p).select("src_type", "src", "dst_type", "dst").distinct().groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n"))
