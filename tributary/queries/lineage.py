@@ -428,6 +428,16 @@ def rollback_descendants(p: Provenance) -> DataFrame:
     return graph.rollback(links, roots)
 
 
+_ALL_ROOTS = "(SELECT job_id FROM p_execution WHERE job_id IS NOT NULL)"
+
+
+@query("execution", "job", sql=f"WITH RECURSIVE r(id) AS (SELECT j.id FROM p_job j WHERE j.parent_id IN {_ALL_ROOTS} UNION SELECT j.id FROM r JOIN p_job j ON j.parent_id = r.id) SELECT id FROM r WHERE id NOT IN {_ALL_ROOTS}")
+def rollback_descendants_all(p: Provenance) -> DataFrame:
+    """The descendants of every execution's root job; ``rollback_descendants`` is a sample of twenty."""
+    links = p.job.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+    return graph.rollback(links, p.execution.where("job_id is not null").select(F.col("job_id").alias("id")).distinct())
+
+
 @query("job", sql="SELECT id FROM p_job WHERE id < '8' UNION SELECT id FROM p_job WHERE id > '6'")
 def advance_states(p: Provenance) -> DataFrame:
     low, high = p.job.where("id < '8'").select("id"), p.job.where("id > '6'").select("id")
