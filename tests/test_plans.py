@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tributary.functions import values as V
 from tributary.plans import reuse, sync, tags
 from tributary.plans import transforms as T
-from tributary.plans.graph import passed_on, reachable, topological_levels
+from tributary.plans.graph import levels, passed_on, reachable, topological_levels
 from tributary.scratch import Scratch
 from tributary.sources import datasets, files
 from tributary.streaming import changes
@@ -169,3 +169,10 @@ def test_candidates_passed_on(spark):
         rows = [tuple(r) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
     assert {a for v, a in want if v == "w"} == {"x", "y", "c03"}
+
+
+def test_levels_across_cycles(spark):
+    """Nodes on and behind cycles have levels too."""
+    e = spark.createDataFrame([tuple(x) for x in ["ab", "bc", "ac", "xy", "yx", "yz", "cx", "pq", "qp", "ss"]], "src string, dst string")
+    assert sorted(tuple(r) for r in levels(e).collect()) == [
+        ("a", 0, False), ("b", 1, False), ("c", 2, False), ("p", 0, True), ("q", 0, True), ("s", 0, True), ("x", 3, True), ("y", 3, True), ("z", 4, False)]

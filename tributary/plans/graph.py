@@ -83,6 +83,22 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         level += 1
 
 
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level, on_cycle) of any edge list (src, dst): ``topological_levels`` with the nodes of a cycle as one node, so none is left out."""
+    s = Scratch(edges.sparkSession, "levels")
+    node = lambda c: hierarchy.node_id(F.lit("n"), F.col(c))
+    own = edges.where("src is not null and dst is not null")
+    links = s.cut(own.select(node("dst").alias("c"), node("src").alias("p")).distinct())
+    loop = s.cut(hierarchy.cyclic(links, s))
+    comp = s.cut(hierarchy.components(links, loop, s))
+    keys = s.cut(own.select(F.col("src").alias("node")).union(own.select("dst")).distinct().withColumn("v", node("node")).join(comp, "v", "left").select(
+        "node", "v", F.coalesce("comp", "v").alias("at"), F.col("comp").isNotNull().alias("on_cycle")))
+    of = keys.select("v", "at")
+    whole = links.join(of.toDF("c", "dst"), "c").join(of.toDF("p", "src"), "p").where("src <> dst").select("src", "dst")
+    got = topological_levels(whole).withColumnRenamed("node", "at")
+    return keys.join(got, "at", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"), "on_cycle")
+
+
 # --- trees of jobs
 
 

@@ -498,6 +498,12 @@ SQL["topological_levels"] = f"""WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (
 r(v, l) AS (SELECT v, 0 FROM n WHERE v NOT IN (SELECT b FROM e) UNION SELECT e.b, l + 1 FROM r JOIN e ON e.a = r.v) SELECT v AS node, max(l) AS level FROM r GROUP BY v"""
 
 
+@query()
+def call_levels(p: Provenance) -> DataFrame:
+    """The level of every call with a link, over all links; ``topological_levels`` is a small sample with SQL."""
+    return graph.levels(p.call_edge.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst")))
+
+
 # --- tags, transfer
 
 
