@@ -1,9 +1,17 @@
 """Deeply nested records as flat tables that keep every parent-child link.
 
 Each JSON line is walked bottom-up.  Every object is put in a canonical form, its members in order and nested objects
-replaced by their hashes (arrays stay, with hashes for the objects in them), and hashed itself: a Merkle identity, the same wherever the same subtree occurs.  Identical
-objects are stored once; each occurrence is one bridge row with the parent object, the member or position it is under
-and its ordinal in the line.  The links between records (by their keys) are bridge rows too.
+replaced by references to their hashes (arrays stay, with references for the objects in them), and hashed itself: a
+Merkle identity, the same wherever the same subtree occurs.  Identical objects are stored once; each occurrence, that of
+a line's own object too, is one bridge row with the object around it, the place in it, and its ordinal among the objects there.
+
+``body`` is JSON; an object in it is always a reference ``{"#": hash}``, so a line is got back from its bridge row without a
+parent and the bodies of the objects below, equal to the line as a JSON value (of members with one name the last counts; 1.0 is 1).
+A string that holds JSON stays a string in the body; the objects in it are stored and bridged too, with ``$`` in their place.
+
+Links between records are bridge rows: an occurrence that is an item of a list of a record names the link and the hash
+of the object that holds the list; an item that is a bare key is a bridge row of its own with the key in ``child_key``.
+``links`` gets the keys on both sides from the stored objects.
 
 A record is a Job if it has ``id``, else a CallNode if it has ``call_hash``, else a Value if it has ``value_hash``;
 null and '' are not keys.  Lists of items come as arrays or objects of any nesting, as single items, or as strings that
@@ -14,7 +22,6 @@ Nesting of any depth is walked without a limit of its own.  Numbers and booleans
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 from hashlib import sha256
@@ -23,93 +30,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCHEMA = "row_kind string, line_id bigint, ordinal int, parent string, child string, place string, object_kind string, object_key string, body string"
-_ARROW = pa.schema([("row_kind", pa.string()), ("line_id", pa.int64()), ("ordinal", pa.int32()), ("parent", pa.string()), ("child", pa.string()),
-                    ("place", pa.string()), ("object_kind", pa.string()), ("object_key", pa.string()), ("body", pa.string())])
-#: Kinds of records in order of precedence: kind, key, and the list members with the key of their items and the link.
+from tributary.functions.json_text import read_json, scalar
+from tributary.scratch import Scratch
+
+#: Kinds of records in order of precedence, with their keys.
 KINDS = (("Job", "id"), ("CallNode", "call_hash"), ("Value", "value_hash"))
+#: Lists of a record: member, key of its items, link.
+LISTS = {"Job": [("children", "id", "job_child")], "CallNode": [("args", "arg_hash", "argument"), ("children", "call_hash", "call_child")], "Value": [("subvalues", "value_hash", "subvalue")]}
+#: The keys of holder and item of each link.
+ENDS = {"argument": ("call_hash", "arg_hash"), "upstream": ("arg_hash", "call_hash"), "call_child": ("call_hash", "call_hash"), "job_child": ("id", "id"), "subvalue": ("value_hash", "value_hash")}
+_KEYS = ("id", "call_hash", "value_hash", "arg_hash")
 
+_OBJECT = [("object_hash", pa.string()), *[(k, pa.string()) for k in _KEYS], ("body", pa.string())]
+_BRIDGE = [("line_id", pa.int64()), ("node", pa.int32()), ("parent_node", pa.int32()), ("ordinal", pa.int32()), ("parent_hash", pa.string()), ("child_hash", pa.string()),
+           ("child_key", pa.string()), ("place", pa.string()), ("link_kind", pa.string()), ("holder_hash", pa.string())]
+_ARROW = pa.schema(_OBJECT + _BRIDGE)
+_SCHEMA = "object_hash string, id string, call_hash string, value_hash string, arg_hash string, body string, line_id bigint, node int, parent_node int, ordinal int, parent_hash string, child_hash string, child_key string, place string, link_kind string, holder_hash string"
 
-def read_json(text: str) -> object:
-    """Like json.loads, at any depth."""
-    try:
-        return json.loads(text)
-    except RecursionError:
-        return _deep_json(text)
-
-
-def _deep_json(text: str) -> object:
-    """A parser with its own stack for texts nested deeper than the built-in one goes."""
-    scan, space = json.JSONDecoder().raw_decode, json.decoder.WHITESPACE
-    i, stack, done = space.match(text, 0).end(), [], False
-    result: object = None
-
-    def put(v: object) -> None:
-        nonlocal result, done
-        if not stack:
-            result, done = v, True
-        elif isinstance(stack[-1][0], list):
-            stack[-1][0].append(v)
-        else:
-            stack[-1][0][stack[-1][1]] = v
-
-    def member(i: int) -> int:
-        key, i = scan(text, i)
-        i = space.match(text, i).end()
-        if not isinstance(key, str) or text[i:i + 1] != ":":
-            raise ValueError("no member")
-        stack[-1][1] = key
-        return space.match(text, i + 1).end()
-
-    while not done:
-        c = text[i:i + 1]
-        if c == "[" or c == "{":
-            stack.append([[] if c == "[" else {}, None])
-            i = space.match(text, i + 1).end()
-            if text[i:i + 1] != ("]" if c == "[" else "}"):
-                if c == "{":
-                    i = member(i)
-                continue
-        else:
-            v, i = scan(text, i)
-            put(v)
-        while stack:  # close, or go to the next element
-            i = space.match(text, i).end()
-            c = text[i:i + 1]
-            if c == ("]" if isinstance(stack[-1][0], list) else "}"):
-                v = stack.pop()[0]
-                put(v)
-                i += 1
-            elif c == ",":
-                i = space.match(text, i + 1).end()
-                if isinstance(stack[-1][0], dict):
-                    i = member(i)
-                break
-            else:
-                raise ValueError("no delimiter")
-    if space.match(text, i).end() != len(text):
-        raise ValueError("text after the value")
-    return result
 
+class _Held(str):
+    """A string that holds JSON, with what it holds."""
 
-def record_kind(o: dict) -> tuple[str, str] | None:
-    """(kind, key) of a record."""
-    for kind, name in KINDS:
-        k = o.get(name)
-        if isinstance(k, str) and k:
-            return kind, k
-    return None
+    value: list | dict
 
 
-def _held(s: str) -> object:
-    """The array or object that a string holds, or None."""
+def _held(s: str) -> str:
     t = s.strip()
     if t[:1] in ("[", "{") and t[-1:] in ("]", "}"):
         try:
             v = read_json(t)
         except ValueError:
-            return None
-        return v if isinstance(v, (list, dict)) else None
+            return s
+        if isinstance(v, (list, dict)):
+            h = _Held(s)
+            h.value = v
+            return h
+    return s
+
+
+def record_kind(o: dict) -> str | None:
+    for kind, name in KINDS:
+        if isinstance(k := o.get(name), str) and k:
+            return kind
     return None
 
 
@@ -127,96 +89,117 @@ def _flat(text: str | tuple) -> str:
     return "".join(out)
 
 
-class _Line:
-    """The rows of one line."""
-
-    def __init__(self, line_id: int) -> None:
-        self.line_id, self.rows, self.n = line_id, [], 0
+def _path(steps: tuple | None) -> str:
+    out = []
+    while steps:
+        steps, step = steps
+        out.append(step)
+    return "/".join(reversed(out))
 
-    def row(self, kind: str, parent: str | None, child: str | None, place: str | None, object_kind: str | None = None, object_key: str | None = None, body: str | None = None) -> None:
-        self.rows.append((kind, self.line_id, self.n, parent, child, place, object_kind, object_key, body))
-        self.n += 1
 
-    # -- Merkle identities
-
-    def identify(self, root: dict) -> str:
-        """Hash of an object, with rows for it and all objects in it; strings that hold JSON count as what they hold."""
-        # Post-order over an explicit stack of [value, iterator, texts of finished members, bridge rows to come, place].
-        out: list[str] = []
-        stack = [self._frame(root, None)]
+class _Line:
+    """The objects, nodes and items of one line.
+
+    A node is [parent node, ordinal, place, hash, number of objects right below, link, holder node].
+    """
+
+    def __init__(self, root: dict) -> None:
+        self.objects: list[tuple] = []
+        self.nodes: list[list] = []
+        self.number: dict[int, int] = {}
+        self.items: list[tuple[int, int, str, str, str]] = []
+        self._identify(root)
+        self._link(root)
+
+    def _frame(self, v: dict | list, node: int, steps: tuple | None, text: bool) -> tuple:
+        """(value, its members to come, texts of finished ones, node around what is in it, steps there, whether out of a string)."""
+        if isinstance(v, dict):
+            own = len(self.nodes)
+            if node >= 0:
+                self.nodes[node][4] += 1
+            self.nodes.append([node, self.nodes[node][4] - 1 if node >= 0 else 0, _path(steps), None, 0, None, None])
+            self.number[id(v)] = own
+            return v, iter(list(v.items())), [], own, None, text
+        return v, iter(enumerate(v)), [], node, steps, text
+
+    def _identify(self, root: dict) -> None:
+        """Numbers nodes in the order of the text, and hashes objects when all in them are."""
+        stack = [self._frame(root, -1, None, False)]
+        names: list = [None]  # the member that each frame is for
         while stack:
-            value, members, parts, waiting, at = stack[-1]
-            for place, v in members:
-                if isinstance(v, str) and (h := _held(v)) is not None:
-                    v = h
+            value, members, parts, node, steps, text = stack[-1]
+            for name, v in members:
+                if type(v) is str and v and not v[0].isalnum() and isinstance(h := _held(v), _Held):
+                    value[name] = v = h
+                    parts.append((name, scalar(str(v))))
+                    stack.append(self._frame(h.value, node, ((steps, str(name)), "$"), True))
+                    names.append(name)
+                    break
                 if isinstance(v, (dict, list)):
-                    stack.append(self._frame(v, place))
+                    stack.append(self._frame(v, node, (steps, str(name)), False))
+                    names.append(name)
                     break
-                parts.append((place, json.dumps(v)))
+                parts.append((name, scalar(v)))
             else:
                 stack.pop()
+                name = names.pop()
                 if isinstance(value, list):
-                    stack[-1][2].append((at, ("[", *[x for _, t in parts for x in (t, ",")][:-1], "]") if parts else "[]"))
-                    continue
-                text = "{" + ",".join(f"{json.dumps(k)}:{_flat(t)}" for k, t in sorted(parts, key=lambda x: x[0])) + "}"
-                digest = sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:40]
-                kind = record_kind(value)
-                self.row("object", None, digest, None, kind and kind[0], kind and kind[1], text)
-                for place, child in waiting:
-                    self.row("bridge", digest, child, place)
-                if not stack:
-                    out.append(digest)
-                    continue
-                stack[-1][2].append((at, f"#{digest}"))
-                path, i = [at], len(stack) - 1
-                while isinstance(stack[i][0], list):  # places in arrays up to the object around them
-                    path.append(stack[i][4])
-                    i -= 1
-                stack[i][3].append(("/".join(reversed(path)), digest))
-        return out[0]
-
-    @staticmethod
-    def _frame(v: dict | list, place: str | None) -> list:
-        members = iter(list(v.items()) if isinstance(v, dict) else [(str(i), x) for i, x in enumerate(v)])
-        return [v, members, [], [], place]
-
-    # -- links between keys, by an explicit stack of (container, key of items, link, parent key)
-
-    def links(self, root: dict) -> None:
-        work: list[tuple[object, str | None, str | None, str | None]] = [(root, None, None, None)]
+                    out = ("[", *[x for _, t in parts for x in (t, ",")][:-1], "]") if parts else "[]"
+                else:
+                    body = "{" + ",".join(f"{scalar(k)}:{_flat(t)}" for k, t in sorted(parts, key=lambda x: x[0])) + "}"
+                    digest = sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:40]
+                    self.nodes[node][3] = digest
+                    self.objects.append((digest, *[k if isinstance(k := value.get(x), str) and k else None for x in _KEYS], body))
+                    out = f'{{"#":"{digest}"}}'
+                if stack and not text:
+                    stack[-1][2].append((name, out))
+
+    def _link(self, root: dict) -> None:
+        """Gives the items of lists their links, in the order of the text.  Work: (value, key of items, link, holder, node around it, steps there)."""
+        work: list[tuple] = [(root, None, None, None, 0, None)]
+
+        def members(v: dict, node: int, *lists: tuple) -> None:
+            for name, key, link in reversed(lists):
+                work.append((v.get(name), key, link, node if link else None, node, (None, name)))
+
         while work:
-            v, name, link, parent = work.pop()
-            if isinstance(v, str):
-                h = _held(v)
-                if h is not None:
-                    work.append((h, name, link, parent))
-                elif v and link:
-                    self.row("link", parent, v, link)
+            v, name, link, holder, node, steps = work.pop()
+            if isinstance(v, _Held):
+                work.append((v.value, name, link, holder, node, (steps, "$")))
+            elif isinstance(v, str):
+                if v and link:
+                    self.items.append((node, holder, link, v, _path(steps)))
             elif isinstance(v, list):
-                work.extend((x, name, link, parent) for x in v)
+                work.extend((v[i], name, link, holder, node, (steps, str(i))) for i in range(len(v) - 1, -1, -1))
             elif isinstance(v, dict):
+                own = self.number[id(v)]
                 key = v.get(name) if name else None
                 if link and isinstance(key, str) and key:
-                    self.row("link", parent, key, link)
+                    self.nodes[own][5:7] = link, holder
                     if link == "argument":
-                        work.append((v.get("upstream"), "call_hash", "upstream", key))
-                        work.append((v.get("value"), None, None, None))
+                        members(v, own, ("upstream", "call_hash", "upstream"), ("value", None, None))
                         continue
-                    work.append((v, None, None, None))
-                    continue
+                    name = None
                 kind = record_kind(v)
-                if kind is None:
-                    if name is None or name not in v:  # a container
-                        work.extend((x, name, link, parent) for x in v.values() if not (link is None and isinstance(x, str)))
-                    continue
-                what, own = kind
-                if what == "Job":
-                    work.append((v.get("children"), "id", "job_child", own))
-                elif what == "CallNode":
-                    work.append((v.get("args"), "arg_hash", "argument", own))
-                    work.append((v.get("children"), "call_hash", "call_child", own))
-                else:
-                    work.append((v.get("subvalues"), "value_hash", "subvalue", own))
+                if kind is not None:
+                    members(v, own, *LISTS[kind])
+                elif name is None or name not in v:  # a container
+                    if name is None:
+                        link, holder = None, None
+                    work.extend((x, name, link, holder, own, (None, k)) for k, x in reversed(v.items()) if not (link is None and isinstance(x, str)))
+
+    def rows(self, line_id: int) -> Iterator[tuple]:
+        nodes, none = self.nodes, (None,) * len(_BRIDGE)
+        for o in self.objects:
+            yield (*o, *none)
+        none = (None,) * len(_OBJECT)
+        for i, (parent, ordinal, place, digest, _, link, holder) in enumerate(nodes):
+            inside = parent >= 0
+            yield (*none, line_id, i, parent if inside else None, ordinal, nodes[parent][3] if inside else None, digest, None, place, link, None if holder is None else nodes[holder][3])
+        count: dict[int, int] = {}
+        for i, (parent, holder, link, key, place) in enumerate(self.items, len(nodes)):
+            count[parent] = n = count.get(parent, -1) + 1
+            yield (*none, line_id, i, parent, n, nodes[parent][3], None, key, place, link, nodes[holder][3])
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +211,8 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 o = read_json(p or "")
             except ValueError:
                 continue
-            if not isinstance(o, dict):
-                continue
-            line = _Line(i)
-            line.identify(o)
-            line.links(o)
-            rows += line.rows
+            if isinstance(o, dict):
+                rows += _Line(o).rows(i)
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []
@@ -252,20 +231,39 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def flatten(lines: DataFrame) -> DataFrame:
-    """All rows of lines (line_id, payload): objects, bridge rows and links, by row_kind."""
+    """All rows of lines (line_id, payload): an object row for each occurrence of an object, and bridge rows."""
     return lines.select(F.col("line_id").cast("bigint"), F.col("payload").cast("string")).mapInArrow(_flatten, _SCHEMA)
 
 
 def objects(rows: DataFrame) -> DataFrame:
-    """(object_hash, object_kind, object_key, body): each distinct object once; nested values in body are hashes."""
-    return rows.where("row_kind = 'object'").select(F.col("child").alias("object_hash"), "object_kind", "object_key", "body").distinct()
+    """(object_hash, id, call_hash, value_hash, arg_hash, body, object_kind, object_key): each distinct object once; nested objects in body are references."""
+    kind = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col(k).isNotNull(), F.lit(n)) for n, k in KINDS])
+    return rows.where("object_hash is not null").select("object_hash", *_KEYS, "body").groupBy("object_hash").agg(*[F.first(c).alias(c) for c in (*_KEYS, "body")]).select(
+        "*", kind.alias("object_kind"), F.coalesce(*[k for _, k in KINDS]).alias("object_key"))
 
 
 def bridge(rows: DataFrame) -> DataFrame:
-    """(line_id, ordinal, parent_hash, child_hash, place): each occurrence of an object in another."""
-    return rows.where("row_kind = 'bridge'").select("line_id", "ordinal", F.col("parent").alias("parent_hash"), F.col("child").alias("child_hash"), "place")
+    """(line_id, node, parent_node, ordinal, parent_hash, child_hash, child_key, place, link_kind, holder_hash): each occurrence of an object,
+    without a parent for a line's own one, and each bare key in a list of a record.
+
+    Nodes of a line are numbered, objects in the order of the text, then keys.  ordinal counts the objects, or the keys, with one parent.
+    place is the way to it from the object around it.  link_kind is null where no record lists it; else holder_hash is the record (or,
+    for upstream, the entry) that lists it, which isn't the parent if there are containers between.
+    """
+    return rows.where("node is not null").select(*[n for n, _ in _BRIDGE])
+
+
+def links(rows: DataFrame, s: Scratch) -> DataFrame:
+    """(link_kind, parent_key, child_key), distinct: bridge rows that are items, joined with the stored objects on either side.
+
+    As the objects of a subtree are stored once, its links are joined once, however often it occurs.
+    """
+    keys = s.cut(rows.where("object_hash is not null and coalesce(id, call_hash, value_hash, arg_hash) is not null").select("object_hash", *_KEYS).groupBy("object_hash").agg(*[F.first(c).alias(c) for c in _KEYS]))
+    held = rows.where("link_kind is not null").select("link_kind", "holder_hash", "child_hash", "child_key").distinct()
 
+    def end(side: int) -> F.Column:
+        return F.coalesce(*[F.when(F.col("link_kind") == k, F.col(e[side])) for k, e in ENDS.items()])
 
-def links(rows: DataFrame) -> DataFrame:
-    """(link_kind, parent_key, child_key), distinct."""
-    return rows.where("row_kind = 'link'").select(F.col("place").alias("link_kind"), F.col("parent").alias("parent_key"), F.col("child").alias("child_key")).distinct()
+    inner = held.where("child_hash is not null").drop("child_key").join(keys.withColumnRenamed("object_hash", "child_hash"), "child_hash").select("link_kind", "holder_hash", end(1).alias("child_key"))
+    both = inner.unionByName(held.where("child_hash is null").select("link_kind", "holder_hash", "child_key"))
+    return both.join(keys.withColumnRenamed("object_hash", "holder_hash"), "holder_hash").select("link_kind", end(0).alias("parent_key"), "child_key").distinct()
