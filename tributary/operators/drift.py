@@ -1,57 +1,59 @@
 """Records whose fields drift between files: one consistent table, and each change.
 
-Each line is loaded as a map from a path (a top-level field) to its raw JSON type and text; statistics of types
-are aggregated per file and path; from these come the changes between successive files of a source and the type that
-a path gets in the common table, whose values that don't cast are reported, not dropped.
+Each line is loaded as a map from a path (a top-level field) to its raw type and text; statistics of types
+are aggregated per file and path; from these come the changes between successive files of a source and the column and type that
+a path gets in the common table, whose values that don't cast are reported with file and path, and kept, not dropped.
 
-Lines that are null, empty, not whole JSON or not an object hold no record; a record without a textual ``_type`` has
+Raw types are finer than JSON's: integers and other numbers are apart, and so are strings that are times.  Changes compare the types of JSON.
+
+Lines of any depth are read.  Lines that are null, empty, not whole JSON or not an object hold no record; a record without a textual ``_type`` has
 none and is left out.  A later member of an object with the same name replaces the earlier.  Repeated lines change nothing.
 Files of a source are ordered by their time, then by id; files or records without a partner (unknown file, null source
 or time) are left out of the comparison but stay in the table.  A change of name is judged on all records
-whose key is in both files, by aggregates per key: several differing records of one key never agree with anything.
+whose key is in both files, by aggregates per key: several differing records of one key never agree with anything.  A field's
+values are compared as one fingerprint of its keys and values, so each removed field is joined with its equals, not paired with every added one.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 from collections.abc import Iterator
 from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.functions.json_text import canonical, read_json
 from tributary.scratch import Scratch
 
 #: The member that is the key of a record, by its type.
 KEYS = {"job": "id", "execution": "id", "value": "value_hash", "callnode": "call_hash", "tag": "tag_hash"}
-_KINDS = {str: "string", int: "number", float: "number", bool: "boolean", list: "array", dict: "object", type(None): "null"}
+_KINDS = {str: "string", int: "int", float: "float", bool: "boolean", list: "array", dict: "object", type(None): "null"}
+#: Raw types that are another type in JSON.
+_JSON = {"int": "number", "float": "number", "time": "string"}
+_TIME = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)?")
 #: What may name a column without quoting.
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _FIELD = pa.struct([("path", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("digest", pa.binary())])
 _OUT = pa.schema([("dump_id", pa.int64()), ("line_no", pa.int32()), ("record_type", pa.string()), ("record_key", pa.string()), ("fields", pa.list_(_FIELD))])
 
 
-def canonical(v: object) -> str:
-    """One text for equal JSON values: members in order, whole numbers alike however they are written."""
-    if isinstance(v, float) and v.is_integer():
-        v = int(v)
-    if isinstance(v, (list, dict)):
-        v = json.loads(json.dumps(v), parse_float=lambda x: int(f) if (f := float(x)).is_integer() else f)
-    return json.dumps(v, sort_keys=True, ensure_ascii=False)
-
-
 def parse(payload: str | None) -> dict | None:
     """The record of a line, or None."""
     try:
-        o = json.loads(payload or "")
-    except (ValueError, RecursionError):
+        o = read_json(payload or "")
+    except ValueError:
         return None
     return o if isinstance(o, dict) and isinstance(o.get("_type"), str) else None
 
 
+def kind_of(v: object) -> str:
+    """The raw type of a value."""
+    return "time" if isinstance(v, str) and _TIME.fullmatch(v) else _KINDS[type(v)]
+
+
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.set_int_max_str_digits(0)
     for b in batches:
@@ -66,7 +68,7 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, v in o.items():
                 text = canonical(v)
                 raw = v if isinstance(v, str) else None if v is None else text
-                fields.append({"path": path, "kind": _KINDS[type(v)], "raw": raw, "digest": md5(text.encode("utf-8", "surrogatepass")).digest()})
+                fields.append({"path": path, "kind": kind_of(v), "raw": raw, "digest": md5(text.encode("utf-8", "surrogatepass")).digest()})
             rows.append({"dump_id": d, "line_no": n, "record_type": kind, "record_key": None if key is None else key if isinstance(key, str) else canonical(key), "fields": fields})
         if rows:
             yield pa.RecordBatch.from_pylist(_clean(rows), _OUT)
@@ -92,15 +94,25 @@ def load(lines: DataFrame) -> DataFrame:
 
 
 def statistics(records: DataFrame) -> DataFrame:
-    """(dump_id, record_type, path, kinds, n, n_null): the types and counts of each path of each file."""
-    f = records.select("dump_id", "record_type", F.explode("fields").alias("f"))
-    return f.groupBy("dump_id", "record_type", F.col("f.path").alias("path")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("f.kind") != "null", F.col("f.kind")))).alias("kinds"),
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("f.kind") == "null").alias("n_null"))
+    """(dump_id, record_type, path, kind, n, wide, inexact): how often a path of a file has each raw type, null among them.
+
+    wide counts integers beyond bigint, inexact numbers that a double doesn't hold as they are.
+    """
+    f = records.select("dump_id", "record_type", F.explode("fields").alias("f")).select("dump_id", "record_type", "f.path", "f.kind", "f.raw")
+    whole = F.when(F.col("kind") == "int", F.col("raw").try_cast("bigint"))
+    return f.groupBy("dump_id", "record_type", "path", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("kind") == "int") & whole.isNull()).alias("wide"),
+        F.count_if((F.col("kind") == "int") & ~F.coalesce(whole.between(-(2**53), 2**53), F.lit(False))).alias("inexact"))
+
+
+def _json_kind(kind: Column) -> Column:
+    return F.coalesce(*[F.when(kind == k, F.lit(j)) for k, j in _JSON.items()], kind)
 
 
 def _pairs(stats: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, record_type, dump_id, prev_id, now, then): maps from path to types of a file and of the one before it that holds the type."""
+    types = F.array_sort(F.collect_set(F.when(F.col("kind") != "null", _json_kind(F.col("kind"))))).alias("kinds")
+    stats = stats.groupBy("dump_id", "record_type", "path").agg(types)
     held = stats.groupBy("dump_id", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("path", "kinds"))).alias("now"))
     f = files.where("repo is not null and exported_at is not null").groupBy("dump_id").agg(F.min("repo").alias("repo"), F.min("exported_at").alias("exported_at"))
     w = Window.partitionBy("repo", "record_type").orderBy("exported_at", "dump_id")
@@ -131,11 +143,14 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     one = F.struct("path", ((F.col("set") == 0) | ((F.col("set") == F.col("n")) & (F.col("lo") == F.col("hi")))).alias("one"), F.col("lo").alias("digest"))
     per_key = per_path.groupBy("pair", "record_type", "record_key").agg(
         F.collect_list(F.when(F.col("side") == 0, one)).alias("old"), F.collect_list(F.when(F.col("side") == 1, one)).alias("young"))
-    judged = per_key.where((F.size("old") > 0) & (F.size("young") > 0)).select("pair", "record_type", F.explode("old").alias("o"), "young").select(
-        "pair", "record_type", "o", F.explode("young").alias("y"))
-    renamed = judged.groupBy("pair", "record_type", F.col("o.path").alias("field_name"), F.col("y.path").alias("new_name")).agg(
-        F.bool_and(F.col("o.one") & F.col("y.one") & F.col("o.digest").eqNullSafe(F.col("y.digest"))).alias("equal"),
-        F.bool_or(F.col("o.digest").isNotNull() | F.col("y.digest").isNotNull()).alias("any")).where("equal and any")
+    both = per_key.where((F.size("old") > 0) & (F.size("young") > 0))
+    sides = both.select("pair", "record_type", "record_key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("old").alias("x")), F.struct(F.lit(1).alias("side"), F.col("young").alias("x")))).alias("s"))
+    values = sides.select("pair", "record_type", "record_key", "s.side", F.explode("s.x").alias("x")).select("pair", "record_type", "record_key", "side", "x.*")
+    # A key is there once a side, path and pair, so the fingerprint is one of a set; null is like absent.
+    mark = lambda n: F.bit_xor(F.when(F.col("digest").isNotNull(), F.xxhash64("record_key", "digest", F.lit(n))))
+    prints = values.groupBy("pair", "record_type", "side", "path").agg(F.bool_and("one").alias("one"), F.count("digest").alias("n"), mark(1).alias("a"), mark(2).alias("b")).where("one and n > 0")
+    same = ["pair", "record_type", "n", "a", "b"]
+    renamed = prints.where("side = 0").select(*same, F.col("path").alias("field_name")).join(prints.where("side = 1").select(*same, F.col("path").alias("new_name")), same)
 
     moved = renamed.groupBy(F.col("pair").alias("dump_id"), "record_type").agg(F.collect_list(F.struct("field_name", "new_name")).alias("renamed"))
     empty = F.array().cast("array<struct<field_name string, new_name string>>")
@@ -154,13 +169,12 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
         "repo", "record_type", "dump_id", F.col("x.k").alias("change_kind"), F.col("x.f").alias("field_name"), F.col("x.n").alias("new_name"))
 
 
-def _kind_counts(stats: DataFrame) -> DataFrame:
-    return stats.select("record_type", "path", F.explode("kinds").alias("kind"), (F.col("n") - F.col("n_null")).alias("n")).groupBy("record_type", "path", "kind").agg(F.sum("n").alias("n"))
-
-
 def target_types(stats: DataFrame) -> DataFrame:
-    """(record_type, path, kind): the type most of a path's non-null values have, counting a file's values for each of its types."""
-    return _kind_counts(stats).groupBy("record_type", "path").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    """(record_type, path, kind): the raw type most of a path's non-null values have; integers and numbers count together, as what holds both."""
+    n = stats.where("kind <> 'null'").groupBy("record_type", "path").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in ("int", "float")], F.lit(1))
+    number = n.select("record_type", "path", F.when(F.col("n_float") > 0, "float").otherwise("int").alias("kind"), (F.col("n_int") + F.col("n_float")).alias("n"))
+    other = stats.where("kind not in ('null', 'int', 'float')").groupBy("record_type", "path", "kind").agg(F.sum("n").alias("n"))
+    return number.unionByName(other).groupBy("record_type", "path").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
 
 
 def layout(records: DataFrame, files: DataFrame, declared: dict[str, tuple[str, list[str]]] | None = None) -> dict[str, tuple[str, list[tuple[str, str]]]]:
@@ -168,19 +182,15 @@ def layout(records: DataFrame, files: DataFrame, declared: dict[str, tuple[str,
 
     Every field of every type gets a column.  Names of a type are one field if ``changes`` found them renamed, unless
     both are in one file of that type; the pairs seen most often are merged first.  A column has the name that most values have and the type that
-    ``statistics`` counts most often over its names: arrays and objects stay JSON text, numbers are bigint, double or, where neither holds all of them, string.
+    ``statistics`` counts most often over its names: arrays and objects stay JSON text, numbers are bigint, double or, where neither holds all of them, string,
+    and strings that are times timestamp_ntz.
     Declared columns keep name, type and order of paths, and take in what was renamed from or to these paths.  Names that can't be
     column names get none; ``consistent`` keeps their values in ``rest``.
     """
     declared = declared or {}
     s = Scratch(records.sparkSession, "layout")
     stats = s.cut(statistics(records))
-    kinds = _kind_counts(stats).collect()
-    fields = records.select("record_type", F.explode("fields").alias("f")).where("f.kind = 'number'")
-    whole = F.col("f.raw").try_cast("bigint")
-    exact = F.col("f.raw").rlike("[.eEN]|Infinity") | F.coalesce(whole.between(-(2**53), 2**53), F.lit(False))
-    numbers = {(r.record_type, r.path): r for r in fields.groupBy("record_type", F.col("f.path").alias("path")).agg(
-        F.bool_and(whole.isNotNull()).alias("whole"), F.bool_and(exact).alias("exact")).collect()}
+    kinds = stats.groupBy("record_type", "path", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "wide", "inexact")]).collect()  # as many as fields
     pairs = s.cut(changes(records, files).where("change_kind = 'renamed'").groupBy("record_type", "field_name", "new_name").agg(F.count(F.lit(1)).alias("n")))
     moved = pairs.select("record_type", F.explode(F.array("field_name", "new_name")).alias("path")).distinct()
     held = stats.select("dump_id", "record_type", "path").join(moved, ["record_type", "path"], "left_semi")
@@ -190,7 +200,7 @@ def layout(records: DataFrame, files: DataFrame, declared: dict[str, tuple[str,
 
     n: dict[tuple[str, str], int] = {}
     for r in kinds:
-        n[r.record_type, r.path] = n.get((r.record_type, r.path), 0) + r.n
+        n[r.record_type, r.path] = n.get((r.record_type, r.path), 0) + (r.n if r.kind != "null" else 0)
     group = {x: [x] for x in n}
     owner = {p: name for name, (_, paths) in declared.items() for p in paths}
     of = {x: owner.get(x[1]) for x in n}
@@ -217,22 +227,23 @@ def layout(records: DataFrame, files: DataFrame, declared: dict[str, tuple[str,
             out[name] = (declared[name][0], sorted(own, key=lambda x: (order.get(x[1], len(order)), x)))
         elif _NAME.fullmatch(name):
             count: dict[str, int] = {}
-            for r in kinds:
-                if (r.record_type, r.path) in own:
-                    count[r.kind] = count.get(r.kind, 0) + r.n
-            kind = max(count, key=lambda k: (count[k], k))
-            seen = [numbers[x] for x in own if x in numbers]
-            number = "bigint" if all(r.whole for r in seen) else "double" if all(r.exact for r in seen) else "string"
+            mine = [r for r in kinds if (r.record_type, r.path) in own and r.kind != "null"]
+            for r in mine:
+                kind = "number" if r.kind in ("int", "float") else r.kind
+                count[kind] = count.get(kind, 0) + r.n
+            kind = max(count, key=lambda k: (count[k], k), default="string")
+            floats, wide, inexact = any(r.kind == "float" for r in mine), any(r.wide for r in mine), any(r.inexact for r in mine)
+            number = "bigint" if not floats and not wide else "double" if not inexact else "string"
             free, i = name, 2
             while free.lower() in taken:
                 free, i = f"{name}_{i}", i + 1
             taken.add(free.lower())
-            out[free] = ({"number": number, "boolean": "boolean"}.get(kind, "string"), sorted(own, key=lambda x: (-n[x], x)))
+            out[free] = ({"number": number, "boolean": "boolean", "time": "timestamp_ntz"}.get(kind, "string"), sorted(own, key=lambda x: (-n[x], x)))
     return out
 
 
 def consistent(records: DataFrame, columns: dict[str, tuple[str, list[str | tuple[str, str]]]]) -> DataFrame:
-    """One table: dump_id, line_no, record_type, record_key, the columns, failed (the columns whose value doesn't cast) and
+    """One table: dump_id, line_no, record_type, record_key, the columns, failed (column and path of values that don't cast) and
     rest: from path to raw value, each non-null field that is in no column, those that don't cast among them.
 
     columns: name to (SQL type, the paths it was written under, of any type or as (record_type, path); the first that is there counts).
@@ -247,7 +258,7 @@ def consistent(records: DataFrame, columns: dict[str, tuple[str, list[str | tupl
     raw = {name: F.coalesce(null, *[at(p)[0] for p in paths]) for name, (_, paths) in columns.items()}
     path = {name: F.coalesce(null, *[F.when(at(p)[0].isNotNull(), F.lit(at(p)[1])) for p in paths]) for name, (_, paths) in columns.items()}
     cast = {name: raw[name].try_cast(columns[name][0]) for name in columns}
-    failed = F.array_compact(F.array(*[F.when(raw[n].isNotNull() & cast[n].isNull(), F.lit(n)) for n in columns]))
+    failed = F.array_compact(F.array(*[F.when(raw[n].isNotNull() & cast[n].isNull(), F.struct(F.lit(n).alias("column_name"), path[n].alias("path"))) for n in columns])) if columns else F.lit(None).cast("array<struct<column_name string, path string>>")
     key = F.coalesce(null, *[F.when(F.col("record_type") == t, F.lit(k)) for t, k in KEYS.items()])
     used = F.array_compact(F.array(F.lit("_type"), key, *[F.when(cast[n].isNotNull(), path[n]) for n in columns]))
     df = df.select("dump_id", "line_no", "record_type", "record_key", "raw", *[c.alias(n) for n, c in cast.items()], failed.alias("failed"), used.alias("used"))
@@ -256,5 +267,6 @@ def consistent(records: DataFrame, columns: dict[str, tuple[str, list[str | tupl
 
 
 def failed_casts(table: DataFrame) -> DataFrame:
-    """(record_type, column_name, n_failed) of ``consistent``."""
-    return table.select("record_type", F.explode("failed").alias("column_name")).groupBy("record_type", "column_name").agg(F.count(F.lit(1)).alias("n_failed"))
+    """(dump_id, record_type, column_name, path, n_failed, least_value) of ``consistent``: the values of each file that don't cast, and one of them."""
+    f = table.select("dump_id", "record_type", F.explode("failed").alias("f"), "rest").select("dump_id", "record_type", "f.column_name", "f.path", F.col("rest")[F.col("f.path")].alias("value"))
+    return f.groupBy("dump_id", "record_type", "column_name", "path").agg(F.count(F.lit(1)).alias("n_failed"), F.min("value").alias("least_value"))

@@ -67,24 +67,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         "repo", "record_type", "dump_id", "change_kind", "field_name", "new_name")
 
 
-#: Columns of the common table whose type or name statistics alone don't give: type, and the names that the field is written under.
-P3_COLUMNS = {
-    "version": ("int", ["_version", "version", "schema_version", "_schemaVersion"]),
-    "task_hash": ("string", ["task_hash", "taskHash", "code_hash", "task_id"]),
-    "start_time": ("timestamp_ntz", ["start_time", "startTime", "started_at"]),
-    "end_time": ("timestamp_ntz", ["end_time", "endTime", "ended_at"]),
-    "called_at": ("timestamp_ntz", ["timestamp", "called_at"]),
-    "cached": ("boolean", ["cached"]),
-    "execution_id": ("string", ["execution_id", "executionId", "run_id"]),
-    "is_dryrun": ("boolean", ["is_dryrun"]),
-    "n_jobs": ("bigint", ["n_jobs"]),
-    "entity_type": ("string", ["entity_type", "entityType", "target_kind"]),
-}
-
-
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     records = Scratch(spark, "p3").cut(_p3_records(spark, d))
-    return drift.consistent(records, drift.layout(records, table(spark, d, "dump_file", "dump_id", "repo", "exported_at"), P3_COLUMNS))
+    return drift.consistent(records, drift.layout(records, table(spark, d, "dump_file", "dump_id", "repo", "exported_at")))
 
 
 def p3_failed_casts(spark: SparkSession, d: str) -> DataFrame:
