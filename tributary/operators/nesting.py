@@ -188,10 +188,12 @@ class _Line:
                         link, holder = None, None
                     work.extend((x, name, link, holder, own, (None, k)) for k, x in reversed(v.items()) if not (link is None and isinstance(x, str)))
 
-    def rows(self, line_id: int) -> Iterator[tuple]:
+    def rows(self, line_id: int, stored: set[str]) -> Iterator[tuple]:
         nodes, none = self.nodes, (None,) * len(_BRIDGE)
         for o in self.objects:
-            yield (*o, *none)
+            if o[0] not in stored:
+                stored.add(o[0])
+                yield (*o, *none)
         none = (None,) * len(_OBJECT)
         for i, (parent, ordinal, place, digest, _, link, holder) in enumerate(nodes):
             inside = parent >= 0
@@ -206,13 +208,14 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.set_int_max_str_digits(0)
     for b in batches:
         rows: list[tuple] = []
+        stored: set[str] = set()  # objects of the batch
         for i, p in zip(b.column("line_id").to_pylist(), b.column("payload").to_pylist()):
             try:
                 o = read_json(p or "")
             except ValueError:
                 continue
             if isinstance(o, dict):
-                rows += _Line(o).rows(i)
+                rows += _Line(o).rows(i, stored)
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []
@@ -231,7 +234,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def flatten(lines: DataFrame) -> DataFrame:
-    """All rows of lines (line_id, payload): an object row for each occurrence of an object, and bridge rows."""
+    """All rows of lines (line_id, payload): object rows, one for an object and batch, and bridge rows."""
     return lines.select(F.col("line_id").cast("bigint"), F.col("payload").cast("string")).mapInArrow(_flatten, _SCHEMA)
 
 
@@ -258,7 +261,8 @@ def links(rows: DataFrame, s: Scratch) -> DataFrame:
 
     As the objects of a subtree are stored once, its links are joined once, however often it occurs.
     """
-    keys = s.cut(rows.where("object_hash is not null and coalesce(id, call_hash, value_hash, arg_hash) is not null").select("object_hash", *_KEYS).groupBy("object_hash").agg(*[F.first(c).alias(c) for c in _KEYS]))
+    rows = s.cut(rows.where("object_hash is not null or link_kind is not null").select("object_hash", *_KEYS, "link_kind", "holder_hash", "child_hash", "child_key"))
+    keys = s.cut(rows.where("object_hash is not null and coalesce(id, call_hash, value_hash, arg_hash) is not null").select("object_hash", *_KEYS).distinct())
     held = rows.where("link_kind is not null").select("link_kind", "holder_hash", "child_hash", "child_key").distinct()
 
     def end(side: int) -> F.Column:

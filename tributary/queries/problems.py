@@ -83,21 +83,20 @@ def p3_types(spark: SparkSession, d: str) -> DataFrame:
 # --- 4: deeply nested semi-structured records
 
 
-def _p4_rows(spark: SparkSession, d: str) -> tuple[DataFrame, Scratch]:
-    s = Scratch(spark, "p4")
-    return s.cut(nesting.flatten(table(spark, d, "raw_record", "line_id", "payload"))), s
+def _p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    return nesting.flatten(table(spark, d, "raw_record", "line_id", "payload"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.links(*_p4_rows(spark, d))
+    return nesting.links(_p4_rows(spark, d), Scratch(spark, "p4"))
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.objects(_p4_rows(spark, d)[0])
+    return nesting.objects(_p4_rows(spark, d))
 
 
 def p4_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.bridge(_p4_rows(spark, d)[0])
+    return nesting.bridge(_p4_rows(spark, d))
 
 
 # --- 5: parent-child links to full hierarchies
