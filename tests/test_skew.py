@@ -33,6 +33,15 @@ def test_aggregate(spark):
     assert got == {k: (n, s, len(d)) for k, (n, s, d) in want.items()}
 
 
+def test_aggregate_reads_rows_once(spark, tmp_path):
+    """After the sketch the rows are scanned once, and names of the operator's own may be columns."""
+    spark.range(3000).selectExpr("if(id % 2 = 0, 'hot', cast(id % 50 as string)) as x", "cast(id % 9 as string) as salt", "id as what").write.parquet(f"{tmp_path}/t")
+    out = skew.aggregate(spark.read.parquet(f"{tmp_path}/t"), "x", {"n": F.lit(1), "s": F.col("what")}, {"d": "salt", "e": "what"})
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {r["x"]: (r["n"], r["d"], r["e"]) for r in out.collect()}
+    assert got["hot"] == (1500, 9, 1500) and got["1"] == (60, 9, 60) and len(got) == 26
+
+
 @pytest.mark.parametrize("rows", [20_000, 3])
 def test_join(spark, monkeypatch, rows):
     """Also when the right side's heavy rows may not be broadcast."""

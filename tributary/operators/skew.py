@@ -1,8 +1,10 @@
 """Keys that hold most of the rows: find them by a sketch, treat them apart, unite.
 
 A frequent-items sketch (a fixed number of counters, merged over partitions) names the candidates in one scan of
-the key column; an exact count over a broadcast of these few keys keeps those above the wanted share.  Heavy keys
-are aggregated in salted parts or joined by broadcast, all other keys by an ordinary shuffle, and the parts united.
+the key column.  Where the share must be exact, a count over a broadcast of these few keys keeps those above it.
+
+``join`` joins the rows of heavy keys by broadcast, all others by an ordinary shuffle, and unites both.  ``aggregate`` tags
+rows by a broadcast join with the heavy keys and gives only those a salt, so that one pass over the rows does for both.
 
 Null keys are never heavy and are left out of results per key.  An empty table has no heavy keys.  A share is a
 ``Fraction``, compared in integers, so a key at exactly the share isn't above it.  Extra columns are ignored.
@@ -23,13 +25,14 @@ COUNTERS = 4096
 BROADCAST_ROWS = 20_000
 
 
-def candidates(df: DataFrame, key: str, share: Fraction) -> DataFrame:
-    """(key, total): at most 2 / share keys that may be above the share, and the number of all rows."""
+def candidates(df: DataFrame, key: str, share: Fraction, least: bool = False) -> DataFrame:
+    """(key, total): at most 2 / share keys that may be above the share, and the number of all rows; with least only those whose estimate is above it."""
     if share <= Fraction(8, COUNTERS):
         raise ValueError(f"the sketch has {COUNTERS} counters; the share must be above {8 / COUNTERS}")
-    return df.agg(
-        F.call_function("approx_top_k", F.col(key), F.lit(ceil(2 / share)), F.lit(COUNTERS)).alias("top"), F.count(F.lit(1)).alias("total")
-    ).select(F.explode("top.item").alias(key), "total").where(F.col(key).isNotNull())
+    top = df.agg(F.call_function("approx_top_k", F.col(key), F.lit(ceil(2 / share)), F.lit(COUNTERS)).alias("top"), F.count(F.lit(1)).alias("total")).select(F.explode("top").alias("top"), "total")
+    if least:
+        top = top.where(F.col("top.count") * share.denominator > F.col("total") * share.numerator)
+    return top.select(F.col("top.item").alias(key), "total").where(F.col(key).isNotNull())
 
 
 def heavy_keys(df: DataFrame, key: str, share: Fraction) -> DataFrame:
@@ -46,6 +49,12 @@ def heavy_keys(df: DataFrame, key: str, share: Fraction) -> DataFrame:
     )
 
 
+def likely_heavy(df: DataFrame, key: str, share: Fraction) -> DataFrame:
+    """(key): at most 2 / share keys, those above the share by the sketch alone, whose counts are never too low; a table of its own, so that no plan sketches again."""
+    rows = candidates(df, key, share, least=True).collect()
+    return df.sparkSession.createDataFrame([(r[0],) for r in rows], df.select(key).schema)
+
+
 def split(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is heavy, and the rest; rows without a key belong to the rest."""
     h = F.broadcast(heavy.select(key))
@@ -57,32 +66,22 @@ def aggregate(
 ) -> DataFrame:
     """Per key the sums (of expressions, null counting as none) and distinct counts (of columns, null not counted).
 
-    Heavy keys are counted in salted parts.  The salt is a function of the column counted, so the parts of a
-    distinct count are disjoint and add up exactly.  No row set of one key is ever in one task.
+    Each row is read once, for the sums and for each distinct count.  First one row per key, salt and value is made, then one
+    per key and salt, then one per key.  Heavy keys have a salt: for a distinct count a function of the value, so the parts are
+    disjoint and add up exactly.  No row set of one key is ever in one task.
     """
     df = df.where(F.col(key).isNotNull())
-    hot, rest = split(df, key, heavy_keys(df, key, share))
-
-    def plain(part: DataFrame, by: list[str]) -> DataFrame:
-        return part.groupBy(*by).agg(*[F.sum(e).alias(a) for a, e in sums.items()])
-
-    def uniques(part: DataFrame, by: list[str]) -> DataFrame:
-        # One row per key and value first: the shuffle is by both, so a heavy key is spread over all tasks.
-        long = part.select(key, F.explode(F.array(*[
-            F.struct(F.lit(a).alias("what"), F.col(c).cast("string").alias("x")) for a, c in distinct.items()
-        ])).alias("u")).select(key, "u.what", "u.x").where(F.col("x").isNotNull()).distinct()
-        long = long.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
-        n = long.groupBy(*by, "what").agg(F.count(F.lit(1)).alias("n"))
-        return n.groupBy(key).agg(*[F.sum(F.when(F.col("what") == a, F.col("n"))).alias(a) for a in distinct])
-
-    hot_sums = plain(hot.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))), [key, "salt"])
-    hot_sums = hot_sums.groupBy(key).agg(*[F.sum(a).alias(a) for a in sums])
-    out_sums = hot_sums.unionByName(plain(rest, [key]))
-    if not distinct:
-        return out_sums
-    out_unique = uniques(hot, [key, "salt"]).unionByName(uniques(rest, [key]))
-    out = out_sums.join(out_unique, key, "left")
-    return out.select(key, *sums, *[F.coalesce(a, F.lit(0)).alias(a) for a in distinct])
+    heavy = likely_heavy(df, key, share).select(F.col(key).alias("heavy_"))
+    parts = [F.struct(F.lit("").alias("what"), F.lit(None).cast("string").alias("x"), *[e.alias(a) for a, e in sums.items()])]
+    parts += [F.struct(F.lit(a).alias("what"), F.col(c).cast("string").alias("x"), *[F.when(F.lit(False), e).alias(s) for s, e in sums.items()]) for a, c in distinct.items()]
+    salt = F.when(F.col("heavy_").isNotNull(), F.pmod(F.coalesce(F.xxhash64("x"), F.spark_partition_id()), F.lit(salts))).alias("salt")
+    rows = df.select(F.col(key).alias("key_"), F.explode(F.array(*parts)).alias("p")).select("key_", "p.*").where("what = '' or x is not null")
+    rows = rows.join(F.broadcast(heavy), F.col("key_") == F.col("heavy_"), "left").withColumn("salt", salt)
+    adds = [F.sum(a).alias(a) for a in sums]
+    one = rows.groupBy("key_", "salt", "what", "x").agg(*adds)
+    part = one.groupBy("key_", "salt", "what").agg(*adds, F.count("x").alias("n_"))
+    out = part.groupBy("key_").agg(*adds, *[F.coalesce(F.sum(F.when(F.col("what") == a, F.col("n_"))), F.lit(0)).alias(a) for a in distinct])
+    return out.select(F.col("key_").alias(key), *sums, *distinct)
 
 
 def join(left: DataFrame, right: DataFrame, key: str, share: Fraction = Fraction(1, 100), how: str = "inner", salts: int = 16) -> DataFrame:
@@ -97,7 +96,7 @@ def join(left: DataFrame, right: DataFrame, key: str, share: Fraction = Fraction
     for c in right.columns:
         if c != key and c in left.columns:
             right = right.withColumnRenamed(c, f"{c}_right")
-    heavy = heavy_keys(left, key, share)
+    heavy = likely_heavy(left, key, share)
     hot, rest = split(left, key, heavy)
     r_hot, r_rest = split(right, key, heavy)
     if r_hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
