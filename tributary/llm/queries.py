@@ -85,7 +85,18 @@ QUERIES = {
     "p10_found": p10_found, "p10_shares": p10_shares, "p10_flagged": p10_flagged, "p10_thresholds": p10_thresholds,
 }
 
+# Runs of 8 words that start again, and the words in them.
+_P10_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\u0080-\U0010ffff]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 7] AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS n FROM g) WHERE n > 1),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_repeated FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_repeated, 0) AS n_repeated FROM w LEFT JOIN hit USING (doc_id))
+"""
+
 SQL = {
+    "p10_found": _P10_SQL + "SELECT doc_id FROM m WHERE n_repeated > 0 AND n_repeated * 4 >= n_words",
+    "p10_shares": _P10_SQL + "SELECT doc_id, n_words, n_repeated, CASE WHEN n_words > 0 THEN n_repeated / n_words::DOUBLE END AS share FROM m",
     "p2_found": _P2_SQL + "SELECT table_name, rec_id FROM f WHERE rec_id > lo",
     # Told apart by the number among the rows of a key, and by a smaller number for the key elsewhere.
     "p2_error_rate": _P2_SQL + """, g AS (SELECT *, row_number() OVER (PARTITION BY table_name, k ORDER BY rec_id) > 1 AS said FROM f)
