@@ -13,6 +13,7 @@ encoded whole.  Texts that aren't valid Unicode don't occur in a string column.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,11 +188,19 @@ def vocabulary(path: str = BYTE_BPE_50K, pattern: str = PATTERN) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+def _ship(docs: DataFrame, path: str) -> str:
+    """Give the rank file to all executors, and its name there; workers don't need the driver's folders."""
+    docs.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = BYTE_BPE_50K, pattern: str = PATTERN) -> DataFrame:
     """(id, ids): the list of ids of each text."""
 
+    name = _ship(docs, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary(SparkFiles.get(name), pattern)
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
@@ -207,8 +217,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def count(docs: DataFrame, columns: list[str], text_column: str = "text", path: str = BYTE_BPE_50K, pattern: str = PATTERN) -> DataFrame:
     """The columns and n_tokens, the number of ids of each text."""
 
+    name = _ship(docs, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(v.encode(t)) for t in b.column("text__").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(n, pa.int64())], [*columns, "n_tokens"])
