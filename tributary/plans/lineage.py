@@ -22,6 +22,13 @@ _VIEW = {"Execution": "execution", "Job": "job", "CallNode": "call", "Task": "ta
 Filter = Callable[["LineageQuery", str, DataFrame], DataFrame]
 
 
+def among(df: DataFrame, column: str, keys: Sequence[str] | DataFrame) -> DataFrame:
+    """Rows whose column is one of the keys: of a few literals, or of the first column of a frame of any size, by a semi-join."""
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(keys[keys.columns[0]].alias(column)), column, "left_semi")
+    return df.where(F.col(column).isin(list(keys)))
+
+
 def _any(terms: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, terms, F.lit(False))
 
@@ -76,6 +83,7 @@ class LineageQuery:
     filters: tuple[Filter, ...] = ()
     order: str | None = None
     nothing: bool = False
+    shared: tuple[str, ...] = ()
 
     def _with(self, f: Filter, types: Iterable[str] = TYPES, **more: object) -> LineageQuery:
         keep = set(types)
@@ -86,8 +94,8 @@ class LineageQuery:
     def filter_types(self, types: Iterable[str]) -> LineageQuery:
         return self._with(lambda q, t, df: df, types)
 
-    def filter_ids(self, ids: Sequence[str]) -> LineageQuery:
-        return self._with(lambda q, t, df: df.where(F.col(_ID[t]).isin(list(ids))))
+    def filter_ids(self, ids: Sequence[str] | DataFrame) -> LineageQuery:
+        return self._with(lambda q, t, df: among(df, _ID[t], ids))
 
     def like_id(self, prefix: str) -> LineageQuery:
         """Ids that start so; of tasks also those with exactly this name."""
@@ -109,10 +117,10 @@ class LineageQuery:
             return df.join(jobs.select(F.col("task_hash").alias("hash")), "hash", "left_semi")
         return df.join(value_jobs(self.p, jobs).select("value_hash"), "value_hash", "left_semi")
 
-    def filter_execution_ids(self, ids: Sequence[str]) -> LineageQuery:
+    def filter_execution_ids(self, ids: Sequence[str] | DataFrame) -> LineageQuery:
         def f(q: LineageQuery, t: str, df: DataFrame) -> DataFrame:
-            return q._by_executions(t, df, q.p.job.where(F.col("execution_id").isin(list(ids))).select("execution_id").distinct())
-        return self._with(f)
+            return q._by_executions(t, df, among(q.p.job.select("execution_id"), "execution_id", ids).distinct())
+        return self._with(f, shared=("job", "call", "argument"))
 
     def filter_execution_statuses(self, statuses: Sequence[str]) -> LineageQuery:
         """By the status of the root job, a cached one counting as done; only executions, latest first."""
@@ -134,22 +142,22 @@ class LineageQuery:
             return df.join(hit.withColumnRenamed("hash", "task_hash"), "task_hash", "left_semi") if t == "Job" else df.join(hit, "hash", "left_semi")
         return self._with(f, ["Job", "Task"])
 
-    def filter_task_hashes(self, hashes: Sequence[str]) -> LineageQuery:
-        return self._with(lambda q, t, df: df.where(F.col("task_hash" if t == "Job" else "hash").isin(list(hashes))), ["Job", "Task"])
+    def filter_task_hashes(self, hashes: Sequence[str] | DataFrame) -> LineageQuery:
+        return self._with(lambda q, t, df: among(df, "task_hash" if t == "Job" else "hash", hashes), ["Job", "Task"])
 
-    def _by_values(self, used: Callable[[Provenance], DataFrame], hashes: Sequence[str]) -> LineageQuery:
+    def _by_values(self, used: Callable[[Provenance], DataFrame], hashes: Sequence[str] | DataFrame) -> LineageQuery:
         def f(q: LineageQuery, t: str, df: DataFrame) -> DataFrame:
             u = used(q.p)
-            whole = u.where(F.col("value_hash").isin(list(hashes))).select("call_hash")
-            parts = q.p.subvalue.where(F.col("value_hash").isin(list(hashes))).select(F.col("parent_value_hash").alias("value_hash"))
+            whole = among(u, "value_hash", hashes).select("call_hash")
+            parts = among(q.p.subvalue, "value_hash", hashes).select(F.col("parent_value_hash").alias("value_hash"))
             return df.join(whole.unionByName(u.join(parts, "value_hash", "left_semi").select("call_hash")), "call_hash", "left_semi")
         return self._with(f, ["Job"])
 
-    def filter_arguments(self, hashes: Sequence[str]) -> LineageQuery:
+    def filter_arguments(self, hashes: Sequence[str] | DataFrame) -> LineageQuery:
         """Jobs with one of the values as an argument, or in one."""
         return self._by_values(lambda p: p.argument.select("call_hash", "value_hash"), hashes)
 
-    def filter_results(self, hashes: Sequence[str]) -> LineageQuery:
+    def filter_results(self, hashes: Sequence[str] | DataFrame) -> LineageQuery:
         """Jobs with one of the values as their result, or in it."""
         return self._by_values(lambda p: p.call.select("call_hash", "value_hash"), hashes)
 
@@ -177,7 +185,7 @@ class LineageQuery:
         return self._with(lambda q, t, df: df.join(q._tagged(q.p, tags).withColumnRenamed("entity_id", _ID[t]), _ID[t], "left_semi"))
 
     def filter_execution_tags(self, tags: Sequence[tuple[str, object]]) -> LineageQuery:
-        return self._with(lambda q, t, df: q._by_executions(t, df, q._tagged(q.p, tags).withColumnRenamed("entity_id", "execution_id")))
+        return self._with(lambda q, t, df: q._by_executions(t, df, q._tagged(q.p, tags).withColumnRenamed("entity_id", "execution_id")), shared=("job", "call", "argument"))
 
     def empty(self) -> LineageQuery:
         return replace(self, nothing=True)
@@ -190,7 +198,9 @@ class LineageQuery:
     # -- results
 
     def build(self) -> dict[str, DataFrame]:
-        """The rows of each wanted type."""
+        """The rows of each wanted type; for several types the views that their filters share are made once."""
+        if self.shared and len(self.types) > 1:
+            self.p.cut(*self.shared)
         out = {}
         for t in self.types:
             df = getattr(self.p, _VIEW[t])
@@ -245,12 +255,14 @@ class LineageQuery:
 
 #: Flags of the textual query language and what they call; each may be repeated.
 FLAGS: dict[str, tuple[str, Callable[[list[str]], object]]] = {
-    "--id": ("filter_ids", list), "--exec-id": ("filter_execution_ids", list), "--exec-status": ("filter_execution_statuses", list),
+    "--id": ("filter_ids", list), "--exec-id": ("filter_execution_ids", lambda v: [i for x in v for i in x.split(",") if i]), "--exec-status": ("filter_execution_statuses", list),
     "--job-status": ("filter_job_statuses", list), "--task-name": ("filter_task_names", list), "--task-hash": ("filter_task_hashes", list),
-    "--argument": ("filter_arguments", list), "--result": ("filter_results", list), "--value-type": ("filter_value_types", list),
+    "--argument": ("filter_arguments", list), "--arg": ("filter_arguments", list), "--result": ("filter_results", list), "--value-type": ("filter_value_types", list),
     "--file-path": ("filter_file_paths", list), "--tag": ("filter_tags", lambda v: [_tag(x) for x in v]), "--exec-tag": ("filter_execution_tags", lambda v: [_tag(x) for x in v]),
 }
 _TYPE_FLAGS = {"--exec": "Execution", "--job": "Job", "--call-node": "CallNode", "--task": "Task", "--value": "Value", "--file": "Value"}
+#: Short forms of flags.
+_SHORT = {"-t": "--task-name", "-e": "--exec", "-j": "--job"}
 
 
 def _tag(text: str) -> tuple[str, object]:
@@ -266,7 +278,10 @@ def parse(p: Provenance, args: Sequence[str]) -> LineageQuery:
     types, rest = [], list(args)
     while rest:
         flag = rest.pop(0)
-        if flag in _TYPE_FLAGS:
+        flag = _SHORT.get(flag, flag)
+        if flag == "--all":
+            types += TYPES
+        elif flag in _TYPE_FLAGS:
             types.append(_TYPE_FLAGS[flag])
         elif flag in FLAGS and rest:
             got.setdefault(flag, []).append(rest.pop(0))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.scratch import Scratch
 from tributary.sources.tables import table
 
 ERROR_TYPE = "lane.ErrorValue"  # the type of a recorded failure in the stored rows (fixed value)
@@ -66,6 +67,7 @@ class Provenance:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
+        self._cut: set[str] = set()
 
     def view(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -74,7 +76,15 @@ class Provenance:
             self._made[name] = self.spark.sql(sql.replace('"timestamp"', "`timestamp`"), **used)
         return self._made[name]
 
+    def cut(self, *names: str) -> None:
+        """Write these views to tables of the shared folder, once; what is planned from now on reads the tables.  They stay there."""
+        s = Scratch(self.spark, "view")
+        for n in names:
+            if n not in self._cut:
+                self._made[f"p_{n}"] = s.cut(self.view(f"p_{n}"))
+                self._cut.add(n)
+
     def __getattr__(self, name: str) -> DataFrame:
-        if f"p_{name}" in VIEWS:
+        if not name.startswith("_") and f"p_{name}" in VIEWS:
             return self.view(f"p_{name}")
         raise AttributeError(name)

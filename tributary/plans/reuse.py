@@ -50,14 +50,23 @@ def miss_reason(calls: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.distinct().join(known, "task_hash", "left").join(pair, ["task_hash", "args_hash"], "left").select("task_hash", "args_hash", reason.alias("reason"))
 
 
-def check_cache(requests: DataFrame, same_execution: DataFrame, shallow: DataFrame, single: DataFrame) -> DataFrame:
-    """(task_hash, args_hash, hit, value_hash): the first of three lookup tables (task_hash, args_hash, value_hash) that has the request."""
+#: Kinds of reuse in the order in which they are tried.
+HITS = ("cse", "ultimate", "single")
+
+
+def check_cache(requests: DataFrame, same_execution: DataFrame, shallow: DataFrame, single: DataFrame, scope: str = "backend", allowed: Sequence[str] = HITS) -> DataFrame:
+    """(task_hash, args_hash, hit, value_hash): the first of three lookup tables (task_hash, args_hash, value_hash) that has the request.
+
+    scope ``execution`` looks only at the same execution, ``none`` nowhere; kinds that aren't allowed are passed over.
+    """
+    tables = dict(zip(HITS, (same_execution, shallow, single)))
+    kinds = [k for k in HITS if k in allowed and scope != "none" and (k == "cse" or scope == "backend")]
     keys = ["task_hash", "args_hash"]
-    out = requests.distinct()
-    for name, t in (("cse", same_execution), ("ultimate", shallow), ("single", single)):
-        out = out.join(t.groupBy(*keys).agg(F.max("value_hash").alias(name)), keys, "left")
-    hit = F.when(F.col("cse").isNotNull(), "cse").when(F.col("ultimate").isNotNull(), "ultimate").when(F.col("single").isNotNull(), "single").otherwise("miss")
-    return out.select(*keys, hit.alias("hit"), F.coalesce("cse", "ultimate", "single").alias("value_hash"))
+    out = requests.select(*keys).distinct()
+    for k in kinds:
+        out = out.join(tables[k].groupBy(*keys).agg(F.max("value_hash").alias(k)), keys, "left")
+    hit = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in kinds], F.lit("miss"))
+    return out.select(*keys, hit.alias("hit"), F.coalesce(*kinds, F.lit(None).cast("string")).alias("value_hash"))
 
 
 # --- running
@@ -84,16 +93,22 @@ class Engine:
     config_args: frozenset[str] = frozenset()
     seen: dict[str, Result] = field(default_factory=dict)
 
-    def _manifest(self) -> list[Any]:
+    def _rows(self) -> DataFrame | None:
         p = f"{self.root}/manifest"
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(p)
         if not fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            return []
-        return self.spark.read.schema(MANIFEST).json(p).orderBy(F.desc("made_at")).collect()
+            return None
+        return self.spark.read.schema(MANIFEST).json(p)
+
+    def _known(self, task_hash: str, args_hash: str) -> list[Any]:
+        """The evaluations of one transform with these arguments, latest first; only these come to the driver."""
+        rows = self._rows()
+        return [] if rows is None else rows.where((F.col("task_hash") == task_hash) & (F.col("args_hash") == args_hash)).orderBy(F.desc("made_at")).collect()
 
     def manifest(self) -> DataFrame:
         """All evaluations that were recorded."""
-        return self.spark.createDataFrame(self._manifest(), MANIFEST)
+        rows = self._rows()
+        return self.spark.createDataFrame([], MANIFEST) if rows is None else rows
 
     def argument_hash(self, value: Any) -> str:
         if isinstance(value, Result):
@@ -116,8 +131,8 @@ class Engine:
         if key in self.seen:
             return Result(self.seen[key].df, key, self.seen[key].path, "cse")
         current = sorted({task, *(u.hash for u in uses)})
-        for row in self._manifest():
-            if row.task_hash == task and row.args_hash == arg and (set(row.closure) <= set(current) if self.shallow else row.closure == current):
+        for row in self._known(task, arg):
+            if set(row.closure) <= set(current) if self.shallow else row.closure == current:
                 ds = Dataset(self.spark, row.path)
                 if ds.digest() == row.digest:
                     out = self.seen[key] = Result(ds.read(), key, row.path, "ultimate" if self.shallow else "single")
@@ -136,9 +151,10 @@ class Engine:
     def explain_miss(self, f: Transform | Callable[..., DataFrame], *args: Any, **kwargs: Any) -> str:
         """``new_task``, ``new_args`` or ``new_call`` (known, but not usable)."""
         t = as_transform(f)
-        rows = self._manifest()
-        mine = [r for r in rows if r.task_hash == t.hash]
-        return "new_task" if not mine else "new_args" if all(r.args_hash != self.args_hash(args, kwargs) for r in mine) else "new_call"
+        rows = self._rows()
+        if rows is None or rows.where(F.col("task_hash") == t.hash).isEmpty():
+            return "new_task"
+        return "new_call" if self._known(t.hash, self.args_hash(args, kwargs)) else "new_args"
 
     def clear(self) -> None:
         scratch.delete(self.spark, self.root)

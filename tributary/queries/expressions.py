@@ -280,14 +280,14 @@ def count_values(spark: SparkSession, d: str) -> DataFrame:
 # --- sweeps
 
 
-_REGIONS = "SELECT CAST(o_orderkey % 9000 AS BIGINT) AS s, CAST(o_orderkey % 9000 + 1 + o_custkey % 50 AS BIGINT) AS e, CAST(1 + o_orderkey % 3 AS BIGINT) AS depth FROM orders"
+_REGIONS = "SELECT CAST(o_orderkey AS BIGINT) AS s, CAST(o_orderkey + 1 + o_custkey % 50 AS BIGINT) AS e, CAST(1 + o_orderkey % 3 AS BIGINT) AS depth FROM orders"
 _MERGED = f"""WITH r AS ({_REGIONS}), d AS (SELECT pos, sum(x) AS x FROM (SELECT s AS pos, depth AS x FROM r UNION ALL SELECT e, -depth FROM r) t GROUP BY pos),
 m AS (SELECT pos AS start, lead(pos) OVER (ORDER BY pos) AS "end", CAST(sum(x) OVER (ORDER BY pos) AS BIGINT) AS depth FROM d)"""
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select((k % 9000).cast("bigint").alias("s"), (k % 9000 + 1 + F.col("o_custkey") % 50).cast("bigint").alias("e"), (1 + k % 3).cast("bigint").alias("depth"))
+    return table(spark, d, "orders").select(k.cast("bigint").alias("s"), (k + 1 + F.col("o_custkey") % 50).cast("bigint").alias("e"), (1 + k % 3).cast("bigint").alias("depth"))
 
 
 @query(_MERGED + ' SELECT start, "end", depth FROM m WHERE "end" IS NOT NULL')
@@ -302,10 +302,10 @@ def merge_counts(spark: SparkSession, d: str) -> DataFrame:
     return sweep.merge_counts(a, b)
 
 
-@query(_MERGED + """, p AS (SELECT p_partkey % 2000 + 100 AS pos, CAST(sum(p_size) AS BIGINT) AS num FROM part GROUP BY 1)
+@query(_MERGED + """, p AS (SELECT p_partkey AS pos, CAST(sum(p_size) AS BIGINT) AS num FROM part GROUP BY 1)
 SELECT p.pos, num, m.depth AS denom, round(num / m.depth, 9) AS freq FROM p ASOF JOIN (SELECT * FROM m WHERE "end" IS NOT NULL) m ON p.pos >= m.start""")
 def asof_point_region(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "part").groupBy((F.col("p_partkey") % 2000 + 100).alias("pos")).agg(F.sum("p_size").alias("count"))
+    points = table(spark, d, "part").groupBy(F.col("p_partkey").alias("pos")).agg(F.sum("p_size").alias("count"))
     out = sweep.allele_freq(points, sweep.merge_regions(_regions(spark, d), "s", "e", "depth"))
     return out.withColumn("freq", F.round("freq", 9))
 

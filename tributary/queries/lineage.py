@@ -39,31 +39,22 @@ _TERMS = {"RUNNING": "j.end_time IS NULL AND j.call_hash IS NULL", "CACHED": "j.
 _TASK = ("ingest.clean", "align")  # a namespace and a name that occur
 
 
-def _const(p: Provenance, sql: str) -> list[str]:
-    """A few keys to filter by, picked from the data in a fixed order."""
-    return [r[0] for r in sql_rows(p, sql)]
+def _purged(p: Provenance, kind: str) -> DataFrame:
+    """The ids of all records of a type that were ever purged."""
+    return table(p.spark, p.folder, "purge_log").where(F.col("entity_type") == kind).select("entity_id").distinct()
 
 
-def sql_rows(p: Provenance, name: str) -> list:
-    order = {"execution": "id", "value": "value_hash", "task": "hash", "call": "call_hash"}[name]
-    return getattr(p, name).select(order).orderBy(order).limit(3).collect()
+_PURGED = "(SELECT entity_id FROM purge_log WHERE entity_type = '{}')"
+#: The executions of purged jobs.
+_EXECS = f"(SELECT execution_id FROM p_job WHERE id IN {_PURGED.format('Job')})"
 
 
-_EXECS = "(SELECT id FROM p_execution ORDER BY id LIMIT 3)"
-_USED = "(SELECT value_hash FROM p_call WHERE value_hash IS NOT NULL GROUP BY value_hash ORDER BY count(*) DESC, value_hash LIMIT 3)"
+def _execs(p: Provenance) -> DataFrame:
+    return p.job.join(_purged(p, "Job").withColumnRenamed("entity_id", "id"), "id", "left_semi").select("execution_id").distinct()
 
 
-def _used(p: Provenance) -> list[str]:
-    n = p.call.where("value_hash is not null").groupBy("value_hash").agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in n.orderBy(F.desc("n"), "value_hash").limit(3).collect()]
-
-
-_PART = "(SELECT value_hash FROM p_subvalue GROUP BY value_hash ORDER BY count(*) DESC, value_hash LIMIT 40)"
-
-
-def _part(p: Provenance) -> list[str]:
-    n = p.subvalue.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in n.orderBy(F.desc("n"), "value_hash").limit(40).collect()]
+#: The values that are part of another.
+_PART = "(SELECT value_hash FROM p_subvalue)"
 
 
 # --- the views and derived columns
@@ -106,10 +97,10 @@ def filter_types(p: Provenance) -> DataFrame:
     return _two(LineageQuery(p).filter_types(["Job", "Task"]).all())
 
 
-@query("execution", "task", "value", sql=f"SELECT 'Execution' AS type, id FROM {_EXECS} UNION ALL SELECT 'Task', hash FROM (SELECT hash FROM p_task ORDER BY hash LIMIT 3) UNION ALL SELECT 'Value', value_hash FROM (SELECT value_hash FROM p_value ORDER BY value_hash LIMIT 3)")
+@query("execution", "job", "call", "task", "value", sql=" UNION ALL ".join(f"SELECT '{t}' AS type, {c} AS id FROM {v} WHERE {c} IN (SELECT entity_id FROM purge_log)" for t, c, v in (
+    ("Execution", "id", "p_execution"), ("Job", "id", "p_job"), ("CallNode", "call_hash", "p_call"), ("Task", "hash", "p_task"), ("Value", "value_hash", "p_value"))))
 def filter_ids(p: Provenance) -> DataFrame:
-    ids = [i for n in ("execution", "task", "value") for i in _const(p, n)]
-    return _two(LineageQuery(p).filter_ids(ids).all())
+    return _two(LineageQuery(p).filter_ids(table(p.spark, p.folder, "purge_log").select("entity_id")).all())
 
 
 @query("execution", "job", "call", "task", "value", sql="""
@@ -128,7 +119,7 @@ vals AS (SELECT value_hash FROM used UNION SELECT s.value_hash FROM p_subvalue s
 SELECT 'Execution' AS type, e.id FROM p_execution e WHERE e.id IN (SELECT execution_id FROM p_job) AND e.id IN {_EXECS} UNION ALL SELECT 'Job', id FROM p_job WHERE execution_id IN {_EXECS} UNION ALL SELECT 'CallNode', call_hash FROM p_call WHERE call_hash IN (SELECT call_hash FROM x)
 UNION ALL SELECT 'Task', hash FROM p_task WHERE hash IN (SELECT task_hash FROM x) UNION ALL SELECT 'Value', value_hash FROM p_value WHERE value_hash IN (SELECT value_hash FROM vals)""")
 def filter_executions(p: Provenance) -> DataFrame:
-    return _two(LineageQuery(p).filter_execution_ids(_const(p, "execution")).all())
+    return _two(LineageQuery(p).filter_execution_ids(_execs(p)).all())
 
 
 @query("job", "call", "value", sql=" UNION ALL ".join(f"SELECT '{k}' AS status, j.id FROM {_FULL} WHERE {t}" for k, t in _TERMS.items()))
@@ -149,9 +140,9 @@ def filter_task_names(p: Provenance) -> DataFrame:
     return _two(LineageQuery(p).filter_task_names(["model.fit.align", "pack"]).all())
 
 
-@query("job", "task", sql="WITH h AS (SELECT hash FROM p_task ORDER BY hash LIMIT 3) SELECT 'Job' AS type, id FROM p_job WHERE task_hash IN (SELECT hash FROM h) UNION ALL SELECT 'Task', hash FROM h")
+@query("job", "task", sql=f"WITH h AS (SELECT entity_id FROM purge_log WHERE entity_type = 'Task') SELECT 'Job' AS type, id FROM p_job WHERE task_hash IN (FROM h) UNION ALL SELECT 'Task', hash FROM p_task WHERE hash IN (FROM h)")
 def filter_task_hashes(p: Provenance) -> DataFrame:
-    return _two(LineageQuery(p).filter_task_hashes(_const(p, "task")).all())
+    return _two(LineageQuery(p).filter_task_hashes(_purged(p, "Task")).all())
 
 
 _HELD = "(SELECT parent_value_hash FROM p_subvalue WHERE value_hash IN {v})"
@@ -159,12 +150,12 @@ _HELD = "(SELECT parent_value_hash FROM p_subvalue WHERE value_hash IN {v})"
 
 @query("job", "call", "argument", "subvalue", sql=f"SELECT DISTINCT j.id FROM p_job j JOIN p_argument a ON a.call_hash = j.call_hash WHERE a.value_hash IN {_PART} OR a.value_hash IN {_HELD.format(v=_PART)}")
 def filter_arguments(p: Provenance) -> DataFrame:
-    return LineageQuery(p).filter_arguments(_part(p)).all().select("id")
+    return LineageQuery(p).filter_arguments(p.subvalue.select("value_hash")).all().select("id")
 
 
 @query("job", "call", "subvalue", sql=f"SELECT DISTINCT j.id FROM p_job j JOIN p_call c ON c.call_hash = j.call_hash WHERE c.value_hash IN {_PART} OR c.value_hash IN {_HELD.format(v=_PART)}")
 def filter_results(p: Provenance) -> DataFrame:
-    return LineageQuery(p).filter_results(_part(p)).all().select("id")
+    return LineageQuery(p).filter_results(p.subvalue.select("value_hash")).all().select("id")
 
 
 @query("value", sql="SELECT value_hash AS id FROM p_value WHERE type IN ('lane.Sample', 'builtins.int')")
@@ -401,15 +392,10 @@ UNION SELECT 'CallNode', parent_id, 'CallNode', child_id FROM p_call_edge UNION
 UNION SELECT 'Execution', entity_id, 'Tag', tag_hash FROM p_tag WHERE is_current)"""
 
 
-@query("execution", "job", "call", "argument", "call_edge", "subvalue", "tag", sql=f"WITH RECURSIVE {_EDGES}, r(type, id) AS (SELECT 'Execution', id FROM {_EXECS} UNION SELECT e.dt, e.d FROM r JOIN e ON e.st = r.type AND e.s = r.id) SELECT type, id FROM r")
-def reachable_records(p: Provenance) -> DataFrame:
-    roots = p.execution.select(F.lit("Execution").alias("type"), "id").orderBy("id").limit(3)
-    return graph.reachable(graph.edges(p), roots)
-
-
 @query("execution", "job", "call", "argument", "call_edge", "subvalue", "tag", sql=f"WITH RECURSIVE {_EDGES}, r(type, id) AS (SELECT 'Execution', id FROM p_execution UNION SELECT e.dt, e.d FROM r JOIN e ON e.st = r.type AND e.s = r.id) SELECT type, id FROM r")
-def reachable_records_all(p: Provenance) -> DataFrame:
-    """What all executions reach; ``reachable_records`` is a sample of three."""
+def reachable_records(p: Provenance) -> DataFrame:
+    """What all executions reach."""
+    p.cut("job", "call", "call_edge", "argument")
     return graph.reachable(graph.edges(p), p.execution.select(F.lit("Execution").alias("type"), "id"))
 
 
@@ -418,31 +404,23 @@ def record_edges(p: Provenance) -> DataFrame:
     return graph.edges(p).select("src_type", "src", "dst_type", "dst").distinct().groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ROOTS = "(SELECT job_id AS id FROM p_execution WHERE job_id IS NOT NULL ORDER BY job_id LIMIT 20)"
+_ROOTS = "(SELECT job_id FROM p_execution WHERE job_id IS NOT NULL)"
 
 
 @query("execution", "job", sql=f"WITH RECURSIVE r(id) AS (SELECT j.id FROM p_job j WHERE j.parent_id IN {_ROOTS} UNION SELECT j.id FROM r JOIN p_job j ON j.parent_id = r.id) SELECT id FROM r WHERE id NOT IN {_ROOTS}")
 def rollback_descendants(p: Provenance) -> DataFrame:
-    roots = p.execution.where("job_id is not null").select(F.col("job_id").alias("id")).orderBy("id").limit(20)
-    links = p.job.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
-    return graph.rollback(links, roots)
-
-
-_ALL_ROOTS = "(SELECT job_id FROM p_execution WHERE job_id IS NOT NULL)"
-
-
-@query("execution", "job", sql=f"WITH RECURSIVE r(id) AS (SELECT j.id FROM p_job j WHERE j.parent_id IN {_ALL_ROOTS} UNION SELECT j.id FROM r JOIN p_job j ON j.parent_id = r.id) SELECT id FROM r WHERE id NOT IN {_ALL_ROOTS}")
-def rollback_descendants_all(p: Provenance) -> DataFrame:
-    """The descendants of every execution's root job; ``rollback_descendants`` is a sample of twenty."""
+    """The descendants of every execution's root job."""
     links = p.job.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
     return graph.rollback(links, p.execution.where("job_id is not null").select(F.col("job_id").alias("id")).distinct())
 
 
-@query("job", sql="SELECT id FROM p_job WHERE id < '8' UNION SELECT id FROM p_job WHERE id > '6'")
+@query("job", sql="SELECT id AS src, NULL AS dst FROM p_job UNION SELECT parent_id, id FROM p_job WHERE parent_id IS NOT NULL")
 def advance_states(p: Provenance) -> DataFrame:
-    low, high = p.job.where("id < '8'").select("id"), p.job.where("id > '6'").select("id")
-    no_edges = low.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    return graph.advance(low, no_edges, high, no_edges)[0]
+    """The jobs that ended in an hour's first half and their links are known; all jobs and links are then added."""
+    ids, link = lambda df: df.select("id"), lambda df: df.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+    known = p.job.where("minute(end_time) < 30")
+    nodes, edges = graph.advance(ids(known), link(known), ids(p.job), link(p.job))
+    return nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges)
 
 
 @query()
@@ -491,16 +469,10 @@ def leaf_parts(p: Provenance) -> DataFrame:
     return p.subvalue.join(p.subvalue.select(F.col("parent_value_hash").alias("value_hash")), "value_hash", "left_anti").select(F.col("value_hash").alias("src"), F.col("parent_value_hash").alias("dst"))
 
 
-_SMALL = "SELECT l_partkey % 10 AS a, l_partkey % 10 + 1 + l_suppkey % 5 AS b FROM lineitem"
-Q["topological_levels"] = lambda spark, d: graph.topological_levels(table(spark, d, "lineitem", "l_partkey", "l_suppkey").select(
-    (F.col("l_partkey") % 10).alias("src"), (F.col("l_partkey") % 10 + 1 + F.col("l_suppkey") % 5).alias("dst")).distinct())
-SQL["topological_levels"] = f"""WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM ({_SMALL})), n AS (SELECT a AS v FROM e UNION SELECT b FROM e),
-r(v, l) AS (SELECT v, 0 FROM n WHERE v NOT IN (SELECT b FROM e) UNION SELECT e.b, l + 1 FROM r JOIN e ON e.a = r.v) SELECT v AS node, max(l) AS level FROM r GROUP BY v"""
-
-
 @query()
-def call_levels(p: Provenance) -> DataFrame:
-    """The level of every call with a link, over all links; ``topological_levels`` is a small sample with SQL."""
+def topological_levels(p: Provenance) -> DataFrame:
+    """The level of every call with a link, over all links, a cycle counting as one node."""
+    p.cut("call_edge")
     return graph.levels(p.call_edge.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst")))
 
 
@@ -534,6 +506,7 @@ def deleted_tags(p: Provenance) -> DataFrame:
 @query("value", sql="SELECT value_hash, type FROM p_value")
 def sync_new_records(p: Provenance) -> DataFrame:
     """Half of the records are there already; a transfer adds the others, a second one none."""
+    p.cut("value")
     v = p.value.select("value_hash", "type", "format")
     source = sync.to_records(v, "Value")
     target = source.where("record_id < '8'")
@@ -578,13 +551,31 @@ def miss_reason(p: Provenance) -> DataFrame:
     return reuse.miss_reason(p.call.where("task_hash is not null"), asked)
 
 
-@query("call", sql=f"""
-WITH v AS (SELECT task_hash, args_hash, max(value_hash) AS value_hash FROM p_call WHERE task_hash IS NOT NULL AND args_hash IS NOT NULL GROUP BY ALL)
-SELECT task_hash, args_hash, CASE WHEN value_hash IS NULL THEN 'miss' WHEN args_hash < '4' THEN 'cse' WHEN args_hash < '8' THEN 'ultimate' WHEN args_hash < 'c' THEN 'single' ELSE 'miss' END AS hit,
-CASE WHEN args_hash < 'c' THEN value_hash END AS value_hash FROM v""".strip())
+_LAST = "(SELECT arg_max(id, (updated_time, id)) FROM p_execution WHERE updated_time IS NOT NULL)"
+
+
+@query("call", "call_edge", "task", "job", "execution", sql=f"""
+WITH cl AS (SELECT call_hash, task_hash FROM p_call UNION SELECT e.parent_id, c.task_hash FROM p_call_edge e JOIN p_call c ON c.call_hash = e.child_id),
+stale AS (SELECT call_hash FROM cl WHERE task_hash IS NULL OR task_hash NOT IN {_CUR}),
+c AS (SELECT * FROM p_call WHERE task_hash IS NOT NULL AND args_hash IS NOT NULL AND called_at IS NOT NULL),
+k AS (SELECT task_hash, args_hash, arg_max(value_hash, (called_at, call_hash)) AS value_hash FROM c WHERE call_hash IN (SELECT call_hash FROM p_job WHERE execution_id = {_LAST}) GROUP BY ALL),
+u AS (SELECT task_hash, args_hash, arg_max(call_hash, (called_at, call_hash)) AS call_hash FROM c WHERE call_hash NOT IN (SELECT call_hash FROM stale) GROUP BY ALL),
+s AS (SELECT task_hash, args_hash, arg_max(call_hash, (called_at, call_hash)) AS call_hash FROM c GROUP BY ALL),
+r AS (SELECT DISTINCT q.task_hash, q.args_hash, k.value_hash AS kv, uc.value_hash AS uv, sc.value_hash AS sv FROM {_REQ} q LEFT JOIN k USING (task_hash, args_hash)
+  LEFT JOIN u USING (task_hash, args_hash) LEFT JOIN p_call uc ON uc.call_hash = u.call_hash LEFT JOIN s USING (task_hash, args_hash) LEFT JOIN p_call sc ON sc.call_hash = s.call_hash)
+SELECT task_hash, args_hash, CASE WHEN kv IS NOT NULL THEN 'cse' WHEN uv IS NOT NULL THEN 'ultimate' WHEN sv IS NOT NULL THEN 'single' ELSE 'miss' END AS hit, coalesce(kv, uv, sv) AS value_hash FROM r""".strip())
 def cache_lookup(p: Provenance) -> DataFrame:
-    c = p.call.where("task_hash is not null and args_hash is not null").select("task_hash", "args_hash", "value_hash")
-    return reuse.check_cache(c.select("task_hash", "args_hash"), c.where("args_hash < '4'"), c.where("args_hash < '8'"), c.where("args_hash < 'c'"))
+    """Requests for all recorded calls: first in the latest execution, then calls with current tasks all below, then any call."""
+    p.cut("call", "call_edge")
+    calls = p.call.where("task_hash is not null and args_hash is not null and called_at is not null")
+    closure = calls.select("call_hash", "task_hash").unionByName(p.call_edge.join(p.call.select(F.col("call_hash").alias("child_id"), "task_hash"), "child_id").select(F.col("parent_id").alias("call_hash"), "task_hash")).distinct()
+    requests = p.call.where("task_hash is not null and args_hash is not null").select("task_hash", "args_hash")
+    last = p.execution.where("updated_time is not null").agg(F.max_by("id", F.struct("updated_time", "id")).alias("execution_id"))
+    here = calls.join(p.job.join(F.broadcast(last), "execution_id", "left_semi").select("call_hash"), "call_hash", "left_semi")  # one execution
+    full = reuse.closure_hits(calls, closure, requests, p.task.where("hash < 'c'").select(F.col("hash").alias("task_hash"))).join(calls.select("call_hash", "value_hash"), "call_hash")
+    latest = F.max_by("value_hash", F.struct("called_at", "call_hash")).alias("value_hash")
+    keys = ["task_hash", "args_hash"]
+    return reuse.check_cache(requests, here.groupBy(*keys).agg(latest), full.select(*keys, "value_hash"), calls.groupBy(*keys).agg(latest))
 
 
 Q["engine_reuse"] = lambda spark, d: _engine_reuse(spark, d)
