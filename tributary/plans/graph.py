@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators import hierarchy
@@ -36,7 +36,8 @@ def edges(p: Provenance) -> DataFrame:
         e(p.argument, "CallNode", "call_hash", "upstream", "CallNode", "result_call_hash"),
         e(p.call_edge, "CallNode", "parent_id", "child_call", "CallNode", "child_id"),
         e(p.subvalue, "Value", "parent_value_hash", "part", "Value", "value_hash"),
-        e(p.tag.where("is_current"), "Execution", "entity_id", "tag", "Tag", "tag_hash"),
+        e(p.tag.where("next_hash is not null"), "Tag", "tag_hash", "superseded_by", "Tag", "next_hash"),
+        p.tag.where("is_current").select(F.col("entity_type").alias("src_type"), F.col("entity_id").alias("src"), F.lit("tag").alias("label"), F.lit("Tag").alias("dst_type"), F.col("tag_hash").alias("dst")),
     ])
 
 
@@ -141,14 +142,23 @@ def advance(known_nodes: DataFrame, known_edges: DataFrame, nodes: DataFrame, ed
 # --- upstream dataflow, as tables of resolved edges over which a walk is a plain reachability
 
 
-def value_origin(p: Provenance) -> DataFrame:
+def _outer_calls(p: Provenance, internal: Sequence[str]) -> DataFrame:
+    """Calls but those of internal tasks, named by their full names."""
+    if not internal:
+        return p.call
+    full = F.when(F.col("namespace") != "", F.concat("namespace", F.lit("."), "name")).otherwise(F.col("name"))
+    return p.call.join(p.task.where(full.isin(list(internal))).select(F.col("hash").alias("task_hash")), "task_hash", "left_anti")
+
+
+def value_origin(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
     """(value_hash, call_hash): of each value, the call it came from, null if none.
 
-    Candidates are the calls whose result it is or is a part of.  A candidate that is an ancestor of another only
+    Candidates are the calls, but of internal tasks, whose result it is or is a part of.  A candidate that is an ancestor of another only
     passed it on, unless they are on one cycle; of the rest the call of the latest job counts (ties: the greatest hash).
     """
-    direct = p.call.select("value_hash", "call_hash")
-    part = p.subvalue.join(p.call.select(F.col("value_hash").alias("parent_value_hash"), "call_hash"), "parent_value_hash").select("value_hash", "call_hash")
+    calls = _outer_calls(p, internal)
+    direct = calls.select("value_hash", "call_hash")
+    part = p.subvalue.join(calls.select(F.col("value_hash").alias("parent_value_hash"), "call_hash"), "parent_value_hash").select("value_hash", "call_hash")
     s = Scratch(p.spark, "origin")
     cand = s.cut(direct.unionByName(part).where("value_hash is not null").distinct())
     own = cand.join(passed_on(cand, p.call_edge, s), ["value_hash", "call_hash"], "left_anti")
@@ -191,64 +201,142 @@ def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int
     return start.join(union(seen), ["v", "at"], "left_semi").select("value_hash", "call_hash")
 
 
-def child_producer(p: Provenance) -> DataFrame:
-    """(call_hash, value_hash, child_hash): the one child call whose result is the call's result or holds it; none unless exactly one."""
-    results = p.call.select("call_hash", "value_hash")
-    child = p.call_edge.join(results.select(F.col("call_hash").alias("child_id"), F.col("value_hash").alias("child_value")), "child_id")
-    pairs = child.join(results.select(F.col("call_hash").alias("parent_id"), "value_hash"), "parent_id")
-    whole = pairs.where("child_value = value_hash").select("parent_id", "value_hash", "child_id")
-    part = pairs.join(p.subvalue.select("value_hash", F.col("parent_value_hash").alias("child_value")), ["value_hash", "child_value"]).select("parent_id", "value_hash", "child_id")
-    return whole.unionByName(part).distinct().groupBy("parent_id", "value_hash").agg(F.count(F.lit(1)).alias("n"), F.min("child_id").alias("child_hash")).where("n = 1").select(
-        F.col("parent_id").alias("call_hash"), "value_hash", "child_hash")
+def _with_parts(p: Provenance, df: DataFrame) -> DataFrame:
+    """df (value_hash, ...) with value: the value itself, and each part of it."""
+    part = df.join(p.subvalue.select(F.col("parent_value_hash").alias("value_hash"), F.col("value_hash").alias("value")), "value_hash")
+    return df.withColumn("value", F.col("value_hash")).unionByName(part).distinct()
+
+
+def child_producer(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
+    """(call_hash, value, child_hash): the one child call, of no internal task, whose result is or holds a value that the call's result is or holds; none unless exactly one."""
+    results = _with_parts(p, p.call.where("value_hash is not null").select("call_hash", "value_hash")).select("call_hash", "value").distinct()
+    inner = results.join(_outer_calls(p, internal).select("call_hash"), "call_hash", "left_semi").withColumnRenamed("call_hash", "child_id")
+    child = p.call_edge.select("parent_id", "child_id").join(inner, "child_id")
+    pairs = child.join(results.withColumnRenamed("call_hash", "parent_id"), ["parent_id", "value"])
+    return pairs.groupBy(F.col("parent_id").alias("call_hash"), "value").agg(F.count(F.lit(1)).alias("n"), F.min("child_id").alias("child_hash")).where("n = 1").drop("n")
 
 
 def argument_origin(p: Provenance) -> DataFrame:
-    """(arg_hash, edge_kind, to): each upstream edge of each argument.
+    """(arg_hash, value, edge_kind, to, to_value, call_order): each upstream edge of each argument's value, and of each part of it.
 
-    ``result``: to an upstream call; ``routed``: to an argument of the latest parent call with the same value, whole or as a
-    part; ``origin``, with a null end: an argument with neither.
+    ``result``: to an upstream call, with the value if the call's result is or holds it, else with the whole result; call_order is the
+    upstream call's under the latest parent that all upstream calls and the call itself share, null without one.
+    ``routed``: to an argument of the latest parent call that is or holds the value.  ``origin``, with null ends: neither.
     """
-    arg = p.argument.select("arg_hash", "call_hash", "value_hash", "result_call_hash")
-    result = arg.where("result_call_hash is not null").select("arg_hash", F.lit("result").alias("edge_kind"), F.col("result_call_hash").alias("to"))
+    arg = _with_parts(p, p.argument.select("arg_hash", "call_hash", "value_hash", "result_call_hash")).drop("value_hash")
     called = p.call.select(F.col("call_hash").alias("parent_id"), "called_at")
+    up = arg.where("result_call_hash is not null")
+    whole = p.call.where("value_hash is not null").select(F.col("call_hash").alias("result_call_hash"), "value_hash")
+    held = _with_parts(p, whole).select("result_call_hash", "value", F.lit(True).alias("holds"))
+    result = up.join(whole, "result_call_hash").join(held, ["result_call_hash", "value"], "left").select(
+        "arg_hash", "value", F.col("result_call_hash").alias("to"), F.when(F.col("holds"), F.col("value")).otherwise(F.col("value_hash")).alias("to_value"))
+    # Parents of the call and of all its argument's upstream calls.
+    ends = p.argument.select("arg_hash", F.explode(F.array("call_hash", "result_call_hash")).alias("child_id")).where("child_id is not null").distinct()
+    of = ends.join(p.call_edge, "child_id")
+    need = ends.groupBy("arg_hash").agg(F.count(F.lit(1)).alias("need"))
+    shared = of.groupBy("arg_hash", "parent_id").agg(F.countDistinct("child_id").alias("n")).join(need, "arg_hash").where("n = need").join(called, "parent_id")
+    context = shared.groupBy("arg_hash").agg(F.max_by("parent_id", F.struct("called_at", "parent_id")).alias("parent_id"))
+    order = of.join(context, ["arg_hash", "parent_id"]).groupBy("arg_hash", F.col("child_id").alias("to")).agg(F.min("call_order").alias("call_order"))
+    result = result.join(order, ["arg_hash", "to"], "left").select("arg_hash", "value", F.lit("result").alias("edge_kind"), "to", "to_value", "call_order")
     parent = p.call_edge.join(called, "parent_id").groupBy(F.col("child_id").alias("call_hash")).agg(F.max_by("parent_id", F.struct("called_at", "parent_id")).alias("parent_call"))
-    above = arg.select(F.col("call_hash").alias("parent_call"), F.col("arg_hash").alias("to"), F.col("value_hash").alias("whole"))
-    near = arg.join(parent, "call_hash").join(above, "parent_call")
-    same = near.where("whole = value_hash").select("arg_hash", "to")
-    part = near.join(p.subvalue.select("value_hash", F.col("parent_value_hash").alias("whole")), ["value_hash", "whole"]).select("arg_hash", "to")
-    routed = same.unionByName(part).distinct().select("arg_hash", F.lit("routed").alias("edge_kind"), "to")
+    above = arg.select(F.col("call_hash").alias("parent_call"), F.col("arg_hash").alias("to"), "value").distinct()
+    routed = arg.select("arg_hash", "call_hash", "value").distinct().join(parent, "call_hash").join(above, ["parent_call", "value"]).select(
+        "arg_hash", "value", F.lit("routed").alias("edge_kind"), "to", F.col("value").alias("to_value"), F.lit(None).cast("int").alias("call_order"))
     known = result.unionByName(routed)
-    none = arg.join(known, "arg_hash", "left_anti").select("arg_hash", F.lit("origin").alias("edge_kind"), F.lit(None).cast("string").alias("to"))
-    return known.unionByName(none).distinct()
+    none = F.lit(None).cast("string")
+    origin = arg.select("arg_hash", "value").distinct().join(known, ["arg_hash", "value"], "left_anti").select(
+        "arg_hash", "value", F.lit("origin").alias("edge_kind"), none.alias("to"), none.alias("to_value"), F.lit(None).cast("int").alias("call_order"))
+    return known.unionByName(origin).distinct()
+
+
+def call_arguments(p: Provenance) -> DataFrame:
+    """(call_hash, arg_hash, value_hash, position): the arguments of each call in order, by position and then by key; nulls for a call without any."""
+    place = F.row_number().over(Window.partitionBy("call_hash").orderBy(F.col("arg_position").asc_nulls_last(), F.col("arg_key").asc_nulls_first(), "arg_hash")) - 1
+    own = p.argument.select("arg_hash", "call_hash", "value_hash", "arg_position", "arg_key").distinct().withColumn("position", place)
+    without = p.call.select("call_hash").join(own, "call_hash", "left_anti")
+    return own.select("call_hash", "arg_hash", "value_hash", "position").unionByName(without, allowMissingColumns=True)
+
+
+#: The nine kinds of dataflow edges.
+EDGE_KINDS = ("data", "call_arg", "call_result", "call_result_routing", "call_arg_result_routing", "call_arg_routing", "call_origin", "call_arg_origin", "call_value_origin")
+
 
+def edge_kind(src_type: str, dst_type: str | None, same_value: Column) -> Column:
+    """The kind of an edge by the types of its ends; dst_type None is an origin."""
+    if dst_type is None:
+        return F.lit({"CallNode": "call_origin", "ArgumentValue": "call_arg_origin", "Value": "call_value_origin"}[src_type])
+    if (src_type, dst_type) == ("ArgumentValue", "CallNodeValue"):
+        return F.when(same_value, "call_arg_result_routing").otherwise("data")
+    return F.lit({("CallNode", "ArgumentValue"): "call_arg", ("Value", "CallNode"): "call_result", ("CallNodeValue", "CallNode"): "call_result",
+                  ("CallNodeValue", "CallNodeValue"): "call_result_routing", ("ArgumentValue", "ArgumentValue"): "call_arg_routing"}[src_type, dst_type])
 
-def dataflow_edges(p: Provenance) -> DataFrame:
-    """(src_type, src, edge_kind, dst_type, dst): the classified edges of the upstream dataflow, from what came out to what went in."""
-    def e(df: DataFrame, st: str, s: str, kind: object, dt: object, d: str) -> DataFrame:
-        lit = lambda x: F.lit(x) if isinstance(x, str) else x
-        return df.select(F.lit(st).alias("src_type"), F.col(s).alias("src"), lit(kind).alias("edge_kind"), lit(dt).alias("dst_type"), F.col(d).alias("dst"))
-    origin = value_origin(p)
-    deeper = child_producer(p)
+
+def dataflow_edges(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
+    """(src_type, src, src_value, edge_kind, dst_type, dst, dst_value, position): the classified edges of the upstream dataflow, from what
+    came out to what went in; an origin has null ends.
+
+    Nodes are values, calls, arguments with a value (their own or a part of it) and calls with a value (their result or a part).
+    position orders the edges of a node: arguments by position and then by key, upstream calls by their call order.
+    """
+    none = F.lit(None).cast("string")
+
+    def e(df: DataFrame, st: str, s: str, sv: str | None, dt: str | None, d: str | None, dv: str | None, position: Column | None = None) -> DataFrame:
+        val = lambda c: none if c is None else F.col(c)
+        return df.select(F.lit(st).alias("src_type"), F.col(s).alias("src"), val(sv).alias("src_value"), edge_kind(st, dt, val(sv).eqNullSafe(val(dv))).alias("edge_kind"),
+                         F.lit(dt).cast("string").alias("dst_type"), val(d).alias("dst"), val(dv).alias("dst_value"), (F.lit(None) if position is None else position).cast("int").alias("position"))
+    origin = value_origin(p, internal)
+    deeper = child_producer(p, internal)
     args = argument_origin(p)
+    results = _with_parts(p, p.call.where("value_hash is not null").select("call_hash", "value_hash")).select("call_hash", "value").distinct()
+    own = call_arguments(p)
     return union([
-        e(origin.where("call_hash is not null"), "Value", "value_hash", "value_from_call", "CallNode", "call_hash"),
-        e(origin.where("call_hash is null"), "Value", "value_hash", "value_origin", "Origin", "call_hash"),
-        e(deeper, "CallNode", "call_hash", "call_from_child", "CallNode", "child_hash"),
-        e(p.argument, "CallNode", "call_hash", "call_from_argument", "Argument", "arg_hash"),
-        e(args, "Argument", "arg_hash", F.concat(F.lit("argument_"), "edge_kind"), F.when(F.col("edge_kind") == "result", "CallNode").when(F.col("edge_kind") == "routed", "Argument").otherwise("Origin"), "to"),
+        e(origin.where("call_hash is not null"), "Value", "value_hash", None, "CallNode", "call_hash", None),
+        e(origin.where("call_hash is null"), "Value", "value_hash", None, None, None, None),
+        e(deeper, "CallNodeValue", "call_hash", "value", "CallNodeValue", "child_hash", "value"),
+        e(results.join(deeper, ["call_hash", "value"], "left_anti").withColumn("to", F.col("call_hash")), "CallNodeValue", "call_hash", "value", "CallNode", "to", None),
+        e(own.where("arg_hash is not null"), "CallNode", "call_hash", None, "ArgumentValue", "arg_hash", "value_hash", F.col("position")),
+        e(own.where("arg_hash is null"), "CallNode", "call_hash", None, None, None, None),
+        e(args.where("edge_kind = 'result'"), "ArgumentValue", "arg_hash", "value", "CallNodeValue", "to", "to_value", F.col("call_order")),
+        e(args.where("edge_kind = 'routed'"), "ArgumentValue", "arg_hash", "value", "ArgumentValue", "to", "to_value"),
+        e(args.where("edge_kind = 'origin'"), "ArgumentValue", "arg_hash", "value", None, None, None),
     ])
 
 
-def upstream(p: Provenance, values: DataFrame) -> DataFrame:
-    """(type, id): all that the values (value_hash) came from."""
-    e = dataflow_edges(p).where("dst is not null")
-    return reachable(e, values.select(F.lit("Value").alias("type"), F.col("value_hash").alias("id")))
+def merge_call_values(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """Dataflow edges with one call value for each call that several call values lead to: the one with the call's whole result.
+
+    results (call_hash, value_hash).  Edges into the replaced nodes lead to the unified one, each once.
+    """
+    into = (F.col("dst_type") == "CallNode") & (F.col("src_type") == "CallNodeValue")
+    several = edges.where(into).groupBy(F.col("dst").alias("call_hash")).agg(F.countDistinct("src", "src_value").alias("n")).where("n > 1").join(results, "call_hash").select("call_hash", F.col("value_hash").alias("whole"))
+    old = edges.where(into).join(several, F.col("dst") == F.col("call_hash")).select(F.col("src").alias("was"), F.col("src_value").alias("was_value"), F.col("dst").alias("merged"), "whole").distinct()
+
+    def moved(df: DataFrame, end: str) -> DataFrame:
+        typ, key, value = f"{end}_type", end, f"{end}_value"
+        j = df.join(old, (F.col(typ) == "CallNodeValue") & (F.col(key) == F.col("was")) & F.col(value).eqNullSafe(F.col("was_value")), "left")
+        return j.withColumn(key, F.coalesce("merged", key)).withColumn(value, F.when(F.col("merged").isNotNull(), F.col("whole")).otherwise(F.col(value))).drop("was", "was_value", "merged", "whole")
+
+    kind = F.when(F.col("edge_kind").isin("data", "call_arg_result_routing"), F.when(F.col("src_value").eqNullSafe(F.col("dst_value")), "call_arg_result_routing").otherwise("data")).otherwise(F.col("edge_kind"))
+    out = moved(moved(edges, "src"), "dst").withColumn("edge_kind", kind)
+    return out.groupBy("src_type", "src", "src_value", "edge_kind", "dst_type", "dst", "dst_value").agg(F.min("position").alias("position"))
+
+
+def upstream(p: Provenance, values: DataFrame, internal: Sequence[str] = ()) -> DataFrame:
+    """(type, id, value): all that the values (value_hash) came from."""
+    both = lambda t, c, v: F.struct(F.col(t).alias("t"), F.col(c).alias("c"), F.col(v).alias("v"))
+    key = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    e = dataflow_edges(p, internal).where("dst is not null").select(F.col("src_type"), key(both("src_type", "src", "src_value")).alias("src"), F.col("dst_type"), key(both("dst_type", "dst", "dst_value")).alias("dst"))
+    start = values.select(F.lit("Value").alias("t"), F.col("value_hash").alias("c"), F.lit(None).cast("string").alias("v"))
+    got = reachable(e, start.select(F.col("t").alias("type"), key(F.struct("t", "c", "v")).alias("id")))
+    x = F.from_json("id", "t string, c string, v string")
+    return got.select("type", x["c"].alias("id"), x["v"].alias("value"))
 
 
 def describe(edges: DataFrame, limit: int = 200) -> str:
     """Dataflow edges as text, a line each, for a screen; at most limit lines."""
-    rows = edges.orderBy("src_type", "src", "edge_kind", "dst").limit(limit).collect()
-    return "\n".join(f"{r.src_type} {r.src[:8]} <-- {r.dst_type} {(r.dst or '')[:8]} [{r.edge_kind}]".replace("  ", " ") for r in rows)
+    rows = edges.orderBy("src_type", "src", "src_value", "position", "dst").limit(limit).collect()
+    node = lambda t, k: f"{t} {(k or '')[:8]}" if t else "origin"
+    return "\n".join(f"{node(r.src_type, r.src)} <-- {node(r.dst_type, r.dst)} [{r.edge_kind}]" for r in rows)
 
 
 # --- ids and files

@@ -2,7 +2,8 @@
 
 Each table is a view over the stored rows, written once in SQL that Spark and DuckDB both run: the latest row of
 each id counts, null ids are left out.  Edges, arguments and files are derived from the parent links of jobs: the
-result of a call is the argument of the sibling that started next under the same parent.
+result of a call is the first argument of the sibling that started next under the same parent, and the keyword argument ``before``
+of the one after that.  Tags are read off the stored rows of executions, jobs, tasks, values and calls.
 """
 
 from __future__ import annotations
@@ -34,13 +35,17 @@ SELECT parent_id, child_id, row_number() OVER (PARTITION BY parent_id ORDER BY s
   SELECT p.call_hash AS parent_id, c.call_hash AS child_id, min(c.start_time) AS started FROM {p_job} c JOIN {p_job} p ON p.id = c.parent_id
   WHERE c.call_hash IS NOT NULL AND p.call_hash IS NOT NULL AND c.call_hash <> p.call_hash GROUP BY p.call_hash, c.call_hash) e""",
     "p_argument": """
-SELECT md5(e.child_id || '/' || s.child_id) AS arg_hash, e.child_id AS call_hash, c.value_hash AS value_hash, 0 AS arg_position, CAST(NULL AS VARCHAR(9)) AS arg_key, s.child_id AS result_call_hash
-FROM {p_call_edge} e JOIN {p_call_edge} s ON s.parent_id = e.parent_id AND s.call_order = e.call_order - 1 JOIN {p_call} c ON c.call_hash = s.child_id""",
+SELECT md5(e.child_id || '/' || s.child_id) AS arg_hash, e.child_id AS call_hash, c.value_hash AS value_hash, CASE WHEN s.call_order = e.call_order - 1 THEN 0 END AS arg_position,
+  CASE WHEN s.call_order = e.call_order - 2 THEN 'before' END AS arg_key, s.child_id AS result_call_hash
+FROM {p_call_edge} e JOIN {p_call_edge} s ON s.parent_id = e.parent_id AND s.call_order BETWEEN e.call_order - 2 AND e.call_order - 1 JOIN {p_call} c ON c.call_hash = s.child_id""",
     "p_tag": """
-SELECT md5(entity_id || key || value || CAST(rec_id AS VARCHAR(20))) AS tag_hash, 'Execution' AS entity_type, entity_id, key, value, rec_id,
-  row_number() OVER (PARTITION BY entity_id, key ORDER BY rec_id DESC) = 1 AS is_current
-FROM (SELECT id AS entity_id, 'script' AS key, split_part(args, '"', 6) AS value, rec_id FROM {execution} WHERE args IS NOT NULL AND id IS NOT NULL
-  UNION ALL SELECT id, 'batch', substr(split_part(args, '"', 12), 1, 2), rec_id FROM {execution} WHERE args IS NOT NULL AND id IS NOT NULL) t WHERE value <> ''""",
+SELECT md5(entity_id || key || value || CAST(rec_id AS VARCHAR(20))) AS tag_hash, entity_type, entity_id, key, value, rec_id,
+  row_number() OVER (PARTITION BY entity_type, entity_id, key ORDER BY rec_id DESC) = 1 AS is_current,
+  lead(md5(entity_id || key || value || CAST(rec_id AS VARCHAR(20)))) OVER (PARTITION BY entity_type, entity_id, key ORDER BY rec_id) AS next_hash
+FROM (SELECT 'Execution' AS entity_type, id AS entity_id, 'script' AS key, split_part(args, '"', 6) AS value, rec_id FROM {execution} WHERE args IS NOT NULL AND id IS NOT NULL
+  UNION ALL SELECT 'Execution', id, 'batch', substr(split_part(args, '"', 12), 1, 2), rec_id FROM {execution} WHERE args IS NOT NULL AND id IS NOT NULL
+  UNION ALL SELECT 'Job', id, 'cached', 'true', 0 FROM {p_job} WHERE cached UNION ALL SELECT 'Task', hash, 'namespace', namespace, 0 FROM {p_task} WHERE namespace IS NOT NULL
+  UNION ALL SELECT 'Value', value_hash, 'format', format, 0 FROM {p_value} WHERE format = 'pickle' UNION ALL SELECT 'CallNode', call_hash, 'name', task_name, 0 FROM {p_call} WHERE task_name = 'pack') t WHERE value <> ''""",
     "p_file": "SELECT value_hash, 'store/' || substr(value_hash, 1, 2) || '/' || substr(value_hash, 3, 6) || '.csv' AS path FROM {p_value} WHERE type = 'lane.File'",
 }
 _STORED = ("job", "execution", "task", "call_node", "value_record", "subvalue")

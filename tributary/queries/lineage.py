@@ -63,7 +63,7 @@ _PART = "(SELECT value_hash FROM p_subvalue)"
 for _v, _cols in {
     "job": "id, start_time, end_time, task_hash, cached, call_hash, parent_id, execution_id", "execution": "id, args, updated_time, job_id", "task": "hash, name, namespace, source",
     "call": "call_hash, task_name, task_hash, args_hash, value_hash, called_at", "value": "value_hash, type, format", "subvalue": "value_hash, parent_value_hash",
-    "call_edge": "parent_id, child_id, call_order", "argument": "arg_hash, call_hash, value_hash, arg_position, result_call_hash", "tag": "tag_hash, entity_type, entity_id, key, value, is_current", "file": "value_hash, path",
+    "call_edge": "parent_id, child_id, call_order", "argument": "arg_hash, call_hash, value_hash, arg_position, arg_key, result_call_hash", "tag": "tag_hash, entity_type, entity_id, key, value, is_current", "file": "value_hash, path",
 }.items():
     def _view(p: Provenance, v=_v, cols=_cols) -> DataFrame:
         return getattr(p, v).select(*cols.split(", "))
@@ -379,7 +379,13 @@ def job_tree(p: Provenance) -> DataFrame:
     return graph.job_tree(p).select("execution_id", "id", "depth")
 
 
-@query()
+@query("job", sql="""
+WITH RECURSIVE cyc(s, v) AS (SELECT id, parent_id FROM p_job WHERE parent_id IS NOT NULL UNION SELECT cyc.s, p.parent_id FROM cyc JOIN p_job p ON p.id = cyc.v WHERE p.parent_id IS NOT NULL),
+loops AS (SELECT DISTINCT s FROM cyc WHERE s = v),
+live AS (SELECT id, parent_id FROM p_job WHERE parent_id IS NOT NULL AND id NOT IN (FROM loops) AND parent_id NOT IN (FROM loops)),
+n AS (SELECT id FROM p_job UNION SELECT parent_id FROM p_job WHERE parent_id IS NOT NULL),
+t(id, root) AS (SELECT id, id FROM n WHERE id NOT IN (SELECT id FROM live) UNION ALL SELECT l.id, t.root FROM t JOIN live l ON l.parent_id = t.id)
+SELECT j.id, t.root AS root_id, r.execution_id FROM p_job j JOIN t ON t.id = j.id LEFT JOIN p_job r ON r.id = t.root""".strip())
 def inherited_execution(p: Provenance) -> DataFrame:
     return graph.inherited_execution(p)
 
@@ -389,7 +395,7 @@ UNION SELECT 'Job', id, 'CallNode', call_hash FROM p_job WHERE call_hash IS NOT
 UNION SELECT 'CallNode', call_hash, 'Task', task_hash FROM p_call WHERE task_hash IS NOT NULL UNION SELECT 'CallNode', call_hash, 'Value', value_hash FROM p_call WHERE value_hash IS NOT NULL
 UNION SELECT 'CallNode', call_hash, 'Value', value_hash FROM p_argument WHERE value_hash IS NOT NULL UNION SELECT 'CallNode', call_hash, 'CallNode', result_call_hash FROM p_argument
 UNION SELECT 'CallNode', parent_id, 'CallNode', child_id FROM p_call_edge UNION SELECT 'Value', parent_value_hash, 'Value', value_hash FROM p_subvalue
-UNION SELECT 'Execution', entity_id, 'Tag', tag_hash FROM p_tag WHERE is_current)"""
+UNION SELECT entity_type, entity_id, 'Tag', tag_hash FROM p_tag WHERE is_current UNION SELECT 'Tag', tag_hash, 'Tag', next_hash FROM p_tag WHERE next_hash IS NOT NULL)"""
 
 
 @query("execution", "job", "call", "argument", "call_edge", "subvalue", "tag", sql=f"WITH RECURSIVE {_EDGES}, r(type, id) AS (SELECT 'Execution', id FROM p_execution UNION SELECT e.dt, e.d FROM r JOIN e ON e.st = r.type AND e.s = r.id) SELECT type, id FROM r")
@@ -423,36 +429,93 @@ def advance_states(p: Provenance) -> DataFrame:
     return nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges)
 
 
-@query()
+#: Full names of tasks that the dataflow passes over.
+_INTERNAL = ["model.fit.align", "ingest.clean.pack"]
+_OUTER = "SELECT * FROM p_call WHERE task_hash IS NULL OR task_hash NOT IN (SELECT hash FROM p_task WHERE CASE WHEN namespace <> '' THEN namespace || '.' || name ELSE name END IN ('model.fit.align', 'ingest.clean.pack'))"
+#: The origin of each value: candidates, ancestors of those of values with several, and those that aren't an ancestor of another but on a cycle with it.
+_ORIGIN = f"""outer_call AS ({_OUTER}),
+cand AS (SELECT value_hash AS v, call_hash AS c FROM outer_call WHERE value_hash IS NOT NULL UNION SELECT s.value_hash, o.call_hash FROM p_subvalue s JOIN outer_call o ON o.value_hash = s.parent_value_hash),
+many AS (SELECT DISTINCT c FROM cand WHERE v IN (SELECT v FROM cand GROUP BY v HAVING count(*) > 1)),
+anc(c, a) AS (SELECT m.c, e.parent_id FROM many m JOIN p_call_edge e ON e.child_id = m.c UNION SELECT anc.c, e.parent_id FROM anc JOIN p_call_edge e ON e.child_id = anc.a),
+near AS (SELECT c, a FROM anc WHERE a IN (FROM many)),
+passed AS (SELECT DISTINCT x.v, x.c FROM cand x JOIN cand y ON x.v = y.v AND x.c <> y.c JOIN near ON near.c = y.c AND near.a = x.c ANTI JOIN near back ON back.c = x.c AND back.a = y.c),
+started AS (SELECT call_hash, max(start_time) AS began FROM p_job WHERE call_hash IS NOT NULL GROUP BY call_hash),
+origin AS (SELECT p_value.value_hash, o.call_hash FROM p_value LEFT JOIN (SELECT v, c AS call_hash FROM (SELECT cand.v, cand.c, row_number() OVER (PARTITION BY cand.v ORDER BY began DESC NULLS LAST, cand.c DESC) AS rn
+  FROM cand ANTI JOIN passed ON passed.v = cand.v AND passed.c = cand.c JOIN started ON started.call_hash = cand.c) WHERE rn = 1) o ON o.v = p_value.value_hash)"""
+_PRODUCER = """res AS (SELECT call_hash, value_hash AS v FROM p_call WHERE value_hash IS NOT NULL UNION SELECT c.call_hash, s.value_hash FROM p_call c JOIN p_subvalue s ON s.parent_value_hash = c.value_hash),
+producer AS (SELECT e.parent_id AS call_hash, a.v AS value, min(e.child_id) AS child_hash FROM p_call_edge e JOIN res a ON a.call_hash = e.parent_id JOIN res b ON b.call_hash = e.child_id AND b.v = a.v
+  WHERE e.child_id IN (SELECT call_hash FROM outer_call) GROUP BY ALL HAVING count(*) = 1)"""
+_AORIGIN = """av AS (SELECT arg_hash, call_hash, result_call_hash, value_hash AS v FROM p_argument UNION SELECT a.arg_hash, a.call_hash, a.result_call_hash, s.value_hash FROM p_argument a JOIN p_subvalue s ON s.parent_value_hash = a.value_hash),
+re AS (SELECT call_hash, value_hash AS v FROM p_call WHERE value_hash IS NOT NULL UNION SELECT c.call_hash, s.value_hash FROM p_call c JOIN p_subvalue s ON s.parent_value_hash = c.value_hash),
+ends AS (SELECT arg_hash, call_hash AS child_id FROM p_argument UNION SELECT arg_hash, result_call_hash FROM p_argument),
+shared AS (SELECT x.arg_hash, e.parent_id FROM ends x JOIN p_call_edge e ON e.child_id = x.child_id JOIN (SELECT arg_hash, count(*) AS need FROM ends GROUP BY arg_hash) y ON y.arg_hash = x.arg_hash GROUP BY x.arg_hash, e.parent_id, need HAVING count(DISTINCT x.child_id) = need),
+ctx AS (SELECT s.arg_hash, s.parent_id FROM shared s JOIN p_call c ON c.call_hash = s.parent_id QUALIFY row_number() OVER (PARTITION BY s.arg_hash ORDER BY c.called_at DESC NULLS LAST, s.parent_id DESC) = 1),
+par AS (SELECT e.child_id, e.parent_id FROM p_call_edge e JOIN p_call c ON c.call_hash = e.parent_id QUALIFY row_number() OVER (PARTITION BY e.child_id ORDER BY c.called_at DESC NULLS LAST, e.parent_id DESC) = 1),
+known AS (SELECT DISTINCT a.arg_hash, a.v AS value, 'result' AS edge_kind, a.result_call_hash AS "to", CASE WHEN re.v IS NOT NULL THEN a.v ELSE c.value_hash END AS to_value, e.call_order
+  FROM av a JOIN p_call c ON c.call_hash = a.result_call_hash LEFT JOIN re ON re.call_hash = a.result_call_hash AND re.v = a.v LEFT JOIN ctx ON ctx.arg_hash = a.arg_hash
+  LEFT JOIN p_call_edge e ON e.parent_id = ctx.parent_id AND e.child_id = a.result_call_hash WHERE c.value_hash IS NOT NULL
+UNION SELECT a.arg_hash, a.v, 'routed', b.arg_hash, a.v, NULL FROM av a JOIN par ON par.child_id = a.call_hash JOIN av b ON b.call_hash = par.parent_id AND b.v = a.v),
+aorigin AS (SELECT * FROM known UNION SELECT arg_hash, v, 'origin', NULL, NULL, NULL FROM av WHERE (arg_hash, v) NOT IN (SELECT arg_hash, value FROM known) AND v IS NOT NULL UNION SELECT arg_hash, v, 'origin', NULL, NULL, NULL FROM av WHERE v IS NULL)"""
+_FLOW = ("job", "call", "call_edge", "argument", "subvalue", "value", "task")
+_FLOW_SQL = f"""WITH RECURSIVE {_ORIGIN}, {_PRODUCER}, {_AORIGIN}, flow AS (
+SELECT 'Value' AS src_type, value_hash AS src, CAST(NULL AS VARCHAR) AS src_value, CASE WHEN call_hash IS NULL THEN 'call_value_origin' ELSE 'call_result' END AS edge_kind, CASE WHEN call_hash IS NOT NULL THEN 'CallNode' END AS dst_type, call_hash AS dst, CAST(NULL AS VARCHAR) AS dst_value FROM origin
+UNION ALL SELECT 'CallNodeValue', call_hash, value, 'call_result_routing', 'CallNodeValue', child_hash, value FROM producer
+UNION ALL SELECT 'CallNodeValue', call_hash, v, 'call_result', 'CallNode', call_hash, NULL FROM res WHERE (call_hash, v) NOT IN (SELECT call_hash, value FROM producer)
+UNION ALL SELECT DISTINCT 'CallNode', call_hash, NULL, 'call_arg', 'ArgumentValue', arg_hash, value_hash FROM p_argument
+UNION ALL SELECT 'CallNode', call_hash, NULL, 'call_origin', NULL, NULL, NULL FROM p_call WHERE call_hash NOT IN (SELECT call_hash FROM p_argument)
+UNION ALL SELECT 'ArgumentValue', arg_hash, value, CASE edge_kind WHEN 'origin' THEN 'call_arg_origin' WHEN 'routed' THEN 'call_arg_routing' ELSE CASE WHEN value = to_value THEN 'call_arg_result_routing' ELSE 'data' END END,
+  CASE edge_kind WHEN 'result' THEN 'CallNodeValue' WHEN 'routed' THEN 'ArgumentValue' END, "to", to_value FROM aorigin)"""
+
+
+@query(*_FLOW, sql=f"WITH RECURSIVE {_ORIGIN} SELECT value_hash, call_hash FROM origin")
 def value_origins(p: Provenance) -> DataFrame:
-    return graph.value_origin(p)
+    p.cut("job", "call", "call_edge")
+    return graph.value_origin(p, _INTERNAL)
 
 
-@query("call", "call_edge", "subvalue", sql="""
-WITH m AS (SELECT DISTINCT e.parent_id, v.value_hash, e.child_id FROM p_call_edge e JOIN p_call v ON v.call_hash = e.parent_id JOIN p_call c ON c.call_hash = e.child_id
-  WHERE c.value_hash = v.value_hash OR EXISTS (SELECT 1 FROM p_subvalue s WHERE s.value_hash = v.value_hash AND s.parent_value_hash = c.value_hash))
-SELECT parent_id AS call_hash, value_hash, min(child_id) AS child_hash FROM m GROUP BY parent_id, value_hash HAVING count(*) = 1""".strip())
+@query("call", "call_edge", "subvalue", "task", "job", sql=f"WITH outer_call AS ({_OUTER}), {_PRODUCER} SELECT call_hash, value, child_hash FROM producer")
 def child_producers(p: Provenance) -> DataFrame:
-    return graph.child_producer(p)
+    return graph.child_producer(p, _INTERNAL)
 
 
-@query("call", "call_edge", "argument", "subvalue", sql="""
-WITH par AS (SELECT e.child_id, arg_max(e.parent_id, (c.called_at, e.parent_id)) AS parent_call FROM p_call_edge e JOIN p_call c ON c.call_hash = e.parent_id WHERE c.called_at IS NOT NULL GROUP BY e.child_id),
-routed AS (SELECT DISTINCT a.arg_hash, b.arg_hash AS "to" FROM p_argument a JOIN par ON par.child_id = a.call_hash JOIN p_argument b ON b.call_hash = par.parent_call
-  WHERE b.value_hash = a.value_hash OR EXISTS (SELECT 1 FROM p_subvalue s WHERE s.value_hash = a.value_hash AND s.parent_value_hash = b.value_hash))
-SELECT arg_hash, 'result' AS edge_kind, result_call_hash AS "to" FROM p_argument UNION SELECT arg_hash, 'routed', "to" FROM routed""".strip())
+@query("call", "call_edge", "argument", "subvalue", sql=f'WITH {_AORIGIN} SELECT arg_hash, value, edge_kind, "to", to_value, call_order FROM aorigin')
 def argument_origins(p: Provenance) -> DataFrame:
+    p.cut("call", "call_edge", "argument")
     return graph.argument_origin(p)
 
 
-@query()
+@query("call", "argument", sql="""SELECT call_hash, arg_hash, row_number() OVER (PARTITION BY call_hash ORDER BY arg_position NULLS LAST, arg_key NULLS FIRST, arg_hash) - 1 AS position
+FROM (SELECT DISTINCT call_hash, arg_hash, arg_position, arg_key FROM p_argument) a UNION ALL SELECT call_hash, NULL, NULL FROM p_call WHERE call_hash NOT IN (SELECT call_hash FROM p_argument)""")
+def call_arguments(p: Provenance) -> DataFrame:
+    """The arguments of each call in order, positional ones first; a call without any is an origin."""
+    p.cut("call", "argument")
+    return graph.call_arguments(p).select("call_hash", "arg_hash", "position")
+
+
+@query(*_FLOW, sql=_FLOW_SQL + " SELECT src_type, edge_kind, dst_type, count(*) AS n, count(DISTINCT dst) AS n_ends FROM flow GROUP BY ALL")
 def upstream_edges(p: Provenance) -> DataFrame:
-    return graph.dataflow_edges(p).groupBy("src_type", "edge_kind", "dst_type").agg(F.count(F.lit(1)).alias("n"))
+    p.cut("job", "call", "call_edge", "argument")
+    return graph.dataflow_edges(p, _INTERNAL).groupBy("src_type", "edge_kind", "dst_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("n_ends"))
 
 
-@query()
+@query(*_FLOW, sql=_FLOW_SQL + """, m AS (SELECT dst AS call_hash FROM flow WHERE src_type = 'CallNodeValue' AND dst_type = 'CallNode' GROUP BY dst HAVING count(*) > 1),
+old AS (SELECT f.src, f.src_value, f.dst AS merged, c.value_hash AS whole FROM flow f JOIN m ON m.call_hash = f.dst JOIN p_call c ON c.call_hash = m.call_hash WHERE f.src_type = 'CallNodeValue' AND f.dst_type = 'CallNode' AND c.value_hash IS NOT NULL),
+s AS (SELECT f.src_type, coalesce(o.merged, f.src) AS src, coalesce(o.whole, f.src_value) AS src_value, f.edge_kind, f.dst_type, f.dst, f.dst_value FROM flow f LEFT JOIN old o ON f.src_type = 'CallNodeValue' AND o.src = f.src AND o.src_value = f.src_value),
+t AS (SELECT s.src_type, s.src, s.src_value, s.edge_kind, s.dst_type, coalesce(o.merged, s.dst) AS dst, coalesce(o.whole, s.dst_value) AS dst_value FROM s LEFT JOIN old o ON s.dst_type = 'CallNodeValue' AND o.src = s.dst AND o.src_value = s.dst_value),
+u AS (SELECT DISTINCT src_type, src, src_value, CASE WHEN edge_kind IN ('data', 'call_arg_result_routing') THEN CASE WHEN src_value IS NOT DISTINCT FROM dst_value THEN 'call_arg_result_routing' ELSE 'data' END ELSE edge_kind END AS edge_kind, dst_type, dst, dst_value FROM t)
+SELECT src_type, edge_kind, dst_type, count(*) AS n, count(DISTINCT dst) AS n_ends FROM u GROUP BY ALL""")
+def merged_call_values(p: Provenance) -> DataFrame:
+    """The dataflow with one call value for each call that several lead to."""
+    p.cut("job", "call", "call_edge", "argument")
+    out = graph.merge_call_values(graph.dataflow_edges(p, _INTERNAL), p.call.where("value_hash is not null").select("call_hash", "value_hash"))
+    return out.groupBy("src_type", "edge_kind", "dst_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("n_ends"))
+
+
+@query(*_FLOW, sql=_FLOW_SQL + f""", walk(t, c, v) AS (SELECT 'Value', value_hash, CAST(NULL AS VARCHAR) FROM p_value WHERE type = '{ERROR_TYPE}'
+UNION SELECT f.dst_type, f.dst, f.dst_value FROM walk w JOIN flow f ON f.src_type = w.t AND f.src = w.c AND f.src_value IS NOT DISTINCT FROM w.v WHERE f.dst IS NOT NULL) SELECT t AS type, c AS id, v AS value FROM walk""")
 def upstream_of_values(p: Provenance) -> DataFrame:
-    return graph.upstream(p, p.value.where(f"type = '{ERROR_TYPE}'").select("value_hash"))
+    p.cut("job", "call", "call_edge", "argument")
+    return graph.upstream(p, p.value.where(f"type = '{ERROR_TYPE}'").select("value_hash"), _INTERNAL)
 
 
 @query("file", "job", "call", "argument", "subvalue", sql="""
@@ -495,12 +558,12 @@ def updated_tags(p: Provenance) -> DataFrame:
     return tags.current(*tags.record(now, none, new, update=True)).select("entity_id", "key", "value")
 
 
-@query("tag", sql="SELECT entity_id, 1 AS n_keys, value AS script FROM p_tag WHERE is_current AND key = 'script'")
+@query("tag", sql="SELECT entity_id, count(*) AS n_keys, max(CASE WHEN key = 'script' THEN value END) AS script FROM p_tag WHERE is_current AND key <> 'batch' GROUP BY entity_type, entity_id")
 def deleted_tags(p: Provenance) -> DataFrame:
     now = p.tag.where("is_current").select("tag_hash", "entity_type", "entity_id", "key", "value")
     none = now.select(F.col("tag_hash").alias("parent_id"), F.col("tag_hash").alias("child_id")).limit(0)
     left = tags.multimap(*tags.delete(now, none, now.where("key = 'batch'")))
-    return left.select("entity_id", F.size("tags").alias("n_keys"), F.element_at(F.col("tags")["script"], 1).alias("script"))
+    return left.select("entity_id", F.size("tags").alias("n_keys"), F.try_element_at(F.col("tags")["script"], F.lit(1)).alias("script"))
 
 
 @query("value", sql="SELECT value_hash, type FROM p_value")
