@@ -1,12 +1,19 @@
+import hashlib
 import random
+from dataclasses import dataclass
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tributary.functions import scalars as S
 from tributary.functions import values as V
-from tributary.plans import reuse, sync, tags
+from tributary.functions.hashing import hash_text
+from tributary.plans import annotate, reuse, sync, tags
 from tributary.plans import transforms as T
 from tributary.plans.graph import levels, passed_on, reachable, topological_levels
+from tributary.plans.lineage import parse
+from tributary.plans.provenance import Provenance
 from tributary.scratch import Scratch
 from tributary.sources import datasets, files
 from tributary.streaming import changes
@@ -48,6 +55,94 @@ def test_combinators(spark):
     assert T.recording()
 
 
+def test_merging_and_nesting():
+    assert T.merge_dicts([{"x": 5}, {"x": {"a": 1}}, {"x": {"b": 2}}]) == {"x": {"b": 2}}  # not all are dicts: the last counts
+    assert T.merge_dicts([{"x": {"a": 1}}, {"x": {"b": 2}}, {"x": 3}]) == {"x": 3} and T.merge_dicts([]) == {}
+    @dataclass
+    class Box:
+        a: int
+        b: list
+    assert list(T.iter_leaves([Box(1, [2, 3])])) == [1, 2, 3] and T.map_leaves(lambda x: x + 1, Box(1, [2])) == Box(2, [3])
+
+
+def test_context():
+    f = T.transform(lambda: T.current_context("a.b"), namespace="c", name="f", version="1")
+    outer = T.transform(lambda: f(), namespace="c", name="g", version="1")
+    assert f() is None and f.update_context({"a": {"b": 1}})() == 1 and outer.update_context({"a": {"b": 2}})() == 2
+    with T.context({"a": {"b": 3, "c": 4}}):
+        assert f() == 3 and f.update_context({"a": {"b": 5}})() == 5 and T.current_context("a.c") == 4
+    assert T.current_context("a.c", "none") == "none"
+
+
+def test_quoted_macro_udf(spark):
+    q = T.quote(lambda: 1 / 0)
+    m = T.macro(lambda spark, take, a, b: a.eval() if take else b)
+    assert m(True, T.quote(lambda: 7), q) == 7 and m(False, T.quote(lambda: 7), q) is q
+    def plus(x: pd.Series) -> pd.Series:
+        return x + 1
+    assert spark.range(2).select(T.udf(plus, "bigint")("id").alias("y"), T.udf(lambda x: str(x), "string")("id").alias("z")).collect() == [(1, "0"), (2, "1")]
+
+
+def test_annotations(spark):
+    have = spark.createDataFrame([("a", "c")], "arg_hash string, result_call_hash string")
+    more = spark.createDataFrame([("a", "c"), ("a", "d"), ("a", "d"), (None, "d"), ("b", None)], "arg_hash string, result_call_hash string")
+    assert sorted(map(tuple, annotate.derive(have, more).collect())) == [("a", "c"), ("a", "d")]
+    states, edges = annotate.merge_states(spark.createDataFrame([("n", "s2"), ("n", "s1"), ("n", "s1"), ("m", "x"), ("k", None)], "name string, state string"))
+    named = {r["name"]: r["state"] for r in states.collect()}
+    assert set(named) == {"n", "m"} and named["m"] == "x" and sorted(map(tuple, edges.collect())) == [("s1", named["n"]), ("s2", named["n"])]
+    assert annotate.merge_states(spark.createDataFrame([("n", "s1"), ("n", "s2")], "name string, state string"))[0].first()["state"] == named["n"]
+    store = spark.createDataFrame([], "tag_hash string, entity_type string, entity_id string, key string, value string")
+    edits = spark.createDataFrame([], "parent_id string, child_id string")
+    rows = spark.createDataFrame([("v", "j", None), ("v", "k", "e")], "value_hash string, job_id string, execution_id string")
+    out, store, edits = annotate.apply_tags(rows, store, edits, {"a": "1"}, {"b": "2"}, {"c": "3"})
+    assert out is rows and sorted((r["entity_type"], r["entity_id"], r["key"]) for r in store.collect()) == [("Execution", "e", "c"), ("Job", "j", "b"), ("Job", "k", "b"), ("Value", "v", "a")]
+    t = annotate.ValueType("Point", "x int, y int", ("x",), lambda v: v["y"] > 0)
+    p = F.struct(F.lit(1).alias("x"), F.lit(None).cast("int").alias("y"))
+    assert list(one(spark, t.valid(p), t.load(t.dump(p))["x"], t.hash(p) == t.hash(F.struct(F.lit(1).alias("x"), F.lit(5).alias("y"))))) == [False, 1, True]
+    annotate.register_type(t)
+    with pytest.raises(ValueError):
+        annotate.register_type(annotate.ValueType("Point", "x int", ("x",)))
+
+
+def test_cache_scope(spark):
+    req = spark.createDataFrame([("t", a) for a in "wxyz"], "task_hash string, args_hash string")
+    at = lambda *keys: spark.createDataFrame([("t", k, f"{keys[0]}{k}") for k in keys], "task_hash string, args_hash string, value_hash string")
+    tables = at("x"), at("y", "x"), at("z", "x", "y")
+    hits = lambda **kw: {r["args_hash"]: (r["hit"], r["value_hash"]) for r in reuse.check_cache(req, *tables, **kw).collect()}
+    assert hits() == {"w": ("miss", None), "x": ("cse", "xx"), "y": ("ultimate", "yy"), "z": ("single", "zz")}
+    assert {k for k, v in hits(scope="execution").items() if v[0] != "miss"} == {"x"} and all(v[0] == "miss" for v in hits(scope="none").values())
+    assert hits(allowed=("single",)) == {"w": ("miss", None), "x": ("single", "zx"), "y": ("single", "zy"), "z": ("single", "zz")}
+
+
+def test_tag_texts(spark):
+    with pytest.raises(Exception, match="not JSON"):
+        one(spark, S.parse_tag_value(F.lit("[1")))
+    with pytest.raises(Exception, match="no key"):
+        one(spark, S.parse_tag(F.lit("=x")))
+    assert list(one(spark, S.parse_tag_value(F.lit("[1"), strict=False), S.parse_tag(F.lit("=x"), strict=False), S.parse_tag(F.lit("a=b=c"))["value"], hash_text(F.lit("x")))) == [None, None, "b=c", hashlib.sha512(b"x").hexdigest()[:40]]
+
+
+def test_query_flags(spark, data):
+    p = Provenance(spark, data)
+    ids = [r["execution_id"] for r in p.job.where("execution_id is not null").select("execution_id").distinct().orderBy("execution_id").limit(2).collect()]
+    both = lambda *a: {tuple(r) for r in parse(p, a).select("type", "id").collect()}
+    assert both("--job", "--exec-id", ",".join(ids)) == both("--job", "--exec-id", ids[0], "--exec-id", ids[1]) == both("-j", "--exec-id", ids[0]) | both("-j", "--exec-id", ids[1])
+    assert both("--task", "-t", "pack") == both("--task", "--task-name", "pack") and parse(p, ["--all"]).types == parse(p, []).types
+    v = p.argument.select("value_hash").where("value_hash is not null").first()[0]
+    assert both("--arg", v) == both("--argument", v) != set()
+    with pytest.raises(ValueError):
+        parse(p, ["--nothing"])
+
+
+def test_sql_keeps_views(spark):
+    spark.range(3).createOrReplaceTempView("dataset")
+    try:
+        assert datasets.sql_query(spark.range(5), "WITH x AS (SELECT id + 1 AS y, '{a}' AS b FROM dataset) SELECT max(y) AS m, max(b) AS b FROM x").first() == (5, "{a}")
+        assert spark.table("dataset").count() == 3
+    finally:
+        spark.catalog.dropTempView("dataset")
+
+
 def test_identity_of_transforms():
     def make(body, **kw):
         return T.transform(body, namespace="n", name="f", **kw)

@@ -1,17 +1,13 @@
-"""Every query of the core against its SQL on the smallest tables; those without SQL must give rows of a stable schema."""
-
-import os
+"""Every query of the core against its SQL on the smallest tables; those without SQL must give rows, and the same columns again."""
 
 import pytest
 
-from tributary.queries import expressions, lineage, problems
+from tributary.queries import composition, expressions, lineage, problems
 
-QUERIES = {n: (f, m.SQL.get(n)) for m in (problems, expressions, lineage) for n, f in m.QUERIES.items()}
-#: Queries that run the whole call hierarchy again without SQL to compare with; TEST_ALL=1 runs them too.
-REPEATS = {"p5_descendants", "upstream_edges", "inherited_execution", "value_origins"}
+QUERIES = {n: (f, m.SQL.get(n)) for m in (problems, expressions, lineage, composition) for n, f in m.QUERIES.items()}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in REPEATS or os.environ.get("TEST_ALL")])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(name, same):
     same(name, *QUERIES[name])
 
@@ -19,5 +15,5 @@ def test_query(name, same):
 def test_entry(spark, data):
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
     assert e.queries()["p1_report"](spark, data).columns == ["table_name", "field_name", "period", "n_orphans"]

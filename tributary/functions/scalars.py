@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INT = r"^[+-]?[0-9]+$"
-_FLOAT = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
+_DIGITS = "[0-9]+(_[0-9]+)*"
+_INT = rf"^\s*[+-]?{_DIGITS}\s*$"
+_FLOAT = rf"^\s*[+-]?(({_DIGITS}\.({_DIGITS})?|\.{_DIGITS}|{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))\s*$"
 
 
 def tag_value_kind(text: Column) -> Column:
@@ -17,12 +18,15 @@ def tag_value_kind(text: Column) -> Column:
     )
 
 
-def parse_tag_value(text: Column) -> Column:
-    """The value as normalized JSON text; null for text that opens like JSON but isn't."""
+def parse_tag_value(text: Column, strict: bool = True) -> Column:
+    """The value as normalized JSON text; text that opens like JSON but isn't fails, or is null if not strict."""
     kind = tag_value_kind(text)
+    plain = F.regexp_replace(F.trim(text), "_", "")
+    held = F.to_json(F.try_parse_json(text))
+    bad = F.raise_error(F.concat(F.lit("not JSON: "), text)) if strict else F.lit(None).cast("string")
     return (
-        F.when(kind == "null", "null").when(kind == "json", F.to_json(F.try_parse_json(text))).when(kind == "int", text.try_cast("decimal(38,0)").cast("string"))
-        .when(kind == "float", text.try_cast("double").cast("string")).when(kind == "bool", text).otherwise(quote_json(text))
+        F.when(kind == "null", "null").when(kind == "json", F.coalesce(held, bad)).when(kind == "int", plain.try_cast("decimal(38,0)").cast("string"))
+        .when(kind == "float", plain.try_cast("double").cast("string")).when(kind == "bool", text).otherwise(quote_json(text))
     )
 
 
@@ -32,12 +36,13 @@ def quote_json(text: Column) -> Column:
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
-def parse_tag(text: Column) -> Column:
-    """struct<key, value, has_value>: split at the first ``=``; an empty key gives a null struct."""
+def parse_tag(text: Column, strict: bool = True) -> Column:
+    """struct<key, value, has_value>: split at the first ``=``; an empty key fails, or gives a null struct if not strict."""
     at = F.instr(text, "=")
     key = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
     value = F.when(at > 0, F.substring(text, at + 1, F.length(text)))
-    return F.when(key != "", F.struct(key.alias("key"), value.alias("value"), (at > 0).alias("has_value")))
+    whole = F.when(key != "", F.struct(key.alias("key"), value.alias("value"), (at > 0).alias("has_value")))
+    return whole.when(key == "", F.raise_error(F.concat(F.lit("no key in tag "), text)).cast("struct<key:string,value:string,has_value:boolean>")) if strict else whole
 
 
 def format_tag_value(text: Column) -> Column:

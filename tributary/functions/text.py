@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.scratch import Scratch
+
 #: ASCII punctuation that is stripped from the ends of a word (fixed value).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -42,3 +44,21 @@ def group_read_pairs(files: DataFrame, name: str, pattern: str = r"^(.+?)[._]R?(
     x = files.select(F.col(name).alias("file"), F.regexp_extract(name, pattern, 1).alias("sample"), F.regexp_extract(name, pattern, 2).alias("read")).where("sample <> ''")
     per_read = x.groupBy("sample", "read").agg(F.array_sort(F.collect_list("file")).alias("files"))
     return per_read.groupBy("sample").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("read", "files")))).alias("reads"))
+
+
+def crawl(pages: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """(url, depth, found): what links lead to from the start pages (url) in at most so many steps, each once with its least depth.
+
+    pages (url, html); a link to a page that isn't there is a url that wasn't found.  One round a step; each round reads the links of its own pages only.
+    """
+    s = Scratch(pages.sparkSession, "crawl")
+    out = s.cut(pages.select("url", F.explode(links(F.col("html"))).alias("link")).select("url", clean_url(F.col("link"), F.col("url")).alias("to")).where("to is not null").distinct())
+    front = s.cut(start.select("url", F.lit(0).alias("depth")).where("url is not null").distinct())
+    seen = front
+    for depth in range(1, most + 1):
+        nxt = front.join(out, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")
+        front, more = s.counted(nxt.select("url", F.lit(depth).alias("depth")))
+        if not more:
+            break
+        seen = s.cut(seen.unionByName(front))
+    return seen.join(pages.select("url", F.lit(True).alias("found")).distinct(), "url", "left").select("url", "depth", F.coalesce("found", F.lit(False)).alias("found"))

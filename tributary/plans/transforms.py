@@ -6,15 +6,19 @@ optimizes and runs what comes out, so maps fuse, and nothing is evaluated until
 
 from __future__ import annotations
 
+import asyncio
+import dataclasses
 import functools
 import inspect
 import textwrap
 import threading
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
+from contextvars import ContextVar
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,7 @@ class Transform:
     options: tuple[tuple[str, Any], ...] = ()
     nout: int | None = None
     source: str = field(default="", compare=False)
+    context: dict[str, Any] = field(default_factory=dict, compare=False)
 
     @property
     def fullname(self) -> str:
@@ -51,7 +56,8 @@ class Transform:
 
     def __call__(self, *args: Any, **kwargs: Any) -> Any:
         first, named = self.bound
-        out = self.func(*first, *args, **(dict(named) | kwargs))
+        with context(self.context) if self.context else nullcontext():
+            out = self.func(*first, *args, **(dict(named) | kwargs))
         if self.nout is not None and isinstance(out, tuple) and len(out) != self.nout:
             raise ValueError(f"{self.fullname} gave {len(out)} results, not {self.nout}")
         return out
@@ -60,6 +66,10 @@ class Transform:
         first, named = self.bound
         return replace(self, bound=((*first, *args), tuple({**dict(named), **kwargs}.items())))
 
+    def update_context(self, values: dict[str, Any]) -> Transform:
+        """A transform in whose calls, and all calls inside them, these values are merged into the context."""
+        return replace(self, context=merge_dicts([self.context, values]))
+
     def with_options(self, **options: Any) -> Transform:
         return replace(self, options=tuple(sorted({**dict(self.options), **options}.items())))
 
@@ -114,6 +124,19 @@ def wraps(outer: Callable[[Transform], Callable[..., Any]]) -> Callable[[Any], T
     return make
 
 
+def macro(func: Callable[..., Any]) -> Transform:
+    """Decorator: a transform that gets the active session and its arguments as they are written: plans and quoted plans, not their
+    results.  What it doesn't force is never built."""
+    def run(*args: Any, **kwargs: Any) -> Any:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError("no active session")
+        return func(spark, *args, **kwargs)
+    t = Transform(run, func.__name__, source=_source(func))
+    _registry[t.fullname] = t
+    return t
+
+
 # --- composition
 
 
@@ -145,11 +168,26 @@ def delay(f: Callable[[], Any]) -> Callable[[], Any]:
     return f
 
 
-quote = delay
+class Quoted:
+    """A plan kept from being built until ``eval``; quoted ones in its arguments stay quoted."""
+
+    def __init__(self, f: Callable[..., Any], *args: Any, **kwargs: Any) -> None:
+        self.f, self.args, self.kwargs = f, args, kwargs
+
+    def eval(self) -> Any:
+        return self.f(*self.args, **self.kwargs)
 
 
-def force(f: Callable[[], Any]) -> Any:
-    return f()
+quote = Quoted
+
+
+def force(f: Callable[[], Any] | Quoted) -> Any:
+    return f.eval() if isinstance(f, Quoted) else f()
+
+
+async def value(df: DataFrame) -> list[Any]:
+    """The rows of a plan, run in a thread of its own so that other coroutines go on; for results that fit the driver."""
+    return await asyncio.to_thread(df.collect)
 
 
 def apply_func(f: Callable[..., Any], *args: Any, **kwargs: Any) -> Any:
@@ -301,19 +339,44 @@ def options(spark: SparkSession, **conf: str) -> Iterator[SparkSession]:
 
 
 def merge_dicts(dicts: Sequence[dict]) -> dict:
-    """Nested merge; of two that aren't both dicts the later counts."""
-    out: dict = {}
+    """Nested merge: the values of a key are merged if all are dicts, else the last counts."""
+    values: dict[Any, list] = {}
     for d in dicts:
         for k, v in d.items():
-            out[k] = merge_dicts([out[k], v]) if isinstance(out.get(k), dict) and isinstance(v, dict) else v
-    return out
+            values.setdefault(k, []).append(v)
+    return {k: merge_dicts(v) if all(isinstance(x, dict) for x in v) else v[-1] for k, v in values.items()}
+
+
+def _lacks(m: Column, k: Column, v: Column) -> Column:
+    return ~F.coalesce(F.map_contains_key(m, k), F.lit(False))
 
 
 def merge_maps(*maps: Column) -> Column:
-    """Map columns as one; of a key given twice the later value counts."""
-    all_ = F.concat(*[F.map_entries(F.coalesce(m, F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))) for m in maps])
-    last = F.aggregate(all_, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.array_append(F.filter(acc, lambda x: x["key"] != e["key"]), e))
-    return F.map_from_entries(last)
+    """Map columns as one; of a key given twice the later value counts.  Null maps count as empty."""
+    out = maps[0]
+    for m in maps[1:]:
+        # What the later map has goes; each step looks keys up instead of copying an array per key.
+        kept = F.map_filter(out, functools.partial(_lacks, m))
+        out = F.when(m.isNull(), out).when(out.isNull(), m).otherwise(F.map_concat(kept, m))
+    return out
+
+
+_context: ContextVar[dict] = ContextVar("context", default={})
+
+
+@contextmanager
+def context(values: dict[str, Any]) -> Iterator[dict]:
+    """Values merged into the context for a scope."""
+    token = _context.set(merge_dicts([_context.get(), values]))
+    try:
+        yield _context.get()
+    finally:
+        _context.reset(token)
+
+
+def current_context(path: str, default: Any = None) -> Any:
+    """The value at a dotted path of the context around."""
+    return get_context(_context.get(), path, default)
 
 
 def get_context(context: dict, path: str, default: Any = None) -> Any:
@@ -339,6 +402,9 @@ def iter_leaves(value: Any) -> Iterator[Any]:
     elif isinstance(value, (list, tuple, set, frozenset)):
         for v in value:
             yield from iter_leaves(v)
+    elif dataclasses.is_dataclass(value) and not isinstance(value, type):
+        for f in dataclasses.fields(value):
+            yield from iter_leaves(getattr(value, f.name))
     else:
         yield value
 
@@ -351,6 +417,8 @@ def map_leaves(f: Callable[[Any], Any], value: Any) -> Any:
         return type(value)(*[map_leaves(f, v) for v in value])
     if isinstance(value, (list, tuple, set, frozenset)):
         return type(value)(map_leaves(f, v) for v in value)
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        return dataclasses.replace(value, **{x.name: map_leaves(f, getattr(value, x.name)) for x in dataclasses.fields(value) if x.init})
     return f(value)
 
 
@@ -408,8 +476,13 @@ def _wrapped(f: Callable[..., Any], kind: str) -> Any:
     return F.pandas_udf(f, kind)
 
 
-def udf(f: Callable[..., Any], return_type: str = "string", vectorized: bool = False) -> Callable[..., Any]:
-    """f as a function of columns while a session is active, else f itself.  vectorized: f takes and gives Series."""
+def _takes_series(f: Callable[..., Any]) -> bool:
+    hints = getattr(f, "__annotations__", {}).values()
+    return any(h is pd.Series or (isinstance(h, str) and h.endswith("Series")) for h in hints)
+
+
+def udf(f: Callable[..., Any], return_type: str = "string", vectorized: bool | None = None) -> Callable[..., Any]:
+    """f as a function of columns while a session is active, else f itself.  vectorized: f takes and gives Series; by default if its annotations say so."""
     if SparkSession.getActiveSession() is None:
         return f
-    return _wrapped(f, return_type) if vectorized else F.udf(f, return_type, useArrow=True)
+    return _wrapped(f, return_type) if (_takes_series(f) if vectorized is None else vectorized) else F.udf(f, return_type, useArrow=True)

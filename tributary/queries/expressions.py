@@ -188,7 +188,7 @@ def sql_view(spark: SparkSession, d: str) -> DataFrame:
 def udf_column(spark: SparkSession, d: str) -> DataFrame:
     def raised(x: pd.Series) -> pd.Series:
         return x * 1.1
-    return table(spark, d, "part", "p_partkey", "p_retailprice").select("p_partkey", T.udf(raised, "double", vectorized=True)(F.col("p_retailprice")).alias("price"))
+    return table(spark, d, "part", "p_partkey", "p_retailprice").select("p_partkey", T.udf(raised, "double")(F.col("p_retailprice")).alias("price"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL")
@@ -336,12 +336,6 @@ def parse_tags(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in TAG_TEXTS], "text string").select("text", S.tag_value_kind(F.col("text")).alias("kind"))
 
 
-@query()
-def parse_tag_values(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return spark.createDataFrame([(x,) for x in TAG_TEXTS], "text string").select("text", S.parse_tag_value(t).alias("json"), S.format_tag_value(t).alias("formatted"))
-
-
 @query("SELECT event_id, event_type AS key, json_extract_string(props, '$.k') AS value FROM events")
 def tag_key_value(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat("event_type", F.lit("="), F.get_json_object("props", "$.k"))

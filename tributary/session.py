@@ -24,3 +24,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def active_session() -> SparkSession:
+    """The session there is; none is ever made."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active session")
+    return spark
+
+
+def num_workers(spark: SparkSession) -> int:
+    """Executors beside the driver; in a local session the driver itself."""
+    return max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Formats with a reader in Spark; avro needs a package on the class path, xml a rowTag.
-FORMATS = ("avro", "csv", "json", "orc", "parquet", "text", "xml")
+#: Formats with a reader; avro needs a package on the class path, xml a rowTag, grokLog a pattern.
+FORMATS = ("avro", "csv", "grokLog", "json", "orc", "parquet", "text", "xml")
 #: Formats that can be declared but that Spark has no reader for.
-UNREADABLE = ("ion", "grokLog")
+UNREADABLE = ("ion",)
 
 
 def file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -76,6 +78,12 @@ class Dataset:
             r = r.option("recursiveFileLookup", "true")
         if self.format == "csv":
             options = {"header": "true"} | options
+        if self.format == "grokLog":
+            lines = r.format("text").load(self.path)
+            df = lines.select(*grok_columns(F.col("value"), options["pattern"]))
+            if validate and df.isEmpty():
+                raise ValueError(f"no rows in {self.path}")
+            return df
         if schema is not None:
             r = r.schema(schema)
         df = r.options(**options).load(self.path)
@@ -160,9 +168,32 @@ def clean_catalog_table(spark: SparkSession, name: str, older_than_hours: float
 
 
 def sql_query(df: DataFrame | Dataset, query: str, alias: str = "dataset") -> DataFrame:
-    """Any SQL over a frame or dataset, which the query names by its alias."""
+    """Any SQL over a frame or dataset, which the query names by its alias; views of the session with this name stay as they are."""
     if alias not in query:
         raise ValueError(f"the query doesn't name {alias}")
     frame = df.read() if isinstance(df, Dataset) else df
-    frame.createOrReplaceTempView(alias)
-    return frame.sparkSession.sql(query)
+    text = query.strip().replace("{", "{{").replace("}", "}}")
+    rest = re.sub(r"(?is)^with\s+(?!recursive\b)", ", ", text)
+    return frame.sparkSession.sql(f"WITH `{alias}` AS (SELECT * FROM {{frame__}}) {rest}", frame__=frame)
+
+
+#: What names in a pattern of ``read_grok`` stand for.
+GROK = {
+    "WORD": r"\w+", "INT": r"[+-]?\d+", "NUMBER": r"[+-]?\d+(?:\.\d+)?", "NOTSPACE": r"\S+", "SPACE": r"\s*", "DATA": r".*?", "GREEDYDATA": r".*",
+    "IP": r"\d{1,3}(?:\.\d{1,3}){3}", "LOGLEVEL": r"[A-Za-z]+", "TIMESTAMP_ISO8601": r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?:Z|[+-]\d\d:?\d\d)?",
+}
+
+
+def grok_columns(line: Column, pattern: str) -> list[Column]:
+    """A text column for each ``%{NAME:column}`` of a pattern, all null where a line doesn't match; the rest of it is a regular expression without groups of its own."""
+    names: list[str] = []
+
+    def part(m: re.Match) -> str:
+        kind, name = m.group(1), m.group(2)
+        if name is None:
+            return f"(?:{GROK[kind]})"
+        names.append(name)
+        return f"({GROK[kind]})"
+
+    text = "^" + re.sub(r"%\{(\w+)(?::(\w+))?\}", part, pattern) + "$"
+    return [F.when(line.rlike(text), F.regexp_extract(line, text, i)).alias(n) for i, n in enumerate(names, 1)]

@@ -6,11 +6,14 @@ The scheme of a path (file, hdfs, s3a, gs, abfss, http, https ...) chooses the f
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.scratch import Scratch
 from tributary.sources.datasets import file_system
 
 
@@ -82,8 +85,42 @@ def copy(spark: SparkSession, src: str, dst: str, skip_same: bool = False) -> bo
     return spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, True, spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def copy_files(spark: SparkSession, pairs: Sequence[tuple[str, str]], skip_same: bool = False) -> int:
-    return sum(copy(spark, a, b, skip_same) for a, b in pairs)
+def copy_files(spark: SparkSession, pairs: DataFrame, skip_same: bool = False) -> DataFrame:
+    """(src, dst, n_bytes) of pairs (src, dst) of files, copied by the executors in streams; n_bytes is null for one that stayed (skip_same: a target of the same size)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            n: list[int | None] = []
+            for src, dst in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+                (a, p), (z, q) = (fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", x)) for x in (src, dst))
+                size, there = a.get_file_info(p).size, z.get_file_info(q)
+                if skip_same and there.type == fs.FileType.File and there.size == size:
+                    n.append(None)
+                    continue
+                z.create_dir(q.rsplit("/", 1)[0], recursive=True)
+                with a.open_input_stream(p) as i, z.open_output_stream(q) as o:
+                    while chunk := i.read(8 << 20):
+                        o.write(chunk)
+                n.append(size)
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(n, pa.int64())], ["src", "dst", "n_bytes"])
+
+    s = Scratch(spark, "copy")  # written once: a plan that is run again would copy again
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return s.cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct().repartition(parts).mapInArrow(work, "src string, dst string, n_bytes bigint"))
+
+
+def schemes(spark: SparkSession) -> dict[str, bool]:
+    """Schemes of paths, and whether a file system for them is on the class path."""
+    conf, fs = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileSystem
+    out = {}
+    for s in ("file", "hdfs", "http", "https", "ftp", "s3a", "gs", "abfss", "wasbs"):
+        try:
+            fs.getFileSystemClass(s, conf)
+            out[s] = True
+        except Exception:  # noqa: BLE001 - the connector's class isn't there
+            out[s] = False
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> bool:
