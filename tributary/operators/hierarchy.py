@@ -10,10 +10,10 @@ connected components: by Tarjan's method in one task once it has at most CORE_LI
 reach of a pivot per component otherwise.  Spliced nodes are on a cycle if their replacement link is.
 
 *Heavy paths.*  Links to and from cycle nodes are cut; a node with several parents hangs under the one of the least digest,
-and the links to its further parents are given by ``further`` and followed by ``descendants``.  Depths and subtree sizes come from pointer doubling, in as many rounds as
-the logarithm of the depth.  Each node's largest child continues its chain, all other children start one, so any
-path has at most log2(n) chains: paths are made by concatenating chain segments, and the descendants of a node are
-the interval of positions from its own to its own plus its size, in an order in which every chain is contiguous.
+and the links to its further parents are given by ``further`` and followed by ``descendants``.  ``forest`` gives each node its chain
+and position.  Paths are made by concatenating chain segments: a chain has the path of the node above its head as its prefix, so
+any path has at most log2(n) of them.  Segments are cut into blocks of BLOCK nodes, so no task holds a whole chain.  The descendants of
+a node are an interval of positions, in an order in which every chain is contiguous.
 
 Links with a null end are ignored, but a non-null end is still a node; repeated links count once; '' is a key; a node
 that is its own parent is on a cycle; a parent without a row of its own is a root; an empty table gives no rows.
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators import forest
 from tributary.scratch import Scratch
 
 #: Links of which one task may find the components: about 20 MB.
 CORE_LINKS = 200_000
-#: Parts in which the children of one node are ordered.
-BUCKETS = 64
+#: Nodes of a chain whose segment is made at once.
+BLOCK = 256
 
 
 def node_id(ns: F.Column, key: F.Column) -> F.Column:
@@ -202,6 +203,70 @@ def cycles(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
         v, "v", "left_semi").select("ns", F.col("child").alias("node")).distinct()
 
 
+class _Base:
+    """Nodes, links outside cycles and heavy paths of edges (ns, child, parent)."""
+
+    def __init__(self, edges: DataFrame, s: Scratch, core_links: int) -> None:
+        none = lambda t: F.lit(None).cast(t)
+        links = s.cut(_links(edges))
+        loop = s.cut(cyclic(links, s, core_links))
+        self.live = s.cut(links.join(loop.withColumnRenamed("v", "c"), "c", "left_anti").join(loop.withColumnRenamed("v", "p"), "p", "left_anti").select("c", "p"))
+
+        def row(df: DataFrame, v: str, ns: F.Column, node: F.Column, up: F.Column, n: int, on: bool) -> DataFrame:
+            return df.select(F.col(v).alias("v"), ns.alias("ns"), node.alias("node"), up.alias("up"), F.lit(n).cast("bigint").alias("n"), F.lit(on).alias("on"))
+
+        keys = edges.select("ns", F.explode(F.array_distinct(F.array("child", "parent"))).alias("node")).where("node is not null").distinct().withColumn("v", node_id(F.col("ns"), F.col("node")))
+        t, b = none("string"), none("binary")
+        rows = row(keys, "v", F.col("ns"), F.col("node"), b, 0, False).unionByName(row(self.live, "c", t, t, F.col("p"), 0, False)).unionByName(
+            row(links, "c", t, t, b, 1, False)).unionByName(row(loop, "v", t, t, b, 0, True))
+        agg = rows.groupBy("v").agg(F.max("ns").alias("ns"), F.max("node").alias("node"), F.min("up").alias("up"), F.sum("n").alias("n_parents"), F.max("on").alias("on_cycle"))
+        #: (v, ns, node, up, n_parents, on_cycle)
+        self.nodes, n = s.counted(agg)
+        #: (v, up, size, depth, pos, root, head, idx, light)
+        self.places = forest.places(self.nodes, n, s)
+
+    def extra(self) -> DataFrame:
+        """(c, p): the links to further parents."""
+        return self.live.join(self.places.where("up is not null").select(F.col("v").alias("c"), "up"), "c").where("p <> up").select("c", "p")
+
+
+def _paths(base: _Base, s: Scratch, separator: str) -> DataFrame:
+    """(v, ns, node, path, depth, root, n_parents, n_descendants, pos, last_pos, on_cycle) of all nodes."""
+    st = base.places
+    branch = st.where("idx = 0 and up is not null").select(F.col("up").alias("v")).distinct().withColumn("branch", F.lit(True))
+    named = base.nodes.drop("up").join(st, "v").join(branch, "v", "left").withColumn("block", F.floor(F.col("idx") / BLOCK))
+    named = s.cut(named)
+    run = Window.partitionBy("head", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    segment = F.concat_ws(separator, F.collect_list("node").over(run)).alias("segment")
+    # Of chains of several blocks: the keys of all blocks before each.
+    long = named.where(F.col("idx") >= BLOCK).select("head").distinct()
+    text = named.join(long, "head", "left_semi").groupBy("head", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "node"))).alias("x")).select(
+        "head", "block", F.concat(F.array_join(F.transform("x", lambda x: x["node"]), separator), F.lit(separator)).alias("text"))
+    before = F.concat_ws("", F.collect_list("text").over(Window.partitionBy("head").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    inner = s.cut(text.select("head", "block", before.alias("inner")).where("block > 0"))
+    # What a chain's prefix adds to that of the chain above: the segment down to the node above its head.
+    over = named.select("v", "head", "block", "idx", "node", "branch").select("v", "head", "block", "branch", segment).where("branch").join(inner, ["head", "block"], "left").select(
+        F.col("v").alias("up"), F.col("head").alias("over"), F.concat(F.coalesce("inner", F.lit("")), "segment", F.lit(separator)).alias("lead"))
+    heads = named.where("idx = 0 and up is not null").select("head", "up", "light")
+    chains = s.cut(heads.join(over, "up").select("head", "over", "lead", "light"), "light")
+    placed = [s.cut(named.where("idx = 0 and up is null").select("head", F.lit("").alias("prefix"), F.col("node").alias("root_key")))]
+    level = 1
+    while True:
+        prev = placed[-1].withColumnRenamed("head", "over")
+        nxt, more = s.counted(chains.where(F.col("light") == level).join(prev, "over").select("head", F.concat("prefix", "lead").alias("prefix"), "root_key"))
+        if not more:
+            break
+        placed.append(nxt)
+        level += 1
+    whole = forest.union(placed)
+    starts = whole.select("head", F.lit(0).cast("bigint").alias("block"), "prefix", "root_key").unionByName(
+        inner.join(whole, "head").select("head", "block", F.concat("prefix", "inner").alias("prefix"), "root_key"))
+    rows = named.drop("root", "branch", "up", "light").withColumn("segment", segment)
+    return rows.join(starts, ["head", "block"]).select(
+        "v", "ns", "node", F.concat("prefix", "segment").alias("path"), "depth", F.col("root_key").alias("root"), "n_parents",
+        (F.col("size") - 1).alias("n_descendants"), "pos", (F.col("pos") + F.col("size") - 1).alias("last_pos"), "on_cycle")
+
+
 def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "/") -> DataFrame:
     """One row per node of edges (ns, child, parent), a null parent marking a root:
 
@@ -209,17 +274,28 @@ def hierarchy(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "
     n_descendants, pos and last_pos (the descendants of a node are the other nodes of its ns and root with
     pos between these two), on_cycle.  A node on a cycle is alone: its path is its key and it has no descendants;
     nodes below a cycle hang under roots of their own.  Of a node's parents only one counts for all but n_parents.
+    The tables it cuts stay.
     """
-    return _forest(edges, Scratch(edges.sparkSession, "hierarchy"), core_links, separator)[0].drop("v")
+    s = Scratch(edges.sparkSession, "hierarchy")
+    return _paths(_Base(edges, s, core_links), s, separator).drop("v")
+
+
+def roots(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(ns, node, root, depth) as in ``hierarchy``, without making paths."""
+    s = Scratch(edges.sparkSession, "roots")
+    base = _Base(edges, s, core_links)
+    named = base.nodes.select("v", "ns", "node").join(base.places.select("v", "root", "depth"), "v").select("ns", "node", "depth", F.col("root").alias("v"))
+    return named.join(base.nodes.select("v", F.col("node").alias("root")), "v").select("ns", "node", "root", "depth")
 
 
 def further(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "/") -> DataFrame:
     """(ns, node, parent, path, depth): each link outside cycles to a parent that the node doesn't hang under in ``hierarchy``,
     and the path and depth that the node has by this link under its parent's own path."""
     s = Scratch(edges.sparkSession, "further")
-    nodes, _, extra = _forest(edges, s, core_links, separator)
+    base = _Base(edges, s, core_links)
+    nodes = s.cut(_paths(base, s, separator).select("v", "ns", "node", "path", "depth"))
     up = nodes.select(F.col("v").alias("p"), F.col("node").alias("parent"), F.col("path").alias("lead"), (F.col("depth") + 1).alias("depth"))
-    return extra.join(nodes.select(F.col("v").alias("c"), "ns", "node"), "c").join(up, "p").select(
+    return base.extra().join(nodes.select(F.col("v").alias("c"), "ns", "node"), "c").join(up, "p").select(
         "ns", "node", "parent", F.concat("lead", F.lit(separator), "node").alias("path"), "depth")
 
 
@@ -228,104 +304,47 @@ def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     descendants along links outside cycles, by any parent.
 
     A node has one row with own, whose pos is its position and whose interval is its subtree in ``hierarchy``, and a row for each
-    further subtree: of a node that hangs elsewhere and is reached from it by a way whose last link is a further one.
-    These pairs are walked upward from the further links, a round a step, and intervals inside others left out.
+    further subtree: of a node that hangs elsewhere and is reached from it by a way with a further link.  Who has a further subtree
+    is told by pieces of chains: all nodes from a chain's head to a place.  Each round goes up one chain, at most log2(n) rounds;
+    then the subtrees that hang below others are handed on, a round for each further link on a way.  Intervals inside others are left out.
     """
     s = Scratch(edges.sparkSession, "descendants")
-    nodes, live, extra = _forest(edges, s, core_links, "/")
-    nodes, live = s.cut(nodes.select("v", "ns", "node", "root", "pos", "last_pos")), s.cut(live)
-    front, more = s.counted(extra.select(F.col("p").alias("a"), "c"))
-    seen = front
-    up = live.select(F.col("c").alias("a"), F.col("p").alias("above"))
+    base = _Base(edges, s, core_links)
+    st = s.cut(base.places)
+    above = s.cut(st.where("idx = 0 and up is not null").select("head", F.col("up").alias("v")).join(st.select("v", F.col("head").alias("over"), F.col("idx").alias("over_idx")), "v").select("head", "over", "over_idx"))
+    front, more = s.counted(base.extra().select("c", F.col("p").alias("v")).join(st.select("v", "head", "idx"), "v").groupBy("c", "head").agg(F.max("idx").alias("idx")))
+    pieces = [front]
     while more:
-        front, more = s.counted(front.join(up, "a").select(F.col("above").alias("a"), "c").distinct().join(seen, ["a", "c"], "left_anti"))
-        old, seen = seen, s.cut(seen.unionByName(front)) if more else seen
-        if old is not seen:
-            s.free(old)
-    place = nodes.select(F.col("v").alias("c"), "root", "pos", "last_pos")
-    rows = nodes.select(F.col("v").alias("a"), "root", "pos", "last_pos", F.lit(True).alias("own")).unionByName(
-        seen.join(place, "c").select("a", "root", "pos", "last_pos", F.lit(False).alias("own")))
-    before = Window.partitionBy("a", "root").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("reach", F.max("last_pos").over(before)).where("reach is null or reach < pos")
-    n = F.sum(F.col("last_pos") - F.col("pos") + 1).over(Window.partitionBy("a")) - 1
-    return rows.select("a", "root", "pos", "last_pos", "own", n.alias("n_descendants")).join(nodes.select(F.col("v").alias("a"), "ns", "node"), "a").select(
-        "ns", "node", "root", "pos", "last_pos", "own", "n_descendants")
-
-
-def _forest(edges: DataFrame, s: Scratch, core_links: int, separator: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``hierarchy`` with each node's digest v, the links (c, p) outside cycles, and those of them to further parents."""
-    keys = edges.select("ns", F.explode(F.array_distinct(F.array("child", "parent"))).alias("node")).where("node is not null").distinct()
-    keys = s.cut(keys.select(node_id(F.col("ns"), F.col("node")).alias("v"), "ns", "node"))
-    links = s.cut(_links(edges))
-    loop = s.cut(cyclic(links, s, core_links))
-    live = links.join(loop.withColumnRenamed("v", "c"), "c", "left_anti").join(loop.withColumnRenamed("v", "p"), "p", "left_anti")
-    n_parents = links.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("n_parents"))
-    tree = s.cut(live.groupBy(F.col("c").alias("v")).agg(F.min("p").alias("up")))  # roots have no row
-
-    # Doubling: jump is the ancestor 2**rounds steps up. Without one the depth is exact; size counts what is nearer below.
-    nodes = keys.select("v").join(tree, "v", "left")
-    jumping = F.col("jump").isNotNull()
-    state, active = s.counted(nodes.select("v", "up", F.col("up").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")), jumping)
-    rounds = 0
-    while active:
-        sent = state.where("jump is not null").groupBy(F.col("jump").alias("v")).agg(F.sum("size").alias("got"))
-        at = state.select(F.col("v").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("above"))
-        new, active = s.counted(
-            state.join(at, "jump", "left").join(sent, "v", "left").select(
-                "v", "up", F.col("next").alias("jump"),
-                F.when(F.col("jump").isNull(), F.col("depth")).otherwise(F.lit(2**rounds) + F.col("above")).alias("depth"),
-                (F.col("size") + F.coalesce("got", F.lit(0))).alias("size"),
-            ), jumping
-        )
-        s.free(state)
-        state, rounds = new, rounds + 1
-    sized = state.select("v", "up", "depth", "size")
-
-    # The heavy child of each node, and where the other children's positions start.
-    # Siblings are ordered by bucket and then digest, so no task sums all children of one node.
-    child = sized.where("up is not null").select("v", "up", "size", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).alias("bucket"))
-    best = child.groupBy("up").agg(F.max_by("v", F.struct("size", "v")).alias("best"), F.max("size").alias("best_size"))
-    light = child.join(best.select(F.col("best").alias("v")), "v", "left_anti")
-    per_bucket = light.groupBy("up", "bucket").agg(F.sum("size").alias("total"))
-    before = Window.partitionBy("up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.join(best.select("up", "best_size"), "up").select(
-        "up", "bucket", (F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("best_size") + 1).alias("start"))
-    inside = Window.partitionBy("up", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    kids = light.join(per_bucket, ["up", "bucket"]).select(
-        "v", F.lit(False).alias("heavy"), (F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("off"))
-    kids = s.cut(kids.unionByName(best.select(F.col("best").alias("v"), F.lit(True).alias("heavy"), F.lit(1).cast("bigint").alias("off"))))
-    # Chain heads by doubling along heavy links only.
-    head, active = s.counted(sized.join(kids.select("v", "heavy", "off"), "v", "left").select("v", "up", "depth", "size", "off", F.when(F.col("heavy"), F.col("up")).alias("jump"), F.col("v").alias("head")), jumping)
-    while active:
-        at = head.select(F.col("v").alias("jump"), F.col("jump").alias("next"), F.col("head").alias("far"))
-        new, active = s.counted(head.join(at, "jump", "left").select("v", "up", "depth", "size", "off", F.col("next").alias("jump"), F.coalesce("far", "head").alias("head")), jumping)
-        s.free(head)
-        head = new
-    named = head.join(keys.select("v", "node"), "v").select("v", "up", "depth", "size", "off", "head", "node")
-    # A chain's segment ends at each node: its own keys from the head down to it, by a window over the chain.
-    along = Window.partitionBy("head").orderBy("depth")
-    seg = s.cut(named.select(
-        "v", "up", "depth", "size", "off", "head", "node", F.concat_ws(separator, F.collect_list("node").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("segment"),
-        F.coalesce(F.sum(F.when(F.col("v") != F.col("head"), F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).alias("below")))
-    # Chains from the top: each takes prefix, position and root from the node above its head, at most log2(n) times.
-    heads = seg.where("v = head").select("head", F.col("up").alias("above"), F.coalesce("off", F.lit(0)).alias("off"), F.col("node").alias("own"))
-    heads = s.cut(heads.join(seg.select(F.col("v").alias("above"), F.col("head").alias("over"), F.col("segment").alias("lead"), "below"), "above", "left"))
-    level = heads.where("above is null").select("head", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("base"), F.col("own").alias("root"))
-    chains = [s.cut(level)]
-    while True:
-        prev = chains[-1].withColumnRenamed("head", "over")
-        nxt, more = s.counted(heads.where("above is not null").join(prev, "over").select(
-            "head", F.concat("prefix", "lead", F.lit(separator)).alias("prefix"), (F.col("base") + F.col("below") + F.col("off")).alias("base"), "root"))
-        if not more:
-            break
-        chains.append(nxt)
-    placed = chains[0]
-    for c in chains[1:]:
-        placed = placed.unionByName(c)
-    out = seg.join(placed, "head").select(
-        "v", F.concat("prefix", "segment").alias("path"), "depth", "root", (F.col("size") - 1).alias("n_descendants"),
-        (F.col("base") + F.col("below")).alias("pos"), (F.col("base") + F.col("below") + F.col("size") - 1).alias("last_pos"))
-    on = loop.withColumn("on_cycle", F.lit(True))
-    rows = out.join(keys, "v").join(n_parents, "v", "left").join(on, "v", "left").select(
-        "v", "ns", "node", "path", "depth", "root", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), "n_descendants", "pos", "last_pos", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-    return rows, live, live.join(tree.select(F.col("v").alias("c"), F.col("up").alias("p")), ["c", "p"], "left_anti")
+        front, more = s.counted(front.select("c", "head").join(above, "head").groupBy("c", F.col("over").alias("head")).agg(F.max("over_idx").alias("idx")))
+        pieces.append(front)
+    held = s.cut(forest.union(pieces).groupBy("c", "head").agg(F.max("idx").alias("idx")))
+    # A further subtree below the root of another: what holds the other holds it too.
+    at = held.select(F.col("c").alias("v")).distinct().join(st.select("v", "head", "idx"), "v").select(F.col("v").alias("over"), "head", F.col("idx").alias("at"))
+    below = s.cut(held.join(at, "head").where("at <= idx and over <> c").select("over", "c").distinct())
+    new, more = held, 1
+    while more:
+        found = new.withColumnRenamed("c", "over").join(below, "over").groupBy("c", "head").agg(F.max("idx").alias("idx"))
+        new, more = s.counted(found.join(held.withColumnRenamed("idx", "known"), ["c", "head"], "left").where("known is null or idx > known").select("c", "head", "idx"))
+        if more:
+            held = s.cut(held.unionByName(new).groupBy("c", "head").agg(F.max("idx").alias("idx")))
+    last = (F.col("pos") + F.col("size") - 1).alias("last_pos")
+    sub = st.select(F.col("v").alias("c"), F.col("root").alias("c_root"), F.col("pos").alias("c_pos"), last.alias("c_last"))
+    mine = st.select(F.col("v").alias("a"), "head", F.col("idx").alias("at"), "root", "pos", last)
+    inside = (F.col("c_root") == F.col("root")) & F.col("c_pos").between(F.col("pos"), F.col("last_pos"))
+    more_rows = held.join(mine, "head").where("at <= idx").select("a", "c", "root", "pos", "last_pos").join(sub, "c").where(~inside).select(
+        "a", F.col("c_root").alias("root"), F.col("c_pos").alias("pos"), F.col("c_last").alias("last_pos"), F.lit(False).alias("own"))
+    reach = F.max("last_pos").over(Window.partitionBy("a", "root").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    more_rows = s.cut(more_rows.distinct().withColumn("reach", reach).where("reach is null or reach < pos").drop("reach"))
+    # A further subtree may hold the node's own one only on a cycle; so the own interval stays, and the others are apart from it.
+    size = F.col("last_pos") - F.col("pos") + 1
+    extra = more_rows.groupBy("a").agg(F.sum(size).alias("more"))
+    own = st.select(F.col("v").alias("a"), "root", "pos", last, F.lit(True).alias("own"))
+    n = own.join(extra, "a", "left").select("a", (size - 1 + F.coalesce("more", F.lit(0))).alias("n_descendants"))
+    key = base.nodes.select(F.col("v").alias("a"), "ns", "node").join(n, "a")
+    return own.unionByName(more_rows).join(key, "a").join(base.nodes.select(F.col("v").alias("root"), F.col("node").alias("root_key")), "root").select(
+        "ns", "node", F.col("root_key").alias("root"), "pos", "last_pos", "own", "n_descendants")
+
+
+def descendant_counts(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(ns, node, n_descendants) of ``descendants``."""
+    return descendants(edges, core_links).where("own").select("ns", "node", "n_descendants")

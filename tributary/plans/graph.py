@@ -120,7 +120,7 @@ def job_tree(p: Provenance) -> DataFrame:
 def inherited_execution(p: Provenance) -> DataFrame:
     """(id, root_id, execution_id): each job with its root job and the execution of that, at any depth."""
     links = p.job.select(F.lit("job").alias("ns"), F.col("id").alias("child"), F.col("parent_id").alias("parent"))
-    roots = hierarchy.hierarchy(links).select(F.col("node").alias("id"), F.col("root").alias("root_id"))
+    roots = hierarchy.roots(links).select(F.col("node").alias("id"), F.col("root").alias("root_id"))
     of_root = p.job.select(F.col("id").alias("root_id"), "execution_id")
     return p.job.select("id").join(roots, "id").join(of_root, "root_id", "left").select("id", "root_id", "execution_id")
 

@@ -114,7 +114,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(_p5_edges(spark, d)).select(
-        F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "path", "depth", "root", "n_parents", "n_descendants", "on_cycle")
+        F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "path", "depth", "root", "n_parents", F.col("n_descendants").alias("n_in_tree"), "on_cycle")
 
 
 def p5_further_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +123,11 @@ def p5_further_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """How many descendants each node has by all its links outside cycles; p5_intervals says which."""
+    return hierarchy.descendant_counts(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "n_descendants")
+
+
+def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The descendants of a node by all its links are the other nodes of its table and a row's root whose own pos is between the row's pos and last_pos."""
     return hierarchy.descendants(_p5_edges(spark, d)).select(F.col("ns").alias("table_name"), F.col("node").alias("node_key"), "root", "pos", "last_pos", "own", "n_descendants")
 
@@ -135,6 +140,13 @@ r(t, s, v) AS (SELECT t, c, p FROM top UNION SELECT r.t, r.s, top.p FROM r JOIN
 cyc AS (SELECT DISTINCT t, s AS k FROM r WHERE s = v)
 """
 
+#: Nodes, all links outside cycles, the one link of each child that makes the tree, and the tree from its roots.
+_P5_TREE = """, n AS (SELECT 'job' t, unnest([id, parent_id]) k FROM job UNION SELECT 'subvalue', unnest([value_hash, parent_value_hash]) FROM subvalue),
+every AS (SELECT e.* FROM e ANTI JOIN cyc ON e.t = cyc.t AND e.c = cyc.k ANTI JOIN cyc y ON e.t = y.t AND e.p = y.k),
+live AS (SELECT t, c, arg_min(p, md5(t || chr(0) || p)) p FROM every GROUP BY t, c),
+d(t, k, path, depth, root) AS (SELECT n.t, n.k, n.k, 0, n.k FROM n ANTI JOIN live ON live.t = n.t AND live.c = n.k WHERE n.k IS NOT NULL
+  UNION ALL SELECT d.t, live.c, d.path || '/' || live.c, depth + 1, root FROM d JOIN live ON live.t = d.t AND live.p = d.k)"""
+
 # --- 6: overlapping and gapped time intervals
 
 
@@ -184,7 +196,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_records": p3_records, "p3_failed_casts": p3_failed_casts, "p3_types": p3_types,
     "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge,
-    "p5_found": p5_found, "p5_paths": p5_paths, "p5_further_paths": p5_further_paths, "p5_descendants": p5_descendants,
+    "p5_found": p5_found, "p5_paths": p5_paths, "p5_further_paths": p5_further_paths, "p5_descendants": p5_descendants, "p5_intervals": p5_intervals,
     "p6_found": p6_found, "p6_periods": p6_periods,
     "p7_found": p7_found, "p7_results": p7_results, "p7_join": p7_join,
 }
@@ -193,15 +205,17 @@ SQL = {
     "p1_found": _P1_SQL + "SELECT * FROM found",
     "p1_report": _P1_SQL + "SELECT table_name, field_name, period, count(*) AS n_orphans FROM found GROUP BY ALL",
     "p5_found": _P5_SQL + "SELECT t AS table_name, k AS node_key FROM cyc",
-    "p5_paths": _P5_SQL + """, n AS (SELECT 'job' t, unnest([id, parent_id]) k FROM job UNION SELECT 'subvalue', unnest([value_hash, parent_value_hash]) FROM subvalue),
-live AS (SELECT e.t, e.c, arg_min(e.p, md5(e.t || chr(0) || e.p)) p FROM e ANTI JOIN cyc ON e.t = cyc.t AND e.c = cyc.k ANTI JOIN cyc y ON e.t = y.t AND e.p = y.k GROUP BY e.t, e.c),
-d(t, k, path, depth, root) AS (SELECT n.t, n.k, n.k, 0, n.k FROM n ANTI JOIN live ON live.t = n.t AND live.c = n.k WHERE n.k IS NOT NULL
-  UNION ALL SELECT d.t, live.c, d.path || '/' || live.c, depth + 1, root FROM d JOIN live ON live.t = d.t AND live.p = d.k),
+    "p5_paths": _P5_SQL + _P5_TREE + """,
 a(t, k, v) AS (SELECT t, c, p FROM live UNION ALL SELECT a.t, a.k, live.p FROM a JOIN live ON live.t = a.t AND live.c = a.v),
 s AS (SELECT t, v, count(*) n FROM a GROUP BY t, v)
-SELECT d.t AS table_name, d.k AS node_key, path, depth, root, coalesce(np, 0) AS n_parents, coalesce(s.n, 0) AS n_descendants, cyc.k IS NOT NULL AS on_cycle
+SELECT d.t AS table_name, d.k AS node_key, path, depth, root, coalesce(np, 0) AS n_parents, coalesce(s.n, 0) AS n_in_tree, cyc.k IS NOT NULL AS on_cycle
 FROM d LEFT JOIN s ON s.t = d.t AND s.v = d.k LEFT JOIN cyc ON cyc.t = d.t AND cyc.k = d.k
 LEFT JOIN (SELECT t, c, count(*) np FROM e GROUP BY t, c) e2 ON e2.t = d.t AND e2.c = d.k""",
+    "p5_further_paths": _P5_SQL + _P5_TREE + """
+SELECT x.t AS table_name, x.c AS node_key, x.p AS parent_key, d.path || '/' || x.c AS path, d.depth + 1 AS depth FROM every x ANTI JOIN live ON live.t = x.t AND live.c = x.c AND live.p = x.p JOIN d ON d.t = x.t AND d.k = x.p""",
+    "p5_descendants": _P5_SQL + _P5_TREE + """,
+a(t, k, v) AS (SELECT t, c, p FROM every UNION SELECT a.t, a.k, every.p FROM a JOIN every ON every.t = a.t AND every.c = a.v)
+SELECT n.t AS table_name, n.k AS node_key, count(a.k) AS n_descendants FROM n LEFT JOIN a ON a.t = n.t AND a.v = n.k WHERE n.k IS NOT NULL GROUP BY n.t, n.k""",
     "p6_found": _P6_SQL + "SELECT execution_id, reach AS gap_start_us, s AS gap_end_us FROM m WHERE reach < s",
     "p6_periods": _P6_SQL + ", i AS (SELECT *, sum(CASE WHEN reach >= s THEN 0 ELSE 1 END) OVER (PARTITION BY execution_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM m) "
     "SELECT execution_id, min(s) AS start_us, max(e) AS end_us FROM i GROUP BY execution_id, k",

@@ -48,11 +48,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.what, self.paths = spark, what, {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df once and return it as a read of that table, so an executor may be lost at any time."""
+    def cut(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df once and return it as a read of that table, so an executor may be lost at any time; by: a column of few values to part it by."""
         path = new_path(self.spark, self.what)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        w = df.write.partitionBy(by) if by else df.write
+        w.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
         self.paths[id(out)] = (path, out)
         return out
 
