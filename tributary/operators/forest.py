@@ -83,7 +83,8 @@ def _offsets(sized: DataFrame) -> DataFrame:
     """(v, up, size, level, heavy, off) of the nodes with a parent."""
     bucket = lambda v: F.pmod(F.xxhash64(v), F.lit(BUCKETS))
     child = sized.where("up is not null").withColumn("bucket", bucket("v")).repartition("up", "bucket")
-    part = child.groupBy("up", "bucket").agg(F.sum("size").alias("total"), F.max(F.struct("size", "v")).alias("top"))
+    # The level is only asked for so that both uses of the exchange have the same columns, and it is made once.
+    part = child.groupBy("up", "bucket").agg(F.sum("size").alias("total"), F.max(F.struct("size", "v", "level")).alias("top"))
     best = F.max("top").over(Window.partitionBy("up"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = part.select("up", "bucket", best.alias("best"), before.alias("before")).select(

@@ -215,7 +215,7 @@ class _Base:
         def row(df: DataFrame, v: str, ns: F.Column, node: F.Column, up: F.Column, n: int, on: bool) -> DataFrame:
             return df.select(F.col(v).alias("v"), ns.alias("ns"), node.alias("node"), up.alias("up"), F.lit(n).cast("bigint").alias("n"), F.lit(on).alias("on"))
 
-        keys = edges.select("ns", F.explode(F.array_distinct(F.array("child", "parent"))).alias("node")).where("node is not null").distinct().withColumn("v", node_id(F.col("ns"), F.col("node")))
+        keys = edges.select("ns", F.explode(F.array_distinct(F.array("child", "parent"))).alias("node")).where("node is not null").withColumn("v", node_id(F.col("ns"), F.col("node")))
         t, b = none("string"), none("binary")
         rows = row(keys, "v", F.col("ns"), F.col("node"), b, 0, False).unionByName(row(self.live, "c", t, t, F.col("p"), 0, False)).unionByName(
             row(links, "c", t, t, b, 1, False)).unionByName(row(loop, "v", t, t, b, 0, True))
@@ -239,8 +239,8 @@ def _paths(base: _Base, s: Scratch, separator: str) -> DataFrame:
     run = Window.partitionBy("head", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     segment = F.concat_ws(separator, F.collect_list("node").over(run)).alias("segment")
     # Of chains of several blocks: the keys of all blocks before each.
-    long = named.where(F.col("idx") >= BLOCK).select("head").distinct()
-    text = named.join(long, "head", "left_semi").groupBy("head", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "node"))).alias("x")).select(
+    long, some = s.counted(named.where(F.col("idx") == BLOCK).select("head"))
+    text = (named.join(long, "head", "left_semi") if some else named.limit(0)).groupBy("head", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "node"))).alias("x")).select(
         "head", "block", F.concat(F.array_join(F.transform("x", lambda x: x["node"]), separator), F.lit(separator)).alias("text"))
     before = F.concat_ws("", F.collect_list("text").over(Window.partitionBy("head").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     inner = s.cut(text.select("head", "block", before.alias("inner")).where("block > 0"))
@@ -299,17 +299,12 @@ def further(edges: DataFrame, core_links: int = CORE_LINKS, separator: str = "/"
         "ns", "node", "parent", F.concat("lead", F.lit(separator), "node").alias("path"), "depth")
 
 
-def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
-    """(ns, node, root, pos, last_pos, own, n_descendants): disjoint intervals of positions that hold exactly a node and all its
-    descendants along links outside cycles, by any parent.
+def _intervals(base: _Base, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, root, pos, last_pos) of each node's own subtree, and of the further subtrees below it, disjoint from its own and each other.
 
-    A node has one row with own, whose pos is its position and whose interval is its subtree in ``hierarchy``, and a row for each
-    further subtree: of a node that hangs elsewhere and is reached from it by a way with a further link.  Who has a further subtree
-    is told by pieces of chains: all nodes from a chain's head to a place.  Each round goes up one chain, at most log2(n) rounds;
-    then the subtrees that hang below others are handed on, a round for each further link on a way.  Intervals inside others are left out.
+    Who has a further subtree is told by pieces of chains: all nodes from a chain's head to a place.  Each round goes up one chain, at
+    most log2(n) rounds; then the subtrees that hang below others are handed on, a round for each further link on a way.
     """
-    s = Scratch(edges.sparkSession, "descendants")
-    base = _Base(edges, s, core_links)
     st = s.cut(base.places)
     above = s.cut(st.where("idx = 0 and up is not null").select("head", F.col("up").alias("v")).join(st.select("v", F.col("head").alias("over"), F.col("idx").alias("over_idx")), "v").select("head", "over", "over_idx"))
     front, more = s.counted(base.extra().select("c", F.col("p").alias("v")).join(st.select("v", "head", "idx"), "v").groupBy("c", "head").agg(F.max("idx").alias("idx")))
@@ -331,20 +326,52 @@ def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     sub = st.select(F.col("v").alias("c"), F.col("root").alias("c_root"), F.col("pos").alias("c_pos"), last.alias("c_last"))
     mine = st.select(F.col("v").alias("a"), "head", F.col("idx").alias("at"), "root", "pos", last)
     inside = (F.col("c_root") == F.col("root")) & F.col("c_pos").between(F.col("pos"), F.col("last_pos"))
-    more_rows = held.join(mine, "head").where("at <= idx").select("a", "c", "root", "pos", "last_pos").join(sub, "c").where(~inside).select(
-        "a", F.col("c_root").alias("root"), F.col("c_pos").alias("pos"), F.col("c_last").alias("last_pos"), F.lit(False).alias("own"))
+    further_rows = held.join(mine, "head").where("at <= idx").select("a", "c", "root", "pos", "last_pos").join(sub, "c").where(~inside).select(
+        "a", F.col("c_root").alias("root"), F.col("c_pos").alias("pos"), F.col("c_last").alias("last_pos"))
     reach = F.max("last_pos").over(Window.partitionBy("a", "root").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    more_rows = s.cut(more_rows.distinct().withColumn("reach", reach).where("reach is null or reach < pos").drop("reach"))
-    # A further subtree may hold the node's own one only on a cycle; so the own interval stays, and the others are apart from it.
+    # A further subtree holds the node's own one only on a cycle, so the own interval stays and the others are apart from it.
+    return st.select(F.col("v").alias("a"), "root", "pos", last), s.cut(further_rows.distinct().withColumn("reach", reach).where("reach is null or reach < pos").drop("reach"))
+
+
+def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(ns, node, root, pos, last_pos, own, n_descendants): disjoint intervals of positions that hold exactly a node and all its
+    descendants along links outside cycles, by any parent.
+
+    A node has one row with own, whose pos is its position and whose interval is its subtree in ``hierarchy``, and a row for each
+    further subtree: of a node that hangs elsewhere and is reached from it by a way with a further link.  Intervals inside others are left out.
+    """
+    s = Scratch(edges.sparkSession, "descendants")
+    base = _Base(edges, s, core_links)
+    own, more = _intervals(base, s)
     size = F.col("last_pos") - F.col("pos") + 1
-    extra = more_rows.groupBy("a").agg(F.sum(size).alias("more"))
-    own = st.select(F.col("v").alias("a"), "root", "pos", last, F.lit(True).alias("own"))
+    extra = more.groupBy("a").agg(F.sum(size).alias("more"))
     n = own.join(extra, "a", "left").select("a", (size - 1 + F.coalesce("more", F.lit(0))).alias("n_descendants"))
     key = base.nodes.select(F.col("v").alias("a"), "ns", "node").join(n, "a")
-    return own.unionByName(more_rows).join(key, "a").join(base.nodes.select(F.col("v").alias("root"), F.col("node").alias("root_key")), "root").select(
+    rows = own.withColumn("own", F.lit(True)).unionByName(more.withColumn("own", F.lit(False)))
+    return rows.join(key, "a").join(base.nodes.select(F.col("v").alias("root"), F.col("node").alias("root_key")), "root").select(
         "ns", "node", F.col("root_key").alias("root"), "pos", "last_pos", "own", "n_descendants")
 
 
+def with_descendants(groups: DataFrame, edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(g, node): the rows of groups (g, node) whose node has another node of its group as a descendant along edges (ns, child, parent) without cycles.
+
+    Nodes are points on the line of positions: a node is kept if the next point at or behind the start of one of its intervals lies
+    in the interval.  No pairs are made.  A node without a link has no descendants.
+    """
+    s = Scratch(edges.sparkSession, "within")
+    base = _Base(edges, s, core_links)
+    own, more = _intervals(base, s)
+    at = s.cut(groups.select("g", "node").distinct().join(base.nodes.select(F.col("v").alias("a"), "node"), "node"))
+    mine = at.join(own, "a")
+    none = F.lit(None).cast("bigint")
+    points = mine.select("g", "root", F.col("pos").alias("x"), F.col("pos").alias("point"), F.lit(None).cast("string").alias("node"), none.alias("last_pos"))
+    inner = mine.select("g", "root", (F.col("pos") + 1).alias("x"), none.alias("point"), "node", "last_pos")
+    outer = at.join(more, "a").select("g", "root", F.col("pos").alias("x"), none.alias("point"), "node", "last_pos")
+    nearest = F.min("point").over(Window.partitionBy("g", "root").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = points.unionByName(inner).unionByName(outer).withColumn("nearest", nearest)
+    return rows.where("node is not null and nearest <= last_pos").select("g", "node").distinct()
+
+
 def descendant_counts(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     """(ns, node, n_descendants) of ``descendants``."""
     return descendants(edges, core_links).where("own").select("ns", "node", "n_descendants")

@@ -171,34 +171,20 @@ def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int
     """(value_hash, call_hash): the candidates (value_hash, call_hash) that are ancestors of another candidate of the value by links
     (parent_id, child_id), by any parent and through cycles; calls of one cycle are no ancestors of each other.
 
-    Cycles are one node.  From the candidates of values that have several, (value, ancestor) pairs are walked upward, a layer a
-    round, each pair once.
+    Cycles are one node; then the calls' intervals of positions tell who is below whom.
     """
     node = lambda c: hierarchy.node_id(F.lit("call"), F.col(c))
     links = s.cut(call_edge.where("child_id is not null and parent_id is not null").select(node("child_id").alias("c"), node("parent_id").alias("p")).distinct())
     comp = s.cut(hierarchy.components(links, s.cut(hierarchy.cyclic(links, s, core_links)), s, core_links))
 
     def whole(df: DataFrame, c: str) -> DataFrame:
-        return df.join(comp.select(F.col("v").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
-
-    wide = whole(whole(links, "c"), "p").where("c <> p").select("c", "p").distinct()
-    several = s.cut(cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash", F.monotonically_increasing_id().alias("v")))
-    first = whole(cand.join(several, "value_hash").select("v", "value_hash", "call_hash", node("call_hash").alias("c")), "c")
-    # Short numbers in place of digests; the walk holds many pairs.
-    number = s.cut(wide.select("c").union(wide.select("p")).distinct().select("c", F.monotonically_increasing_id().alias("i")))
-    up = s.cut(wide.join(number, "c").select(F.col("i").alias("at"), F.col("p").alias("c")).join(number, "c").select("at", F.col("i").alias("above")))
-    start = s.cut(first.join(number, "c").select("v", "value_hash", "call_hash", F.col("i").alias("at")))
-    front, more = s.counted(start.select("v", "at").distinct().join(up, "at").select("v", F.col("above").alias("at")).distinct())
-    seen = [front]
-    while more:
-        nxt = front.join(up, "at").select("v", F.col("above").alias("at")).distinct()
-        front, more = s.counted(nxt.join(union(seen), ["v", "at"], "left_anti"))
-        seen.append(front)
-        if len(seen) > 8:
-            whole_seen = s.cut(union(seen))
-            s.free(*[x for x in seen if x is not front])
-            seen = [whole_seen]
-    return start.join(union(seen), ["v", "at"], "left_semi").select("value_hash", "call_hash")
+        return df.join(comp.select(F.col("v").alias(c), "comp"), c, "left").withColumn(c, F.hex(F.coalesce("comp", c))).drop("comp")
+
+    wide = s.cut(whole(whole(links, "c"), "p").where("c <> p").select(F.lit("call").alias("ns"), F.col("c").alias("child"), F.col("p").alias("parent")).distinct())
+    several = cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash")
+    at = s.cut(whole(cand.join(several, "value_hash", "left_semi").withColumn("c", node("call_hash")), "c").select(F.col("value_hash").alias("g"), F.col("c").alias("node"), "call_hash"))
+    above = hierarchy.with_descendants(at, wide, core_links)
+    return at.join(above, ["g", "node"], "left_semi").select(F.col("g").alias("value_hash"), "call_hash")
 
 
 def _with_parts(p: Provenance, df: DataFrame) -> DataFrame:
