@@ -16,6 +16,7 @@ among the targets has its greatest share and cap; rows with a null source, a sha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import lgamma
 
 import numpy as np
@@ -33,21 +34,40 @@ MAX_SOURCES = 10_000
 BINS, ROUNDS = 2048, 4
 
 
+@lru_cache(maxsize=256)
+def _tail(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and P(Poisson(rate) < k) at each, which falls."""
+    rates = np.linspace(0, 2.0 * k + 100, 4097)
+    return rates, _below(rates, k)
+
+
+def _below(rate: np.ndarray, k: int) -> np.ndarray:
+    """P(Poisson(rate) < k)."""
+    i = np.arange(k)[:, None]
+    logs = np.array([lgamma(x + 1) for x in range(k)])[:, None]
+    return np.exp(i * np.log(np.maximum(rate, 1e-300)) - rate - logs).sum(0)
+
+
 def thresholds(u: np.ndarray, cap: int) -> np.ndarray:
     """(n, cap): the rate from which on a document with uniform number u has its k-th copy, k from 1.
 
-    The count at u is at least k if P(Poisson(rate) < k) is below u; that probability falls with the rate.
+    The count at u is at least k if P(Poisson(rate) < k) is below u; that probability falls with the rate.  A table gives an
+    interval, Newton's method, kept inside it, the rate; it depends on u and k only.
     """
     out = np.empty((len(u), cap))
     for k in range(1, cap + 1):
-        lo, hi = np.zeros(len(u)), np.full(len(u), 2.0 * k + 100)
-        i = np.arange(k)[:, None]
-        logs = np.array([lgamma(x + 1) for x in range(k)])[:, None]
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            below = np.exp(i * np.log(np.maximum(mid, 1e-300)) - mid - logs).sum(0)
-            lo, hi = np.where(below < u, lo, mid), np.where(below < u, mid, hi)
-        out[:, k - 1] = hi
+        rates, p = _tail(k)
+        at = np.clip(np.searchsorted(-p, -u, "right"), 1, len(rates) - 1)
+        lo, hi = rates[at - 1].copy(), rates[at].copy()
+        r = (lo + hi) / 2
+        for _ in range(8):
+            f = _below(r, k)
+            lo, hi = np.where(f < u, lo, r), np.where(f < u, r, hi)
+            slope = -np.exp((k - 1) * np.log(np.maximum(r, 1e-300)) - r - lgamma(k))
+            step = r - (f - u) / np.minimum(slope, -1e-300)
+            there = np.abs(step - r) <= 1e-13 * (1 + r)
+            r = np.where(there, r, np.where((step > lo) & (step < hi), step, (lo + hi) / 2))
+        out[:, k - 1] = r
     return out
 
 
@@ -138,11 +158,19 @@ class Mix:
         return out.orderBy("shuffle_key", "doc_id", "copy_no").select("doc_id", "source", "copy_no", "n_tokens", "shuffle_key")
 
     def report(self) -> DataFrame:
-        """(source, target_share, aimed_share, max_copies, n_docs, rate, n_copies, most_copies, n_tokens, actual_share), a row per target."""
+        """(source, target_share, aimed_share, max_copies, n_docs, rate, expected_copies, n_copies, most_copies, n_tokens, actual_share), a row per target.
+
+        expected_copies is the mean of the distribution at the rate, cut off at the cap; n_copies what was drawn.
+        """
         spark = self.docs.sparkSession
+
+        def expected(k: str) -> float:
+            rate, cap = self.rate.get(k, 0.0), int(self.targets[k]["max_copies"])
+            return self.have[k][0] * float(sum(1 - _below(np.array([rate]), c)[0] for c in range(1, cap + 1))) if rate > 0 else 0.0
+
         plan = spark.createDataFrame(
-            [(k, float(t["target_share"]), self.share[k], int(t["max_copies"]), self.have[k][0], self.rate.get(k)) for k, t in self.targets.items()],
-            "source string, target_share double, aimed_share double, max_copies int, n_docs bigint, rate double")
+            [(k, float(t["target_share"]), self.share[k], int(t["max_copies"]), self.have[k][0], self.rate.get(k), expected(k)) for k, t in self.targets.items()],
+            "source string, target_share double, aimed_share double, max_copies int, n_docs bigint, rate double, expected_copies double")
         got = self._counted().groupBy("source").agg(F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"))
         joined = plan.join(F.broadcast(got), "source", "left").fillna(0, ["n_copies", "most_copies", "n_tokens"])
         total = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row per target, at most MAX_SOURCES
