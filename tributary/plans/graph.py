@@ -117,6 +117,13 @@ def job_tree(p: Provenance) -> DataFrame:
         "execution_id", "id", "depth", "order_path")
 
 
+def job_list(p: Provenance, jobs: DataFrame, page: int, size: int) -> DataFrame:
+    """(execution_id, position, id, depth): one page of jobs (id), those that a filter left, of each execution in the order of its tree, from 0."""
+    tree = job_tree(p).join(jobs.select("id").distinct(), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("execution_id").orderBy("order_path")) - 1
+    return tree.select("execution_id", place.alias("position"), "id", "depth").where(F.col("position").between(page * size, (page + 1) * size - 1))
+
+
 def inherited_execution(p: Provenance) -> DataFrame:
     """(id, root_id, execution_id): each job with its root job and the execution of that, at any depth."""
     links = p.job.select(F.lit("job").alias("ns"), F.col("id").alias("child"), F.col("parent_id").alias("parent"))

@@ -1,14 +1,17 @@
 """The relational model of recorded runs: executions, jobs, calls, edges, arguments, values, files, tags.
 
-Each table is a view over the stored rows, written once in SQL that Spark and DuckDB both run: the latest row of
-each id counts, null ids are left out.  Edges, arguments and files are derived from the parent links of jobs: the
+Each table is a view over the stored rows: the latest row of each id counts, null ids are left out.  ``VIEWS`` says in SQL, for
+DuckDB, what ``Provenance`` plans with DataFrames: the latest row by an aggregate, so a key with many rows is reduced before the shuffle.  Edges, arguments and files are derived from the parent links of jobs: the
 result of a call is the first argument of the sibling that started next under the same parent, and the keyword argument ``before``
 of the one after that.  Tags are read off the stored rows of executions, jobs, tasks, values and calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tributary.scratch import Scratch
 from tributary.sources.tables import table
@@ -66,6 +69,12 @@ def ctes(*needed: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in out.items()) + " "
 
 
+def _newest(df: DataFrame, key: str, columns: list[Column], *order: Column) -> DataFrame:
+    """Of the rows with each non-null key the one that is greatest by the order."""
+    best = F.max_by(F.struct(*columns), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key_")).agg(best.alias("x")).select(F.col("key_").alias(key), "x.*")
+
+
 class Provenance:
     """The views of one folder as DataFrames: attributes job, execution, task, call, value, subvalue, call_edge, argument, tag, file."""
 
@@ -74,11 +83,68 @@ class Provenance:
         self._made: dict[str, DataFrame] = {}
         self._cut: set[str] = set()
 
+    def _stored(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+    def _job(self) -> DataFrame:
+        c = [F.col(x) for x in ("start_time", "end_time", "task_hash", "cached", "call_hash", "parent_id", "execution_id")]
+        return _newest(self._stored("job"), "id", c, F.col("end_time").isNotNull(), F.col("rec_id"))
+
+    def _execution(self) -> DataFrame:
+        return _newest(self._stored("execution"), "id", [F.col(x) for x in ("args", "updated_time", "job_id")], F.col("rec_id"))
+
+    def _task(self) -> DataFrame:
+        first = F.min_by(F.struct("name", "namespace", "source"), F.struct("recorded_at", "name", "namespace"))
+        return self._stored("task").where("hash is not null").groupBy("hash").agg(first.alias("x")).select("hash", "x.*")
+
+    def _call(self) -> DataFrame:
+        c = [F.col(x) for x in ("task_name", "task_hash", "args_hash", "value_hash")]
+        return _newest(self._stored("call_node"), "call_hash", [*c, F.col("timestamp").alias("called_at")], F.col("rec_id"))
+
+    def _value(self) -> DataFrame:
+        return _newest(self._stored("value_record"), "value_hash", [F.col("type"), F.col("format")], F.col("rec_id"))
+
+    def _subvalue(self) -> DataFrame:
+        return self._stored("subvalue").select("value_hash", "parent_value_hash").na.drop().distinct()
+
+    def _call_edge(self) -> DataFrame:
+        child = self.job.where("call_hash is not null").select("parent_id", F.col("call_hash").alias("child_id"), "start_time")
+        parent = self.job.where("call_hash is not null").select(F.col("id").alias("parent_id"), F.col("call_hash").alias("parent"))
+        e = child.join(parent, "parent_id").where("child_id <> parent").groupBy(F.col("parent").alias("parent_id"), "child_id").agg(F.min("start_time").alias("started"))
+        order = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("started"), "child_id")) - 1
+        return e.select("parent_id", "child_id", order.alias("call_order"))
+
+    def _argument(self) -> DataFrame:
+        """Each call's order is moved on by one and by two, so an equal join finds the siblings that come next."""
+        ahead = F.explode(F.array(F.lit(1), F.lit(2))).alias("ahead")
+        before = self.call_edge.select("parent_id", F.col("child_id").alias("result_call_hash"), "call_order", ahead).withColumn("call_order", F.col("call_order") + F.col("ahead"))
+        pair = self.call_edge.join(before, ["parent_id", "call_order"]).join(self.call.select(F.col("call_hash").alias("result_call_hash"), "value_hash"), "result_call_hash")
+        return pair.select(
+            F.md5(F.concat("child_id", F.lit("/"), "result_call_hash")).alias("arg_hash"), F.col("child_id").alias("call_hash"), "value_hash", F.when(F.col("ahead") == 1, 0).alias("arg_position"),
+            F.when(F.col("ahead") == 2, "before").alias("arg_key"), "result_call_hash")
+
+    def _tag(self) -> DataFrame:
+        def tags(df: DataFrame, kind: str, entity: str, key: str, value: Column, rec: Column) -> DataFrame:
+            return df.where(F.col(entity).isNotNull() & (value != "")).select(
+                F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"), F.lit(key).alias("key"), value.alias("value"), rec.cast("bigint").alias("rec_id"))
+        runs, zero, part = self._stored("execution"), F.lit(0), lambda n: F.get(F.split("args", '"'), F.lit(n))
+        rows = [
+            tags(runs, "Execution", "id", "script", part(5), F.col("rec_id")), tags(runs, "Execution", "id", "batch", F.substring(part(11), 1, 2), F.col("rec_id")),
+            tags(self.job.where("cached"), "Job", "id", "cached", F.lit("true"), zero), tags(self.task, "Task", "hash", "namespace", F.col("namespace"), zero),
+            tags(self.value.where("format = 'pickle'"), "Value", "value_hash", "format", F.col("format"), zero), tags(self.call.where("task_name = 'pack'"), "CallNode", "call_hash", "name", F.col("task_name"), zero),
+        ]
+        digest = F.md5(F.concat("entity_id", "key", "value", F.col("rec_id").cast("string")))
+        nxt = F.lead("tag_hash").over(Window.partitionBy("entity_type", "entity_id", "key").orderBy("rec_id"))
+        return reduce(DataFrame.unionByName, rows).withColumn("tag_hash", digest).withColumn("next_hash", nxt).select(
+            "tag_hash", "entity_type", "entity_id", "key", "value", "rec_id", F.col("next_hash").isNull().alias("is_current"), "next_hash")
+
+    def _file(self) -> DataFrame:
+        h = F.col("value_hash")
+        return self.value.where("type = 'lane.File'").select("value_hash", F.concat(F.lit("store/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 6), F.lit(".csv")).alias("path"))
+
     def view(self, name: str) -> DataFrame:
         if name not in self._made:
-            sql = VIEWS[name]
-            used = {k: table(self.spark, self.folder, k) for k in _STORED if f"{{{k}}}" in sql} | {k: self.view(k) for k in VIEWS if f"{{{k}}}" in sql}
-            self._made[name] = self.spark.sql(sql.replace('"timestamp"', "`timestamp`"), **used)
+            self._made[name] = getattr(self, name[1:])()
         return self._made[name]
 
     def cut(self, *names: str) -> None:

@@ -390,6 +390,23 @@ def inherited_execution(p: Provenance) -> DataFrame:
     return graph.inherited_execution(p)
 
 
+@query("job", "call", "value", "task", sql=f"""
+WITH RECURSIVE cyc(s, v) AS (SELECT id, parent_id FROM p_job WHERE parent_id IS NOT NULL UNION SELECT cyc.s, p.parent_id FROM cyc JOIN p_job p ON p.id = cyc.v WHERE p.parent_id IS NOT NULL),
+loops AS (SELECT DISTINCT s FROM cyc WHERE s = v),
+keyed AS (SELECT *, coalesce(strftime(start_time, '%Y%m%d%H%M%S%f'), '99999999999999999999') || '-' || id AS key FROM p_job),
+top AS (SELECT j.id FROM p_job j LEFT JOIN p_job p ON p.id = j.parent_id WHERE p.id IS NULL OR j.id IN (FROM loops) OR j.parent_id IN (FROM loops)),
+t(id, depth, path) AS (SELECT id, 0, key FROM keyed WHERE id IN (FROM top) UNION ALL SELECT j.id, depth + 1, path || '/' || key FROM t JOIN keyed j ON j.parent_id = t.id WHERE j.id NOT IN (FROM top)),
+f AS (SELECT j.id FROM {_FULL} WHERE (({_TERMS['DONE']}) OR ({_TERMS['FAILED']})) AND j.task_hash IN (SELECT hash FROM p_task WHERE name < 'm')),
+r AS (SELECT p_job.execution_id, row_number() OVER (PARTITION BY p_job.execution_id ORDER BY path) - 1 AS position, t.id, t.depth FROM t JOIN p_job ON p_job.id = t.id WHERE t.id IN (SELECT id FROM f))
+SELECT * FROM r WHERE position BETWEEN 5 AND 9""".strip())
+def job_pages(p: Provenance) -> DataFrame:
+    """Of each execution the second page of five of its done and failed jobs of some tasks, in tree order."""
+    p.cut("job")
+    some = p.task.where("name < 'm'").select(F.col("hash").alias("task_hash"))
+    jobs = with_results(p, p.job).where(status_term("DONE") | status_term("FAILED")).join(some, "task_hash", "left_semi")
+    return graph.job_list(p, jobs, 1, 5)
+
+
 _EDGES = """e AS (SELECT 'Execution' st, id s, 'Job' dt, job_id d FROM p_execution WHERE job_id IS NOT NULL UNION SELECT 'Job', id, 'Task', task_hash FROM p_job WHERE task_hash IS NOT NULL
 UNION SELECT 'Job', id, 'CallNode', call_hash FROM p_job WHERE call_hash IS NOT NULL UNION SELECT 'Job', parent_id, 'Job', id FROM p_job WHERE parent_id IS NOT NULL
 UNION SELECT 'CallNode', call_hash, 'Task', task_hash FROM p_call WHERE task_hash IS NOT NULL UNION SELECT 'CallNode', call_hash, 'Value', value_hash FROM p_call WHERE value_hash IS NOT NULL
@@ -587,6 +604,49 @@ def exported_records(p: Provenance) -> DataFrame:
     return sync.from_records(sync.import_lines(p.spark, path), "Job", j.schema).select("id", "execution_id")
 
 
+@query("call", "argument", "call_edge", sql="""
+SELECT call_hash, arg_hash AS part, value_hash, arg_position AS position, arg_key, result_call_hash AS other FROM p_argument WHERE call_hash IN (SELECT call_hash FROM p_call)
+UNION SELECT parent_id, 'child', NULL, call_order, NULL, child_id FROM p_call_edge WHERE parent_id IN (SELECT call_hash FROM p_call)""")
+def nested_call_records(p: Provenance) -> DataFrame:
+    """Calls as nested JSON records with args and children, written, read again and made flat."""
+    p.cut("call", "call_edge", "argument")
+    calls = sync.nested_calls(p.call.select("call_hash", "task_hash"), p.argument, p.call_edge)
+    path = scratch.new_path(p.spark, "nested")
+    sync.export_lines(sync.to_records(calls, "CallNode"), path)
+    args, kids = sync.flat_calls(sync.from_records(sync.import_lines(p.spark, path), "CallNode", calls.schema))
+    none = F.lit(None).cast("string")
+    a = args.select("call_hash", F.col("arg_hash").alias("part"), "value_hash", F.col("arg_position").alias("position"), "arg_key", F.col("result_call_hash").alias("other"))
+    k = kids.select(F.col("parent_id").alias("call_hash"), F.lit("child").alias("part"), none.alias("value_hash"), F.col("call_order").alias("position"), none.alias("arg_key"), F.col("child_id").alias("other"))
+    return a.unionByName(k).distinct()
+
+
+@query("value", "subvalue", "job", sql="""
+SELECT 'Value' AS record_type, v.value_hash AS id, count(s.value_hash) AS n, min(s.value_hash) AS first FROM p_value v LEFT JOIN p_subvalue s ON s.parent_value_hash = v.value_hash GROUP BY v.value_hash
+UNION ALL SELECT 'Job', j.id, count(c.id), arg_min(c.id, (coalesce(c.start_time, TIMESTAMP '9999-01-01'), c.id)) FROM p_job j LEFT JOIN p_job c ON c.parent_id = j.id AND c.id <> j.id GROUP BY j.id""")
+def nested_value_and_job_records(p: Provenance) -> DataFrame:
+    out = []
+    for kind, df, part in (("Value", sync.nested_values(p.value, p.subvalue), "subvalues"), ("Job", sync.nested_jobs(p.job), "children")):
+        back = sync.from_records(sync.to_records(df, kind), kind, df.schema)
+        out.append(back.select(F.lit(kind).alias("record_type"), F.col(sync.IDS[kind]).alias("id"), F.size(part).alias("n"), F.get(part, F.lit(0)).alias("first")))
+    return graph.union(out)
+
+
+@query("job", "execution", sql="SELECT 'Job' AS record_type, id AS record_id, count(*) OVER () AS n_known FROM p_job WHERE id IN (SELECT job_id FROM p_execution) ORDER BY id")
+def fetched_records(p: Provenance) -> DataFrame:
+    """The root jobs of executions got from a store by their ids; those it lacks are left to a later transfer."""
+    store = sync.to_records(p.job.select("id", "task_hash"), "Job")
+    ids = p.execution.where("job_id is not null").select(F.lit("Job").alias("record_type"), F.col("job_id").alias("record_id"))
+    got = sync.get(store, ids)
+    n = sync.has(store, ids).agg(F.count(F.lit(1)))
+    return got.select("record_type", "record_id", n.scalar().alias("n_known"))
+
+
+@query("tag", "job", "value", sql="SELECT 'Job' AS type, id FROM p_job WHERE cached UNION ALL SELECT 'Value', value_hash FROM p_value WHERE format = 'pickle'")
+def tag_filter_types(p: Provenance) -> DataFrame:
+    """Jobs and values by tags of their own."""
+    return _two(LineageQuery(p).filter_tags([("cached", "true")]).filter_types(["Job"]).all().unionByName(LineageQuery(p).filter_tags([("format", ANY)]).filter_types(["Value"]).all()))
+
+
 # --- reuse
 
 
