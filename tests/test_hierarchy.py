@@ -59,9 +59,8 @@ def test_cycles_large_core(spark, name, core):
     assert sorted(got) == sorted(on_cycle(edges))
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_hierarchy(spark, monkeypatch, block):
-    monkeypatch.setattr(H, "BLOCK", block)
+def test_hierarchy(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 2)
     rng = random.Random(2)
     edges = [(f"n{i:03}", f"n{rng.randrange(max(0, i - 9), i):03}") for i in range(1, 150)] + [("n000", None), ("alone", None)]
     edges += [("n010", "n002"), ("x", "y"), ("y", "x"), ("under", "x"), ("deep", "under"), ("lost", "no_row"), ("n001", "n000")]
@@ -104,7 +103,6 @@ def test_long_chains(spark, monkeypatch):
     assert {n: r["path"] for n, r in rows.items()} == want
     assert all(r["n_descendants"] == sum(w.startswith(want[n] + "/") for w in want.values()) == r["last_pos"] - r["pos"] and r["depth"] == want[n].count("/") for n, r in rows.items())
     assert sorted(r["pos"] for r in rows.values()) == list(range(len(want)))
-    assert {r["node"]: (r["root"], r["depth"]) for r in H.roots(frame(spark, edges)).collect()} == {n: (r["root"], r["depth"]) for n, r in rows.items()}
 
 
 def test_namespaces_and_empty(spark):
@@ -143,7 +141,6 @@ def test_descendants_by_all_parents(spark):
         mine = [r for r in rows if r["node"] == n]
         got = [m for r in mine for m, x in own.items() if x["root"] == r["root"] and r["pos"] <= x["pos"] <= r["last_pos"]]
         assert sorted(got) == sorted(want | {n}) and {r["n_descendants"] for r in mine} == {len(want)}
-    assert {r["node"]: r["n_descendants"] for r in H.descendant_counts(frame(spark, edges)).collect()} == {n: len(x) for n, x in below.items()}
     tree = {r["node"]: r for r in H.hierarchy(frame(spark, edges)).collect()}
     kept = {(n, r["path"].split("/")[-2]) for n, r in tree.items() if r["depth"]}
     more = H.further(frame(spark, edges)).collect()

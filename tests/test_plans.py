@@ -259,10 +259,9 @@ def test_candidates_passed_on(spark):
             work += new
         below[n] = reached
     want = {(v, a) for v, a in cand if any(w == v and b in below[a] and a not in below[b] for w, b in cand)}
-    for core in (200_000, 1):
-        got = passed_on(spark.createDataFrame(cand, "value_hash string, call_hash string"), spark.createDataFrame(links, "parent_id string, child_id string"), Scratch(spark, "test"), core)
-        rows = [tuple(r) for r in got.collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == want
+    got = passed_on(spark.createDataFrame(cand, "value_hash string, call_hash string"), spark.createDataFrame(links, "parent_id string, child_id string"), Scratch(spark, "test"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
     assert {a for v, a in want if v == "w"} == {"x", "y", "c03"}
 
 

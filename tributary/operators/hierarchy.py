@@ -206,11 +206,11 @@ def cycles(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
 class _Base:
     """Nodes, links outside cycles and heavy paths of edges (ns, child, parent)."""
 
-    def __init__(self, edges: DataFrame, s: Scratch, core_links: int) -> None:
+    def __init__(self, edges: DataFrame, s: Scratch, core_links: int, acyclic: bool = False) -> None:
         none = lambda t: F.lit(None).cast(t)
         links = s.cut(_links(edges))
-        loop = s.cut(cyclic(links, s, core_links))
-        self.live = s.cut(links.join(loop.withColumnRenamed("v", "c"), "c", "left_anti").join(loop.withColumnRenamed("v", "p"), "p", "left_anti").select("c", "p"))
+        loop = links.select(F.col("c").alias("v")).limit(0) if acyclic else s.cut(cyclic(links, s, core_links))
+        self.live = links if acyclic else s.cut(links.join(loop.withColumnRenamed("v", "c"), "c", "left_anti").join(loop.withColumnRenamed("v", "p"), "p", "left_anti").select("c", "p"))
 
         def row(df: DataFrame, v: str, ns: F.Column, node: F.Column, up: F.Column, n: int, on: bool) -> DataFrame:
             return df.select(F.col(v).alias("v"), ns.alias("ns"), node.alias("node"), up.alias("up"), F.lit(n).cast("bigint").alias("n"), F.lit(on).alias("on"))
@@ -352,14 +352,14 @@ def descendants(edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
         "ns", "node", F.col("root_key").alias("root"), "pos", "last_pos", "own", "n_descendants")
 
 
-def with_descendants(groups: DataFrame, edges: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+def with_descendants(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, node): the rows of groups (g, node) whose node has another node of its group as a descendant along edges (ns, child, parent) without cycles.
 
     Nodes are points on the line of positions: a node is kept if the next point at or behind the start of one of its intervals lies
     in the interval.  No pairs are made.  A node without a link has no descendants.
     """
     s = Scratch(edges.sparkSession, "within")
-    base = _Base(edges, s, core_links)
+    base = _Base(edges, s, CORE_LINKS, acyclic=True)
     own, more = _intervals(base, s)
     at = s.cut(groups.select("g", "node").distinct().join(base.nodes.select(F.col("v").alias("a"), "node"), "node"))
     mine = at.join(own, "a")

@@ -190,7 +190,7 @@ def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int
     wide = s.cut(whole(whole(links, "c"), "p").where("c <> p").select(F.lit("call").alias("ns"), F.col("c").alias("child"), F.col("p").alias("parent")).distinct())
     several = cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash")
     at = s.cut(whole(cand.join(several, "value_hash", "left_semi").withColumn("c", node("call_hash")), "c").select(F.col("value_hash").alias("g"), F.col("c").alias("node"), "call_hash"))
-    above = hierarchy.with_descendants(at, wide, core_links)
+    above = hierarchy.with_descendants(at, wide)
     return at.join(above, ["g", "node"], "left_semi").select(F.col("g").alias("value_hash"), "call_hash")
 
 

@@ -80,6 +80,33 @@ def p3_types(spark: SparkSession, d: str) -> DataFrame:
     return drift.target_types(drift.statistics(_p3_records(spark, d)))
 
 
+_P3_SQL = """
+WITH r AS (SELECT dump_id, payload::JSON AS j, row_number() OVER () AS rid FROM dump_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND json_type(payload, '$._type') = 'VARCHAR'),
+t AS (SELECT *, lower(replace(j->>'_type', '_', '')) AS rt FROM r),
+k AS (SELECT *, CASE rt WHEN 'job' THEN j->>'id' WHEN 'execution' THEN j->>'id' WHEN 'value' THEN j->>'value_hash' WHEN 'callnode' THEN j->>'call_hash' WHEN 'tag' THEN j->>'tag_hash' END AS key FROM t),
+f AS (SELECT dump_id, rt, key, rid, path, json_extract(j, '$."' || path || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS path FROM k)),
+g AS (SELECT dump_id, rt, key, path, CASE WHEN json_type(v) <> 'NULL' THEN v::VARCHAR END AS v, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+  CASE WHEN json_type(v) = 'VARCHAR' AND regexp_full_match(v->>'$', '\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d(\\.\\d{1,9})?)?(Z|[+-]\\d\\d:?\\d\\d)?') THEN 'time' WHEN json_type(v) = 'DOUBLE' THEN 'float' WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'int' END AS fine FROM f)
+"""
+_P3_FOUND = """, st AS (SELECT dump_id, rt, path, list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)) AS kinds FROM g GROUP BY ALL),
+files AS (SELECT dump_id, min(repo) AS repo, min(exported_at) AS at FROM dump_file WHERE repo IS NOT NULL AND exported_at IS NOT NULL GROUP BY dump_id),
+pair AS (SELECT * FROM (SELECT repo, rt, dump_id AS d, lag(dump_id) OVER (PARTITION BY repo, rt ORDER BY files.at, dump_id) AS e FROM (SELECT DISTINCT dump_id, rt FROM st) h JOIN files USING (dump_id)) WHERE e IS NOT NULL),
+young AS (SELECT d, e, pair.rt, path, kinds FROM pair JOIN st ON st.dump_id = d AND st.rt = pair.rt), old AS (SELECT d, e, pair.rt, path, kinds FROM pair JOIN st ON st.dump_id = e AND st.rt = pair.rt),
+gone AS (SELECT d, e, rt, path FROM old ANTI JOIN young USING (d, rt, path)), new AS (SELECT d, e, rt, path FROM young ANTI JOIN old USING (d, rt, path)),
+records AS (SELECT dump_id, rt, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL),
+vals AS (SELECT dump_id, rt, key, path, count(*) AS n, min(v) AS lo, max(v) AS hi FROM g WHERE v IS NOT NULL AND key IS NOT NULL GROUP BY ALL),
+judged AS (SELECT a.d, a.rt, a.path AS field_name, b.path AS new_name, (x.n IS NULL OR (x.n = ra.n AND x.lo = x.hi)) AND (y.n IS NULL OR (y.n = rb.n AND y.lo = y.hi)) AND x.lo IS NOT DISTINCT FROM y.lo AS same, x.lo IS NOT NULL AS filled
+  FROM gone a JOIN new b ON a.d = b.d AND a.rt = b.rt JOIN records ra ON ra.dump_id = a.e AND ra.rt = a.rt JOIN records rb ON rb.dump_id = a.d AND rb.rt = a.rt AND rb.key = ra.key
+  LEFT JOIN vals x ON x.dump_id = a.e AND x.rt = a.rt AND x.key = ra.key AND x.path = a.path LEFT JOIN vals y ON y.dump_id = a.d AND y.rt = a.rt AND y.key = ra.key AND y.path = b.path),
+renamed AS (SELECT d, rt, field_name, new_name FROM judged GROUP BY ALL HAVING bool_and(same) AND bool_or(filled)),
+found AS (SELECT d, rt, 'retyped' AS change_kind, path AS field_name, '' AS new_name FROM young JOIN old USING (d, rt, path) WHERE len(young.kinds) > 0 AND len(old.kinds) > 0 AND young.kinds <> old.kinds
+  UNION ALL SELECT d, rt, 'renamed', field_name, new_name FROM renamed UNION ALL SELECT d, rt, 'removed', path, '' FROM gone WHERE (d, rt, path) NOT IN (SELECT d, rt, field_name FROM renamed)
+  UNION ALL SELECT d, rt, 'added', path, '' FROM new WHERE (d, rt, path) NOT IN (SELECT d, rt, new_name FROM renamed))
+SELECT repo, rt AS record_type, d AS dump_id, change_kind, field_name, new_name FROM found JOIN pair USING (d, rt)"""
+_P3_TYPES = """, n AS (SELECT rt, path, coalesce(fine, kind) AS kind, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY ALL),
+m AS (SELECT rt, path, CASE WHEN sum(n) FILTER (kind = 'float') > 0 THEN 'float' ELSE 'int' END AS kind, coalesce(sum(n) FILTER (kind IN ('int', 'float')), 0) AS n FROM n GROUP BY rt, path UNION ALL SELECT * FROM n WHERE kind NOT IN ('int', 'float'))
+SELECT rt AS record_type, path, arg_max(kind, (n, kind)) AS kind FROM m GROUP BY rt, path"""
+
 # --- 4: deeply nested semi-structured records
 
 
@@ -202,6 +229,8 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_found": _P3_SQL + _P3_FOUND,
+    "p3_types": _P3_SQL + _P3_TYPES,
     "p1_found": _P1_SQL + "SELECT * FROM found",
     "p1_report": _P1_SQL + "SELECT table_name, field_name, period, count(*) AS n_orphans FROM found GROUP BY ALL",
     "p5_found": _P5_SQL + "SELECT t AS table_name, k AS node_key FROM cyc",
