@@ -95,3 +95,16 @@ def test_query(spark, data):
 @pytest.mark.parametrize("name", ["p10_found", "p10_shares"])
 def test_query_with_sql(name, same):
     same(name, queries.QUERIES[name], queries.SQL[name])
+
+
+def test_only_flagged_fits_thresholds(spark, data, monkeypatch):
+    """Thresholds decide what p10_flagged gives, and are not made where they can't change a row."""
+    few = {r["doc_id"] for r in queries.p10_flagged(spark, data).collect()}
+    monkeypatch.setattr(queries, "P10_QUANTILE", 0.5)
+    assert few < {r["doc_id"] for r in queries.p10_flagged(spark, data).collect()}
+    made = []
+    monkeypatch.setattr(repetition, "thresholds", lambda *a, f=repetition.thresholds: made.append("thresholds") or f(*a))
+    monkeypatch.setattr(repetition, "above", lambda *a, f=repetition.above, **k: made.append("above") or f(*a, **k))
+    assert queries.p10_found(spark, data).count() and queries.p10_shares(spark, data).count()
+    assert made == []
+    assert queries.p10_flagged(spark, data).count() and made == ["thresholds", "above"]

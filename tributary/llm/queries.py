@@ -56,20 +56,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 P10_QUANTILE = 0.98
 
 
+def _p10_measured(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.measure(table(spark, d, "documents", "doc_id", "text", "lang", "source"))
+
+
 def _p10(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = Scratch(spark, "p10")
-    measured = s.cut(repetition.measure(table(spark, d, "documents", "doc_id", "text", "lang", "source")))
+    measured = s.cut(_p10_measured(spark, d))
     return measured, s.cut(repetition.thresholds(measured, P10_QUANTILE))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    measured, limits = _p10(spark, d)
-    # The group's threshold, or a quarter where that is lower; then the exact check.
-    return repetition.above(measured, limits, at_most=0.25).where("n_repeated * 4 >= n_words").select("doc_id")
+    # Its quarter is given, so no threshold can change it; those fitted to the corpus are for p10_flagged.
+    return _p10_measured(spark, d).where("n_repeated > 0 AND n_repeated * 4 >= n_words").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _p10(spark, d)[0].select("doc_id", "n_words", "n_repeated", "share")
+    return _p10_measured(spark, d).select("doc_id", "n_words", "n_repeated", "share")
 
 
 def p10_flagged(spark: SparkSession, d: str) -> DataFrame:
