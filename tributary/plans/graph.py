@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import hierarchy
+from tributary.operators import hierarchy, reach
 from tributary.plans.provenance import Provenance
 from tributary.scratch import Scratch
 
@@ -41,28 +41,41 @@ def edges(p: Provenance) -> DataFrame:
     ])
 
 
-def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, core_links: int = reach.LINKS) -> DataFrame:
     """(type, id): the roots (type, id) and all that is reached from them, each once.
 
-    Layer by layer, each layer cut and joined to the edges once; what was seen is taken out by an anti-join, so
-    cycles end and diamonds don't multiply rows.  A layer is a node's distance, so rounds follow the longest
-    shortest way, not the number of records.
+    Only links between nodes that may be on a way are followed: from a root or an end, to a node with links of its own.  One task
+    follows them once they are at most core_links.  While there are more, layer by layer, each cut and joined once; what was seen is
+    taken out by anti-joins, so cycles end and diamonds don't multiply rows, and after every few layers the links are too.
     """
     s = Scratch(edges.sparkSession, "reach")
-    e = s.cut(edges.select("src_type", "src", "dst_type", "dst").distinct())
-    front = s.cut(roots.select("type", "id").distinct())
+    node = lambda t, i: hierarchy.node_id(F.col(t), F.col(i))
+    given = roots.select("type", "id").distinct()
+    every = s.cut(edges.where("src is not null").select(node("src_type", "src").alias("c"), node("dst_type", "dst").alias("p"), F.col("dst_type").alias("type"), F.col("dst").alias("id")).distinct())
+    front = s.cut(given.where("id is not null").select(node("type", "id").alias("v")))
     seen = [front]
-    while True:
-        nxt = front.select(F.col("type").alias("src_type"), F.col("id").alias("src")).join(e, ["src_type", "src"]).select(F.col("dst_type").alias("type"), F.col("dst").alias("id")).distinct()
-        front, more = s.counted(nxt.join(union(seen), ["type", "id"], "left_anti"))
+
+    def ways(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("p").alias("c")).union(front.select("v"))
+        return links.join(links.select(F.col("c").alias("p")).distinct(), "p", "left_semi").join(ends.distinct(), "c", "left_semi").select("c", "p")
+
+    rest, n = s.counted(ways(every.select("c", "p")))
+    rounds = 0
+    while n > core_links:
+        front, more = s.counted(rest.join(front.withColumnRenamed("v", "c"), "c").select(F.col("p").alias("v")).distinct().join(union(seen), "v", "left_anti"))
         if not more:
+            rest, n = rest.limit(0), 0
             break
         seen.append(front)
-        if len(seen) > 8:
-            whole = s.cut(union(seen))
-            s.free(*[x for x in seen if x is not front])
-            seen = [whole]
-    return union(seen)
+        rounds += 1
+        if rounds % 4 == 0:
+            seen = [s.cut(union(seen))]
+            rest, n = s.counted(ways(rest.join(seen[0].withColumnRenamed("v", "p"), "p", "left_anti")))
+    if n:
+        rows = rest.unionByName(front.select(F.lit(None).cast("binary").alias("c"), F.col("v").alias("p")))
+        seen.append(s.cut(rows.coalesce(1).mapInArrow(reach.reached, "v binary")))
+    # Whatever is reached is a root or the end of a link of a node that was seen.
+    return every.join(union(seen).withColumnRenamed("v", "c"), "c", "left_semi").select("type", "id").union(given).distinct()
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
@@ -174,22 +187,31 @@ def value_origin(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
     return p.value.select("value_hash").join(best, "value_hash", "left")
 
 
-def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int = hierarchy.CORE_LINKS) -> DataFrame:
+def passed_on(cand: DataFrame, call_edge: DataFrame, s: Scratch, core_links: int = hierarchy.CORE_LINKS, task_links: int = reach.LINKS) -> DataFrame:
     """(value_hash, call_hash): the candidates (value_hash, call_hash) that are ancestors of another candidate of the value by links
     (parent_id, child_id), by any parent and through cycles; calls of one cycle are no ancestors of each other.
 
-    Cycles are one node; then the calls' intervals of positions tell who is below whom.
+    One task tells them if links and candidates are at most task_links; else the calls' intervals of positions do, with cycles as one node.
     """
     node = lambda c: hierarchy.node_id(F.lit("call"), F.col(c))
-    links = s.cut(call_edge.where("child_id is not null and parent_id is not null").select(node("child_id").alias("c"), node("parent_id").alias("p")).distinct())
+    links, n = s.counted(call_edge.where("child_id is not null and parent_id is not null").select(node("child_id").alias("c"), node("parent_id").alias("p")).distinct())
+    several = cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash")
+    own = cand.join(several, "value_hash", "left_semi").withColumn("c", node("call_hash"))
+    if n <= task_links:
+        ends = links.select("c").union(links.select("p")).distinct()
+        own, m = s.counted(own.join(ends, "c", "left_semi").select(hierarchy.node_id(F.lit("value"), F.col("value_hash")).alias("g"), "c", "value_hash", "call_hash"))
+        if n + m <= task_links:
+            none = F.lit(None).cast("binary")
+            rows = links.select(none.alias("g"), "c", "p").unionByName(own.select("g", "c", none.alias("p")))
+            above = s.cut(rows.coalesce(1).mapInArrow(reach.ancestors, "g binary, c binary"))
+            return own.join(above, ["g", "c"], "left_semi").select("value_hash", "call_hash")
     comp = s.cut(hierarchy.components(links, s.cut(hierarchy.cyclic(links, s, core_links)), s, core_links))
 
     def whole(df: DataFrame, c: str) -> DataFrame:
         return df.join(comp.select(F.col("v").alias(c), "comp"), c, "left").withColumn(c, F.hex(F.coalesce("comp", c))).drop("comp")
 
     wide = s.cut(whole(whole(links, "c"), "p").where("c <> p").select(F.lit("call").alias("ns"), F.col("c").alias("child"), F.col("p").alias("parent")).distinct())
-    several = cand.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value_hash")
-    at = s.cut(whole(cand.join(several, "value_hash", "left_semi").withColumn("c", node("call_hash")), "c").select(F.col("value_hash").alias("g"), F.col("c").alias("node"), "call_hash"))
+    at = s.cut(whole(own, "c").select(F.col("value_hash").alias("g"), F.col("c").alias("node"), "call_hash"))
     above = hierarchy.with_descendants(at, wide)
     return at.join(above, ["g", "node"], "left_semi").select(F.col("g").alias("value_hash"), "call_hash")
 
