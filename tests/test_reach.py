@@ -56,3 +56,24 @@ def test_passed_on_takes_no_rounds(spark):
     s = Scratch(spark, "test")
     assert [tuple(r) for r in graph.passed_on(cand, links, s).collect()] == [("v", "c0")]
     assert len(s.paths) <= 4
+
+
+@pytest.mark.parametrize("core_links", [0, 12, reach.LINKS])
+def test_reachable_both_ways(spark, core_links):
+    """Rounds, rounds and a task, and one task alone reach the same, over cycles, unreached parts and roots without links."""
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(50)] + [(f"m{i}", f"m{i + 1}") for i in range(11)] + [("n1", "m0"), ("far", "off"), ("off", "far")]
+    e = spark.createDataFrame([("x", a, "x", b) for a, b in links] + [("y", "n1", "y", "other type"), ("x", "n1", "x", None)], "src_type string, src string, dst_type string, dst string")
+    roots = ["n1", "n2", "alone"]
+    want = sorted([("x", r) for r in {*roots} | below(links, roots)] + [("x", "")])
+    got = graph.reachable(e, spark.createDataFrame([("x", r) for r in [*roots, "n1"]], "type string, id string"), core_links)
+    assert sorted((r["type"], r["id"] or "") for r in got.collect()) == want
+
+
+def test_reachable_takes_no_rounds(spark, monkeypatch):
+    """A way of 150 links isn't followed by a table a link."""
+    cuts, cut = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda s, df, by=None: cuts.append(1) or cut(s, df, by))
+    e = spark.createDataFrame([("x", f"{i}", "x", f"{i + 1}") for i in range(150)], "src_type string, src string, dst_type string, dst string")
+    assert graph.reachable(e, spark.createDataFrame([("x", "0")], "type string, id string")).count() == 151
+    assert len(cuts) <= 4

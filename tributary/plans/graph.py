@@ -44,22 +44,20 @@ def edges(p: Provenance) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, core_links: int = reach.LINKS) -> DataFrame:
     """(type, id): the roots (type, id) and all that is reached from them, each once.
 
-    Only links between nodes that may be on a way are followed: from a root or an end, to a node with links of its own.  One task
-    follows them once they are at most core_links.  While there are more, layer by layer, each cut and joined once; what was seen is
-    taken out by anti-joins, so cycles end and diamonds don't multiply rows, and after every few layers the links are too.
+    Only links to nodes with links of their own are followed, by one task once they are at most core_links.  While there are more, layer
+    by layer, each cut and joined once; what was seen is taken out by anti-joins, so cycles end and diamonds don't multiply rows.
+    After every few layers links to seen nodes, and from those that nothing leads to any more, are taken out too.
     """
     s = Scratch(edges.sparkSession, "reach")
     node = lambda t, i: hierarchy.node_id(F.col(t), F.col(i))
     given = roots.select("type", "id").distinct()
-    every = s.cut(edges.where("src is not null").select(node("src_type", "src").alias("c"), node("dst_type", "dst").alias("p"), F.col("dst_type").alias("type"), F.col("dst").alias("id")).distinct())
+    every = s.cut(edges.where("src is not null").select(node("src_type", "src").alias("c"), F.col("dst_type").alias("type"), F.col("dst").alias("id")))
+    links = every.select("c", node("type", "id").alias("p")).where("p is not null")
     front = s.cut(given.where("id is not null").select(node("type", "id").alias("v")))
     seen = [front]
 
-    def ways(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("p").alias("c")).union(front.select("v"))
-        return links.join(links.select(F.col("c").alias("p")).distinct(), "p", "left_semi").join(ends.distinct(), "c", "left_semi").select("c", "p")
-
-    rest, n = s.counted(ways(every.select("c", "p")))
+    # A node without links leads nowhere; at the end it is reached with any link to it.
+    rest, n = s.counted(links.join(links.select(F.col("c").alias("p")).distinct(), "p", "left_semi").select("c", "p"))
     rounds = 0
     while n > core_links:
         front, more = s.counted(rest.join(front.withColumnRenamed("v", "c"), "c").select(F.col("p").alias("v")).distinct().join(union(seen), "v", "left_anti"))
@@ -70,10 +68,14 @@ def reachable(edges: DataFrame, roots: DataFrame, core_links: int = reach.LINKS)
         rounds += 1
         if rounds % 4 == 0:
             seen = [s.cut(union(seen))]
-            rest, n = s.counted(ways(rest.join(seen[0].withColumnRenamed("v", "p"), "p", "left_anti")))
+            old, new = rest, rest.join(seen[0].withColumnRenamed("v", "p"), "p", "left_anti")
+            starts = new.select(F.col("p").alias("c")).union(front.select("v")).distinct()
+            rest, n = s.counted(new.join(starts, "c", "left_semi").select("c", "p"))
+            s.free(old)
     if n:
         rows = rest.unionByName(front.select(F.lit(None).cast("binary").alias("c"), F.col("v").alias("p")))
         seen.append(s.cut(rows.coalesce(1).mapInArrow(reach.reached, "v binary")))
+        s.free(rest)
     # Whatever is reached is a root or the end of a link of a node that was seen.
     return every.join(union(seen).withColumnRenamed("v", "c"), "c", "left_semi").select("type", "id").union(given).distinct()
 
