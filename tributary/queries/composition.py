@@ -350,7 +350,7 @@ def file_schemes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name AS name, count(*) AS n, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
 def database_refresh(spark: SparkSession, d: str) -> DataFrame:
-    """Rows into a database table, twice with the same end, and read again in parts.  The database is in the driver's memory, so only for a local session."""
+    """Rows into a database table, twice with the same end, and read again in parts.  The database is in the driver's memory."""
     url = f"jdbc:derby:memory:{scratch.new_path(spark, 'db').rsplit('-', 1)[1]};create=true"
     rows = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").join(table(spark, d, "nation", "n_nationkey", "n_name").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "n_name", "c_acctbal")
     given = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
