@@ -77,3 +77,13 @@ def test_reachable_takes_no_rounds(spark, monkeypatch):
     e = spark.createDataFrame([("x", f"{i}", "x", f"{i + 1}") for i in range(150)], "src_type string, src string, dst_type string, dst string")
     assert graph.reachable(e, spark.createDataFrame([("x", "0")], "type string, id string")).count() == 151
     assert len(cuts) <= 4
+
+
+def test_flow_frees_what_it_made(spark, data, monkeypatch):
+    """Tables and shuffle files of the parts of the dataflow don't stay beside those of the whole."""
+    from tributary.plans.provenance import Provenance
+
+    freed, close = [], Scratch.close
+    monkeypatch.setattr(Scratch, "close", lambda s, *keep: freed.append(len(s.paths)) or close(s, *keep))
+    graph.dataflow_edges(Provenance(spark, data))
+    assert len(freed) == 2 and all(freed)

@@ -172,7 +172,7 @@ def _outer_calls(p: Provenance, internal: Sequence[str]) -> DataFrame:
     return p.call.join(p.task.where(full.isin(list(internal))).select(F.col("hash").alias("task_hash")), "task_hash", "left_anti")
 
 
-def value_origin(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
+def value_origin(p: Provenance, internal: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """(value_hash, call_hash): of each value, the call it came from, null if none.
 
     Candidates are the calls, but of internal tasks, whose result it is or is a part of.  A candidate that is an ancestor of another only
@@ -181,7 +181,7 @@ def value_origin(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
     calls = _outer_calls(p, internal)
     direct = calls.select("value_hash", "call_hash")
     part = p.subvalue.join(calls.select(F.col("value_hash").alias("parent_value_hash"), "call_hash"), "parent_value_hash").select("value_hash", "call_hash")
-    s = Scratch(p.spark, "origin")
+    s = scratch or Scratch(p.spark, "origin")
     cand = s.cut(direct.unionByName(part).where("value_hash is not null").distinct())
     own = cand.join(passed_on(cand, p.call_edge, s), ["value_hash", "call_hash"], "left_anti")
     started = p.job.where("call_hash is not null").groupBy("call_hash").agg(F.max("start_time").alias("start_time"))
@@ -233,14 +233,15 @@ def child_producer(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
     return pairs.groupBy(F.col("parent_id").alias("call_hash"), "value").agg(F.count(F.lit(1)).alias("n"), F.min("child_id").alias("child_hash")).where("n = 1").drop("n")
 
 
-def argument_origin(p: Provenance) -> DataFrame:
+def argument_origin(p: Provenance, scratch: Scratch | None = None) -> DataFrame:
     """(arg_hash, value, edge_kind, to, to_value, call_order): each upstream edge of each argument's value, and of each part of it.
 
     ``result``: to an upstream call, with the value if the call's result is or holds it, else with the whole result; call_order is the
     upstream call's under the latest parent that all upstream calls and the call itself share, null without one.
     ``routed``: to an argument of the latest parent call that is or holds the value.  ``origin``, with null ends: neither.
     """
-    arg = _with_parts(p, p.argument.select("arg_hash", "call_hash", "value_hash", "result_call_hash")).drop("value_hash")
+    s = scratch or Scratch(p.spark, "args")
+    arg = s.cut(_with_parts(p, p.argument.select("arg_hash", "call_hash", "value_hash", "result_call_hash")).drop("value_hash"))
     called = p.call.select(F.col("call_hash").alias("parent_id"), "called_at")
     up = arg.where("result_call_hash is not null")
     whole = p.call.where("value_hash is not null").select(F.col("call_hash").alias("result_call_hash"), "value_hash")
@@ -253,13 +254,15 @@ def argument_origin(p: Provenance) -> DataFrame:
     need = ends.groupBy("arg_hash").agg(F.count(F.lit(1)).alias("need"))
     shared = of.groupBy("arg_hash", "parent_id").agg(F.countDistinct("child_id").alias("n")).join(need, "arg_hash").where("n = need").join(called, "parent_id")
     context = shared.groupBy("arg_hash").agg(F.max_by("parent_id", F.struct("called_at", "parent_id")).alias("parent_id"))
-    order = of.join(context, ["arg_hash", "parent_id"]).groupBy("arg_hash", F.col("child_id").alias("to")).agg(F.min("call_order").alias("call_order"))
+    order = s.cut(of.join(context, ["arg_hash", "parent_id"]).groupBy("arg_hash", F.col("child_id").alias("to")).agg(F.min("call_order").alias("call_order")))
     result = result.join(order, ["arg_hash", "to"], "left").select("arg_hash", "value", F.lit("result").alias("edge_kind"), "to", "to_value", "call_order")
     parent = p.call_edge.join(called, "parent_id").groupBy(F.col("child_id").alias("call_hash")).agg(F.max_by("parent_id", F.struct("called_at", "parent_id")).alias("parent_call"))
     above = arg.select(F.col("call_hash").alias("parent_call"), F.col("arg_hash").alias("to"), "value").distinct()
     routed = arg.select("arg_hash", "call_hash", "value").distinct().join(parent, "call_hash").join(above, ["parent_call", "value"]).select(
         "arg_hash", "value", F.lit("routed").alias("edge_kind"), "to", F.col("value").alias("to_value"), F.lit(None).cast("int").alias("call_order"))
-    known = result.unionByName(routed)
+    s.sweep()
+    known = s.cut(result.unionByName(routed))
+    s.sweep()
     none = F.lit(None).cast("string")
     origin = arg.select("arg_hash", "value").distinct().join(known, ["arg_hash", "value"], "left_anti").select(
         "arg_hash", "value", F.lit("origin").alias("edge_kind"), none.alias("to"), none.alias("to_value"), F.lit(None).cast("int").alias("call_order"))
@@ -301,9 +304,14 @@ def dataflow_edges(p: Provenance, internal: Sequence[str] = ()) -> DataFrame:
         val = lambda c: none if c is None else F.col(c)
         return df.select(F.lit(st).alias("src_type"), F.col(s).alias("src"), val(sv).alias("src_value"), edge_kind(st, dt, val(sv).eqNullSafe(val(dv))).alias("edge_kind"),
                          F.lit(dt).cast("string").alias("dst_type"), val(d).alias("dst"), val(dv).alias("dst_value"), (F.lit(None) if position is None else position).cast("int").alias("position"))
-    origin = value_origin(p, internal)
-    deeper = child_producer(p, internal)
-    args = argument_origin(p)
+    s = Scratch(p.spark, "flow")
+    inner = Scratch(p.spark, "inner")
+    origin = s.cut(value_origin(p, internal, inner))
+    inner.close()
+    deeper = s.cut(child_producer(p, internal))
+    inner.sweep()
+    args = s.cut(argument_origin(p, inner))
+    inner.close()
     results = _with_parts(p, p.call.where("value_hash is not null").select("call_hash", "value_hash")).select("call_hash", "value").distinct()
     own = call_arguments(p)
     return union([
@@ -324,9 +332,13 @@ def merge_call_values(edges: DataFrame, results: DataFrame) -> DataFrame:
 
     results (call_hash, value_hash).  Edges into the replaced nodes lead to the unified one, each once.
     """
+    s = Scratch(edges.sparkSession, "merge")
+    edges = s.cut(edges)
+    s.sweep()
     into = (F.col("dst_type") == "CallNode") & (F.col("src_type") == "CallNodeValue")
     several = edges.where(into).groupBy(F.col("dst").alias("call_hash")).agg(F.countDistinct("src", "src_value").alias("n")).where("n > 1").join(results, "call_hash").select("call_hash", F.col("value_hash").alias("whole"))
     old = edges.where(into).join(several, F.col("dst") == F.col("call_hash")).select(F.col("src").alias("was"), F.col("src_value").alias("was_value"), F.col("dst").alias("merged"), "whole").distinct()
+    old = s.cut(old)
 
     def moved(df: DataFrame, end: str) -> DataFrame:
         typ, key, value = f"{end}_type", end, f"{end}_value"

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,3 +75,9 @@ class Scratch:
         """Remove every table but those that a returned frame still reads."""
         kept = {id(k) for k in keep}
         self.free(*[df for k, (_, df) in list(self.paths.items()) if k not in kept])
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of frames that nothing uses any more; else they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
