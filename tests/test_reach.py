@@ -87,3 +87,13 @@ def test_flow_frees_what_it_made(spark, data, monkeypatch):
     monkeypatch.setattr(Scratch, "close", lambda s, *keep: freed.append(len(s.paths)) or close(s, *keep))
     graph.dataflow_edges(Provenance(spark, data))
     assert len(freed) == 2 and all(freed)
+
+
+def test_merged_edges_planned_once(spark, tmp_path):
+    """The edges, each use of which would run the whole dataflow again, are read once."""
+    rows = [("CallNodeValue", "c", v, "call_result", "CallNode", "c", None, None) for v in ("v", "w")] + [("ArgumentValue", "a", "w", "call_arg_result_routing", "CallNodeValue", "c", "w", 1)]
+    schema = "src_type string, src string, src_value string, edge_kind string, dst_type string, dst string, dst_value string, position int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/edges")
+    got = graph.merge_call_values(spark.read.parquet(f"{tmp_path}/edges"), spark.createDataFrame([("c", "v")], "call_hash string, value_hash string"))
+    assert not any(str(tmp_path) in f for f in got.inputFiles())
+    assert {tuple(r) for r in got.collect()} == {("CallNodeValue", "c", "v", "call_result", "CallNode", "c", None, None), ("ArgumentValue", "a", "w", "data", "CallNodeValue", "c", "v", 1)}
